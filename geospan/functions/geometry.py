@@ -23,7 +23,7 @@ def seq(start, stop) -> Column:
     """Inclusive integer range that is empty (never descending) when stop < start."""
     a = F.lit(start) if isinstance(start, int) else start
     b = F.lit(stop) if isinstance(stop, int) else stop
-    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    return F.when(b >= a, F.sequence(a, b)).when(b < a, F.array().cast("array<int>"))
 
 
 # ``let(value, body)``: evaluate ``value`` once and pass it to ``body`` as a
@@ -124,28 +124,33 @@ def _ring_moments(ring: Column) -> Column:
         F.lit(0.0).alias("len"), F.lit(0.0).alias("lx"), F.lit(0.0).alias("ly"),
     )
 
-    def step(acc, i):
+    def step(acc, e):
+        return F.struct(
+            (acc["c2"] + e["cross"]).alias("c2"),
+            (acc["mx"] + e["cross"] * e["sx"]).alias("mx"),
+            (acc["my"] + e["cross"] * e["sy"]).alias("my"),
+            (acc["len"] + e["seg"]).alias("len"),
+            (acc["lx"] + e["seg"] * e["sx"] / 2).alias("lx"),
+            (acc["ly"] + e["seg"] * e["sy"] / 2).alias("ly"),
+        )
+
+    def edge(i):
         ax = ring[i][0] - x0
         ay = ring[i][1] - y0
         bx = ring[i + 1][0] - x0
         by = ring[i + 1][1] - y0
-        cross = ax * by - bx * ay
-        seg = F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+        return F.struct((ax * by - bx * ay).alias("cross"), (ax + bx).alias("sx"), (ay + by).alias("sy"),
+                        F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)).alias("seg"))
+
+    def pack(m):
         return F.struct(
-            (acc["c2"] + cross).alias("c2"),
-            (acc["mx"] + cross * (ax + bx)).alias("mx"),
-            (acc["my"] + cross * (ay + by)).alias("my"),
-            (acc["len"] + seg).alias("len"),
-            (acc["lx"] + seg * (ax + bx) / 2).alias("lx"),
-            (acc["ly"] + seg * (ay + by) / 2).alias("ly"),
+            m["c2"].alias("c2"), m["mx"].alias("mx"), m["my"].alias("my"),
+            m["len"].alias("len"), m["lx"].alias("lx"), m["ly"].alias("ly"),
+            x0.alias("x0"), y0.alias("y0"), n.alias("n"),
         )
 
-    m = F.aggregate(seq(0, n - 2), init, step)
-    return F.struct(
-        m["c2"].alias("c2"), m["mx"].alias("mx"), m["my"].alias("my"),
-        m["len"].alias("len"), m["lx"].alias("lx"), m["ly"].alias("ly"),
-        x0.alias("x0"), y0.alias("y0"), n.alias("n"),
-    )
+    edges = F.transform(seq(0, n - 2), edge)
+    return let(F.aggregate(edges, init, step), pack)
 
 
 @bind_geometry

@@ -35,6 +35,13 @@ def dedup_ring(ring: Column) -> Column:
 
 @bind_geometry
 def structurally_valid(geom: Column) -> Column:
+    """Finite coordinates plus :func:`well_shaped`."""
+    return all_finite(geom) & well_shaped(geom)
+
+
+@bind_geometry
+def well_shaped(geom: Column) -> Column:
+    """Lines with two distinct points, rings with four points after de-duplication."""
     gtype = geom["gtype"]
     lines_ok = F.forall(geom["parts"], lambda pa: F.forall(pa, lambda r: F.size(F.array_distinct(r)) >= 2))
     rings_ok = F.forall(geom["parts"], lambda pa: F.forall(pa, lambda r: F.size(dedup_ring(r)) >= 4))
@@ -43,7 +50,7 @@ def structurally_valid(geom: Column) -> Column:
         .when(gtype.isin(*POLYGONAL), rings_ok)
         .otherwise(F.lit(True))
     )
-    return all_finite(geom) & shape
+    return shape
 
 
 # ------------------------------------------------------------ edge predicates
@@ -144,35 +151,31 @@ def _strictly_inside(ring, p) -> Column:
 
 
 def _convex_simple(ring: Column) -> Column:
-    """A single ring whose turns all have one sign and that winds once."""
-    return let(dedup_ring(ring), _convex_simple_bound)
-
-
-def _convex_simple_bound(r: Column) -> Column:
-    m = F.size(r) - 1
+    """A ring that is convex and simple: every turn has the same strict sign
+    and the edge directions go round once (the x and y components of the
+    edges each change sign at most twice). Repeated points or collinear runs
+    make the test fail, which only sends the ring to the full check."""
+    m = F.size(ring) - 1
 
-    def turn(k):
-        a = r[k]
-        b = r[(k + 1) % m]
-        c = r[(k + 2) % m]
-        ex, ey = b[0] - a[0], b[1] - a[1]
-        fx, fy = c[0] - b[0], c[1] - b[1]
-        return F.struct((ex * fy - ey * fx).alias("c"), (ex * fx + ey * fy).alias("d"))
+    def turn_sign(k):
+        a = ring[k]
+        b = ring[k + 1]
+        c = ring[F.when(k + 2 > m, 1).otherwise(k + 2)]
+        return F.signum((b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]))
 
-    def verdict(turns):
-        all_left = F.forall(turns, lambda t: t["c"] > 0)
-        all_right = F.forall(turns, lambda t: t["c"] < 0)
-        winding = F.aggregate(turns, F.lit(0.0), lambda acc, t: acc + F.atan2(t["c"], t["d"]))
-        return (all_left | all_right) & (F.abs(winding) < 3 * 3.141592653589793)
+    def sign_changes(axis):
+        signs = F.filter(F.transform(seq(0, m - 1), lambda k: F.signum(ring[k + 1][axis] - ring[k][axis])),
+                         lambda v: v != 0)
+        return let(signs, lambda sg: F.size(F.filter(
+            seq(0, F.size(sg) - 1), lambda i: sg[i] != sg[(i + 1) % F.size(sg)])))
 
-    return (m >= 3) & let(F.transform(seq(0, m - 1), turn), verdict)
+    turns = F.transform(seq(0, m - 1), turn_sign)
+    same = let(turns, lambda t: F.forall(t, lambda v: v == F.get(t, 0)) & (F.get(t, 0) != 0))
+    return (m >= 3) & same & (sign_changes(0) <= 2) & (sign_changes(1) <= 2)
 
 
-@bind_geometry
-def topology_valid_inrow(geom: Column) -> Column:
-    """G04 for one row: no forbidden edge contacts and correct ring nesting."""
-    parts = geom["parts"]
-    single_convex = (F.size(parts) == 1) & (F.size(parts[0]) == 1) & _convex_simple(parts[0][0])
+def _full_check(parts: Column) -> Column:
+    """Every rule over all edges and rings of ``parts`` (quadratic in edges)."""
     def clash(edges):
         n = F.size(edges)
         return F.exists(
@@ -193,6 +196,7 @@ def topology_valid_inrow(geom: Column) -> Column:
             seq(1, F.size(pa) - 1),
             lambda b: (a != b) & F.exists(pa[a], lambda p: _strictly_inside(pa[b], p)))))
     k = F.size(parts)
+
     def inside_part(b, p):
         in_hole = F.exists(F.slice(parts[b], 2, 1 << 30),
                            lambda h: _on_ring(h, p[0], p[1]) | _inside_ring(h, p[0], p[1]))
@@ -203,10 +207,44 @@ def topology_valid_inrow(geom: Column) -> Column:
         lambda a: F.exists(
             seq(0, k - 1),
             lambda b: (a != b) & F.exists(parts[a][0], lambda p: inside_part(b, p))))
-    complex_ok = ~edge_clash & ~hole_outside & ~nested_holes & ~nested_parts
-    return F.when(~geom["gtype"].isin(*POLYGONAL), F.lit(True)) \
-        .when(single_convex, F.lit(True)) \
-        .otherwise(complex_ok)
+    return ~edge_clash & ~hole_outside & ~nested_holes & ~nested_parts
+
+
+def _shell_box(pa: Column) -> Column:
+    xs = F.transform(pa[0], lambda p: p[0])
+    ys = F.transform(pa[0], lambda p: p[1])
+    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
+                    F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+
+def _boxes_apart(boxes: Column) -> Column:
+    """Shell boxes pairwise disjoint (not even touching)."""
+    n = F.size(boxes)
+    return F.forall(seq(0, n - 1), lambda i: F.forall(
+        seq(i + 1, n - 1),
+        lambda j: (boxes[i]["x1"] < boxes[j]["x0"]) | (boxes[j]["x1"] < boxes[i]["x0"])
+        | (boxes[i]["y1"] < boxes[j]["y0"]) | (boxes[j]["y1"] < boxes[i]["y0"])))
+
+
+@bind_geometry
+def topology_valid_inrow(geom: Column) -> Column:
+    """G04 for one row: no forbidden edge contacts and correct ring nesting.
+
+    Polygons whose shell boxes are pairwise apart cannot touch each other, so
+    each is checked alone; a polygon without holes whose shell is convex and
+    simple needs no edge-pair test at all. Only the rest pays the full
+    quadratic check.
+    """
+    parts = geom["parts"]
+
+    def part_ok(pa):
+        return ((F.size(pa) == 1) & _convex_simple(pa[0])) | _full_check(F.array(pa))
+
+    apart = let(F.transform(parts, _shell_box), _boxes_apart)
+    return F.when(parts.isNull(), F.lit(None).cast("boolean")) \
+        .when(~geom["gtype"].isin(*POLYGONAL), F.lit(True)) \
+        .when(apart, F.forall(parts, part_ok)) \
+        .otherwise(_full_check(parts))
 
 
 @bind_geometry

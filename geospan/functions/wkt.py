@@ -35,6 +35,9 @@ _PAIR = rf"({_NUM})\s+({_NUM})"
 _TRIPLE = rf"{_NUM}\s+{_NUM}\s+{_NUM}"
 # tag, optional dimension, body ("EMPTY" or a parenthesised list).
 _HEAD = r"(?is)^\s*([a-z]+)\s*(?:(zm|z|m)\s*)?(empty|\(.*\))\s*$"
+# The same prefix (tag and optional dimension) on its own, for the fast split.
+_PREFIX = r"(?i)^\s*([a-z]+)\s*(?:(zm|z|m)(?![a-z])\s*)?"
+_TRAILING_WS = " \t\n\r\f\u000b"
 # Members of a GEOMETRYCOLLECTION: a tagged item with at most three levels of
 # parentheses (enough for MULTIPOLYGON). Possessive quantifiers keep the Java
 # regex engine from recursing once per character on long member texts.
@@ -68,8 +71,8 @@ def _json(text: Column, ddl: str) -> Column:
 
 
 def _wrap(value: Column) -> Column:
-    """``array(value)`` that stays null when ``value`` is null."""
-    return F.when(value.isNotNull(), F.array(value))
+    """``array(value)`` that stays null when ``value`` is null (value evaluated once)."""
+    return let(value, lambda v: F.when(v.isNotNull(), F.array(v)))
 
 
 def _coord_json(body: Column) -> Column:
@@ -89,7 +92,8 @@ def _parts_of(tag: Column, body: Column) -> Column:
         F.when(F.upper(body) == "EMPTY", F.array().cast(_D4))
         .when(tag.isin("POINT", "MULTIPOINT"),
               F.transform(_json(_point_list_json(body), _D2), lambda p: F.array(F.array(p))))
-        .when(tag == "LINESTRING", _wrap(_wrap(_json(_coord_json(body), _D2))))
+        .when(tag == "LINESTRING", let(_json(_coord_json(body), _D2),
+                                       lambda v: F.when(v.isNotNull(), F.array(F.array(v)))))
         .when(tag == "POLYGON", _wrap(_json(_coord_json(body), _D3)))
         .when(tag == "MULTILINESTRING", F.transform(_json(_coord_json(body), _D3), lambda ln: F.array(ln)))
         .when(tag == "MULTIPOLYGON", _json(_coord_json(body), _D4))
@@ -115,12 +119,19 @@ def _well_formed(tag: Column, parts: Column, is_empty: Column) -> Column:
 
 
 def _split(text: Column) -> Column:
-    """``struct<tag, dim, body>`` of a WKT text (empty strings when it does not match)."""
-    return F.struct(
-        F.upper(F.regexp_extract(text, _HEAD, 1)).alias("tag"),
-        F.regexp_extract(text, _HEAD, 2).alias("dim"),
-        F.regexp_extract(text, _HEAD, 3).alias("body"),
-    )
+    """``struct<tag, dim, body>`` of a WKT text (body '' when it is not
+    'EMPTY' or a parenthesised list). Only the short prefix is matched by a
+    regex; the body is cut off by position, so long coordinate lists are not
+    scanned by the regex engine."""
+    def from_prefix(prefix):
+        rest = F.rtrim(F.substring(text, F.length(prefix) + 1, 1 << 30), F.lit(_TRAILING_WS))
+        ok = (F.upper(rest) == "EMPTY") | (rest.startswith("(") & rest.endswith(")"))
+        return F.struct(
+            F.upper(F.regexp_extract(prefix, _PREFIX, 1)).alias("tag"),
+            F.regexp_extract(prefix, _PREFIX, 2).alias("dim"),
+            F.when(ok, rest).otherwise(F.lit("")).alias("body"),
+        )
+    return let(F.regexp_extract(text, _PREFIX, 0), from_prefix)
 
 
 def _member(text: Column) -> Column:

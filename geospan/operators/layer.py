@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from geospan.functions import crs as C
 from geospan.functions import geometry as G
 from geospan.functions import validity as V
+from geospan.functions.cache import cached_expr
 from geospan.functions.collections import normalize
 from geospan.functions.wkt import let, parse_wkt
 
@@ -55,17 +56,34 @@ def decode_geometry(wkt: Column, srid: Column | int = C.WGS84) -> Column:
                 F.when(n["reason"].isNotNull(), n["reason"])
                 .when(G.is_empty(geom), F.lit("empty"))
                 .when(~G.all_finite(geom), F.lit("non_finite"))
-                .when(~V.structurally_valid(geom) | ~V.topology_valid_inrow(geom), F.lit("invalid"))
+                .when(~V.well_shaped(geom) | ~V.topology_valid_inrow(geom), F.lit("invalid"))
             )
             return let(reason, lambda r: F.struct(F.when(r.isNull(), geom).alias("geometry"), r.alias("reason")))
         return let(G.make_geom(n["gtype"], n["parts"], srid), with_geom)
     return let(normalize(parse_wkt(wkt)), with_norm)
 
 
-def with_geometry(df: DataFrame, wkt_col: str, srid: Column | int = C.WGS84,
+def _srid_col(srid: Column | int | str) -> Column | int:
+    return F.col(f"`{srid}`") if isinstance(srid, str) else srid
+
+
+@cached_expr
+def _decode_named(wkt_col: str, srid: int | str) -> Column:
+    return decode_geometry(F.col(f"`{wkt_col}`"), _srid_col(srid))
+
+
+@cached_expr
+def _layer_named(wkt_col: str, mapped_type: str, target: int, srid: int | str) -> Column:
+    return layer_geometry(F.col(f"`{wkt_col}`"), mapped_type, target, _srid_col(srid))
+
+
+def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
                   drop_wkt: bool = True) -> DataFrame:
-    """Add ``geometry`` and ``reject_reason``; P04 drops the WKT column."""
-    return _expand(df, decode_geometry(F.col(f"`{wkt_col}`"), srid), wkt_col if drop_wkt else None)
+    """Add ``geometry`` and ``reject_reason``; P04 drops the WKT column.
+
+    ``srid`` is an EPSG code or the name of a column holding one per row.
+    """
+    return _expand(df, _decode_named(wkt_col, srid), wkt_col if drop_wkt else None)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -112,10 +130,10 @@ def layer_geometry(wkt: Column, mapped_type: str, target: int, srid: Column | in
 
 
 def to_layer(df: DataFrame, wkt_col: str, geometry_type: str = "footprint", crs: str = "wgs84",
-             srid: Column | int = C.WGS84) -> DataFrame:
+             srid: int | str = C.WGS84) -> DataFrame:
     """The occurrence layer: attributes + ``geometry`` in the target CRS + ``reject_reason``."""
     mapped_type, target = check_params(geometry_type, crs)
-    return _expand(df, layer_geometry(F.col(f"`{wkt_col}`"), mapped_type, target, srid), wkt_col)
+    return _expand(df, _layer_named(wkt_col, mapped_type, target, srid), wkt_col)
 
 
 def _keep(layer: DataFrame, cond: Column) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from geospan.functions import crs as C
 from geospan.functions import geometry as G
 from geospan.functions.collections import normalize
-from geospan.functions.wkt import parse_wkt, to_wkt
+from geospan.functions.cache import cached_expr
+from geospan.functions.wkt import let, parse_wkt, to_wkt
 
 WKT_OUT = "footprintWKT"
 
@@ -28,6 +29,16 @@ def union_layers(layers: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), layers)
 
 
+@cached_expr
+def _table_wkt(wkt_col: str, srid_col: str | None) -> Column:
+    srid = F.col(f"`{srid_col}`") if srid_col else F.lit(None).cast("int")
+    geom = geometry_from_wkt(F.col(f"`{wkt_col}`"), srid)
+    return let(geom, lambda g: F.struct(
+        to_wkt(G.simplify_single_part(C.to_srid(g, C.WGS84))).alias("wkt"),
+        F.when(g.isNotNull() & g["srid"].isNull(), F.lit("missing_crs"))
+        .when(g.isNotNull() & ~C.supported_srid(g["srid"]), F.lit("unsupported_crs")).alias("issue")))
+
+
 def geometry_from_wkt(wkt: Column, srid: Column) -> Column:
     """Parse + normalise, no validity filter (the table export keeps every feature)."""
     n = normalize(parse_wkt(wkt))
@@ -45,19 +56,14 @@ def to_table(layers: list[DataFrame], wkt_col: str = "wkt", srid_col: str | None
     """
     df = union_layers(layers)
     if geometry_col is None:
-        srid = F.col(srid_col) if srid_col else F.lit(None).cast("int")
-        geom = geometry_from_wkt(F.col(wkt_col), srid)
+        conv = _table_wkt(wkt_col, srid_col)
         drop = [c for c in (wkt_col, srid_col) if c]
     else:
-        geom = F.col(geometry_col)
+        g = F.col(f"`{geometry_col}`")
+        conv = F.struct(to_wkt(G.simplify_single_part(C.to_srid(g, C.WGS84))).alias("wkt"))
         drop = [geometry_col]
-    moved = C.to_srid(geom, C.WGS84)
-    out = G.simplify_single_part(moved)
-    issue = (F.when(geom.isNotNull() & geom["srid"].isNull(), F.lit("missing_crs"))
-             .when(geom.isNotNull() & moved.isNull(), F.lit("unsupported_crs")))
     attrs = [c for c in df.columns if c not in drop]
-    result = df.select(*[F.col(f"`{c}`") for c in attrs], to_wkt(out).alias(WKT_OUT), issue.alias("_issue"))
-    return result.drop("_issue")
+    return df.select(*[F.col(f"`{c}`") for c in attrs], conv["wkt"].alias(WKT_OUT))
 
 
 def table_issues(layers: list[DataFrame], srid_col: str = "srid") -> DataFrame:
