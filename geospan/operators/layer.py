@@ -93,6 +93,8 @@ def spread(df: DataFrame) -> DataFrame:
     input that lands in fewer partitions than the cluster has cores (a single
     parquet row group, one text file) is spread round-robin first.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
