@@ -4,13 +4,15 @@ GeoJSON is read with Spark's JSON source (``multiLine``) and the feature
 array is exploded; KML and GML with Spark's XML source (``rowTag``). The
 geometry becomes WKT text plus an SRID column, ready for
 :func:`geospan.operators.union.to_table`. Schemas are given, never inferred
-for the geometry part; attribute properties keep their inferred types.
+for the geometry part (coordinates are kept as their JSON text); attribute
+properties keep their inferred types.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _GEOJSON_GEOMETRY = "struct<type:string,coordinates:string>"
 
@@ -32,9 +34,15 @@ def geojson_wkt(gtype: Column, coords: Column) -> Column:
 
 def read_geojson(spark: SparkSession, path: str, srid: int = 4326) -> DataFrame:
     """One row per feature: its properties, ``wkt`` and ``srid``."""
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", False).json(path)
+    inferred = spark.read.option("multiLine", True).json(path).schema
+    feature_type = inferred["features"].dataType.elementType
+    fields = [T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()),
+                                                      T.StructField("coordinates", T.StringType())]))
+              if f.name == "geometry" else f for f in feature_type.fields]
+    schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType(fields)))])
+    raw = spark.read.option("multiLine", True).schema(schema).json(path)
     feats = raw.select(F.explode("features").alias("f"))
-    props = feats.select("f.properties.*", F.to_json("f.geometry.coordinates").alias("_coords"),
+    props = feats.select("f.properties.*", F.col("f.geometry.coordinates").alias("_coords"),
                          F.col("f.geometry.type").alias("_gtype"))
     return (props.withColumn("wkt", geojson_wkt(F.col("_gtype"), F.col("_coords")))
             .withColumn("srid", F.lit(srid)).drop("_coords", "_gtype"))
@@ -78,10 +86,10 @@ def read_gml(spark: SparkSession, path: str, row_tag: str = "featureMember",
     base = df.select(f"{feature}.*") if feature else df
     g = F.col(geometry_field)
     flat = base.select("*", F.to_json(g).alias("_gjson"))
-    srs = F.get_json_object("_gjson", "$..._srsName")
-    pos = F.coalesce(F.get_json_object("_gjson", "$..pos"), F.get_json_object("_gjson", "$..posList"))
-    nums = F.split(F.trim(F.regexp_replace(pos, r"[\[\]\"]", " ")), r"\s+")
-    coords = F.array_join(F.transform(F.sequence(F.lit(0), F.size(nums) / 2 - 1),
+    srs = F.regexp_extract("_gjson", r'"_srsName":"([^"]*)"', 1)
+    pos = F.regexp_extract("_gjson", r'"(?:[A-Za-z0-9]+:)?pos(?:List)?":"([^"]*)"', 1)
+    nums = F.split(F.trim(pos), r"\s+")
+    coords = F.array_join(F.transform(F.sequence(F.lit(0), (F.size(nums) / 2 - 1).cast("int")),
                                       lambda i: F.concat_ws(" ", nums[i * 2], nums[i * 2 + 1])), ", ")
     kind = F.when(F.col("_gjson").contains("Polygon"), "POLYGON").when(F.col("_gjson").contains("LineString"),
                                                                         "LINESTRING").otherwise("POINT")

@@ -27,6 +27,8 @@ LOG_SCHEMA = ("conversion_id string, event_id long, ts timestamp_ntz, status str
 def latest_status_stream(log: DataFrame, watermark: str = "24 hours") -> DataFrame:
     """O01 on a stream of status updates (same semantics as the batch version)."""
     order = F.struct(F.col("ts"), F.col("event_id"))
+    # watermarks need an instant type; the log's wall-clock NTZ time is read in the session zone
+    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
     return (log.withWatermark("ts", watermark)
             .groupBy("conversion_id")
             .agg(F.max_by("status", order).alias("status"),
