@@ -45,7 +45,7 @@ def check_params(geometry_type: str, crs: str) -> tuple[str, int]:
     return GEOMETRY_TYPES[geometry_type], CRS_CODES[crs]
 
 
-def decode_geometry(wkt: Column, srid: Column | int = C.WGS84) -> Column:
+def decode_geometry(wkt: Column, srid: Column | int = C.WGS84, topology: bool = True) -> Column:
     """WKT -> ``struct<geometry, reason>``: parse, normalise, check usability.
 
     Each intermediate is bound once (``let``) so the parse runs once per row.
@@ -56,7 +56,8 @@ def decode_geometry(wkt: Column, srid: Column | int = C.WGS84) -> Column:
                 F.when(n["reason"].isNotNull(), n["reason"])
                 .when(G.is_empty(geom), F.lit("empty"))
                 .when(~G.all_finite(geom), F.lit("non_finite"))
-                .when(~V.well_shaped(geom) | ~V.topology_valid_inrow(geom), F.lit("invalid"))
+                .when(~V.well_shaped(geom) | (~V.topology_valid_inrow(geom) if topology else F.lit(False)),
+                      F.lit("invalid"))
             )
             return let(reason, lambda r: F.struct(F.when(r.isNull(), geom).alias("geometry"), r.alias("reason")))
         return let(G.make_geom(n["gtype"], n["parts"], srid), with_geom)
@@ -68,8 +69,8 @@ def _srid_col(srid: Column | int | str) -> Column | int:
 
 
 @cached_expr
-def _decode_named(wkt_col: str, srid: int | str) -> Column:
-    return decode_geometry(F.col(f"`{wkt_col}`"), _srid_col(srid))
+def _decode_named(wkt_col: str, srid: int | str, topology: bool = True) -> Column:
+    return decode_geometry(F.col(f"`{wkt_col}`"), _srid_col(srid), topology)
 
 
 @cached_expr
@@ -78,12 +79,14 @@ def _layer_named(wkt_col: str, mapped_type: str, target: int, srid: int | str) -
 
 
 def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
-                  drop_wkt: bool = True) -> DataFrame:
+                  drop_wkt: bool = True, topology: bool = True) -> DataFrame:
     """Add ``geometry`` and ``reject_reason``; P04 drops the WKT column.
 
     ``srid`` is an EPSG code or the name of a column holding one per row.
+    ``topology=False`` leaves the edge/nesting rules to the shuffle-based
+    check of :mod:`geospan.operators.validity` (for very large geometries).
     """
-    return _expand(df, _decode_named(wkt_col, srid), wkt_col if drop_wkt else None)
+    return _expand(df, _decode_named(wkt_col, srid, topology), wkt_col if drop_wkt else None)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from geospan.operators import archives as A
 from geospan.operators import convlog as L
 from geospan.operators.layer import good_rows, reject_rollup, to_layer, with_geometry
 from geospan.operators.union import to_table
+from geospan.operators.validity import invalid_geometries
+from geospan.session import checkpoint_dir
 from geospan.plans.fixtures import table, view, view_sql
 from geospan.sources.dictionary import column_types
 from geospan.sources.tsv import occurrences_from_lines
@@ -181,6 +183,23 @@ from {view_sql('occ_bowtie')} v
 """
 
 
+def bowtie_validity_join(spark: SparkSession, sf: str) -> DataFrame:
+    """G04 by the distributed edge grid join (the path for very large rings)."""
+    d = with_geometry(view(spark, sf, "occ_bowtie"), "wkt", topology=False) \
+        .withColumn("_gid", F.monotonically_increasing_id())
+    checkpoint_dir(spark)
+    d = d.checkpoint()          # ids stay fixed: the table is read twice below
+    bad = invalid_geometries(d, "_gid")
+    flagged = d.join(bad.withColumnRenamed("gid", "_gid").withColumn("_bad", F.lit(True)), "_gid", "left")
+    valid = F.col("reject_reason").isNull() & F.col("_bad").isNull()
+    return flagged.select("l_orderkey", "l_linenumber", "kind", valid.alias("valid"))
+
+
+BOWTIE_VALIDITY_JOIN = f"""
+select l_orderkey, l_linenumber, kind, kind in (1, 2) as valid from {view_sql('occ_bowtie')} v
+"""
+
+
 # ------------------------------------------------------------ G06 - G09 + G18
 
 def collections_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -407,6 +426,7 @@ CATALOG = {
     "poly_footprint_wkt": (poly_footprint_wkt, POLY_FOOTPRINT_WKT),
     "poly_centroid_tm35fin": (poly_centroid_tm35fin, _poly_centroid_tm35fin_sql()),
     "bowtie_validity": (bowtie_validity, BOWTIE_VALIDITY),
+    "bowtie_validity_join": (bowtie_validity_join, BOWTIE_VALIDITY_JOIN),
     "collections_normalize": (collections_normalize, COLLECTIONS_NORMALIZE),
     "rejected_rollup": (rejected_rollup, REJECTED_ROLLUP),
     "tsv_typed": (tsv_typed, TSV_TYPED),
