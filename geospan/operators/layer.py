@@ -75,7 +75,7 @@ def _decode_named(wkt_col: str, srid: int | str, topology: bool = True) -> Colum
 
 @cached_expr
 def _layer_named(wkt_col: str, mapped_type: str, target: int, srid: int | str) -> Column:
-    return layer_geometry(F.col(f"`{wkt_col}`"), mapped_type, target, _srid_col(srid))
+    return layer_from_decoded(_decode_named(wkt_col, srid, True), mapped_type, target)
 
 
 def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
@@ -125,13 +125,18 @@ def transform_geometry(geom: Column, mapped_type: str) -> Column:
 
 def layer_geometry(wkt: Column, mapped_type: str, target: int, srid: Column | int = C.WGS84) -> Column:
     """Decode -> re-project -> transform as one bound expression: ``struct<geometry, reason>``."""
+    return layer_from_decoded(decode_geometry(wkt, srid), mapped_type, target)
+
+
+def layer_from_decoded(decoded: Column, mapped_type: str, target: int) -> Column:
+    """Re-project and transform an already decoded ``struct<geometry, reason>``."""
     def with_decoded(d):
         def with_moved(moved):
             reason = F.when(d["reason"].isNotNull(), d["reason"]).when(moved.isNull(), F.lit("unsupported_crs"))
             return F.struct(F.when(reason.isNull(), transform_geometry(moved, mapped_type)).alias("geometry"),
                             reason.alias("reason"))
         return let(C.to_srid(d["geometry"], target), with_moved)
-    return let(decode_geometry(wkt, srid), with_decoded)
+    return let(decoded, with_decoded)
 
 
 def to_layer(df: DataFrame, wkt_col: str, geometry_type: str = "footprint", crs: str = "wgs84",
