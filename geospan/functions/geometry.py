@@ -14,6 +14,9 @@ from geospan.functions.wkt import GEOM_DDL, PARTS_DDL, let
 
 import functools
 
+from pyspark.sql import types as T
+
+_INT_ARRAY = T.ArrayType(T.IntegerType())
 POLYGONAL = ("POLYGON", "MULTIPOLYGON")
 LINEAL = ("LINESTRING", "MULTILINESTRING")
 PUNTAL = ("POINT", "MULTIPOINT")
@@ -23,7 +26,7 @@ def seq(start, stop) -> Column:
     """Inclusive integer range that is empty (never descending) when stop < start."""
     a = F.lit(start) if isinstance(start, int) else start
     b = F.lit(stop) if isinstance(stop, int) else stop
-    return F.when(b >= a, F.sequence(a, b)).when(b < a, F.array().cast("array<int>"))
+    return F.when(b >= a, F.sequence(a, b)).when(b < a, F.array().cast(_INT_ARRAY))
 
 
 # ``let(value, body)``: evaluate ``value`` once and pass it to ``body`` as a
@@ -48,7 +51,7 @@ def bind_geometry(fn):
 
 def make_geom(gtype: Column, parts: Column, srid: Column | int = 4326) -> Column:
     srid_c = F.lit(srid) if isinstance(srid, int) else srid
-    return F.struct(gtype.alias("gtype"), srid_c.cast("int").alias("srid"), parts.cast(PARTS_DDL).alias("parts"))
+    return F.struct(gtype.alias("gtype"), srid_c.cast(T.IntegerType()).alias("srid"), parts.cast(PARTS_DDL).alias("parts"))
 
 
 def point(x: Column, y: Column, srid: int = 4326) -> Column:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geospan.functions.geometry import POLYGONAL, all_finite, bind_geometry, let, seq
 
@@ -241,7 +242,7 @@ def topology_valid_inrow(geom: Column) -> Column:
         return ((F.size(pa) == 1) & _convex_simple(pa[0])) | _full_check(F.array(pa))
 
     apart = let(F.transform(parts, _shell_box), _boxes_apart)
-    return F.when(parts.isNull(), F.lit(None).cast("boolean")) \
+    return F.when(parts.isNull(), F.lit(None).cast(T.BooleanType())) \
         .when(~geom["gtype"].isin(*POLYGONAL), F.lit(True)) \
         .when(apart, F.forall(parts, part_ok)) \
         .otherwise(_full_check(parts))

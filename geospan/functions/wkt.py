@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def let(value: Column, body) -> Column:
@@ -24,8 +25,15 @@ def let(value: Column, body) -> Column:
 
 
 GEOM_DDL = "struct<gtype:string,srid:int,parts:array<array<array<array<double>>>>>"
-PARTS_DDL = "array<array<array<array<double>>>>"
-MEMBER_DDL = "array<struct<gtype:string,parts:array<array<array<array<double>>>>>>"
+# Types as objects: casting to a DataType object avoids a SQL-parser round
+# trip per cast while the (large) expressions are built.
+_D2 = T.ArrayType(T.ArrayType(T.DoubleType()))
+_D3 = T.ArrayType(_D2)
+PARTS_DDL = T.ArrayType(_D3)
+MEMBER_DDL = T.ArrayType(T.StructType([T.StructField("gtype", T.StringType()),
+                                       T.StructField("parts", PARTS_DDL)]))
+GEOM_TYPE = T.StructType([T.StructField("gtype", T.StringType()), T.StructField("srid", T.IntegerType()),
+                          T.StructField("parts", PARTS_DDL)])
 
 SIMPLE_TYPES = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
 
@@ -47,8 +55,6 @@ _L1 = rf"\((?:[^()]++|{_L2})*+\)"
 _MEMBER = rf"(?i)((?:multi)?(?:point|linestring|polygon)\s*+(?:(?:zm|z|m)\s*+)?(?:empty|{_L1}))"
 _MEMBER_LEFTOVER = r"^\(\s*(?:,\s*)*\)$"
 
-_D2 = "array<array<double>>"
-_D3 = "array<array<array<double>>>"
 _D4 = PARTS_DDL
 _JSON_OPTS = {"allowNumericLeadingZeros": "true"}
 
@@ -190,7 +196,7 @@ def parse_wkt(wkt: Column) -> Column:
 
 def format_number(v: Column, decimals: int = 6) -> Column:
     """Fixed decimals, trailing zeros trimmed, half-even: '19.125', '60', '-0.5'."""
-    text = F.bround(v, decimals).cast(f"decimal(38,{decimals})").cast("string")
+    text = F.bround(v, decimals).cast(T.DecimalType(38, decimals)).cast(T.StringType())
     return F.regexp_replace(text, r"\.?0+$|(\.\d*?[1-9])0+$", "$1")
 
 
