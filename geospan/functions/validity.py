@@ -244,6 +244,7 @@ def topology_valid_inrow(geom: Column) -> Column:
     apart = let(F.transform(parts, _shell_box), _boxes_apart)
     return F.when(parts.isNull(), F.lit(None).cast(T.BooleanType())) \
         .when(~geom["gtype"].isin(*POLYGONAL), F.lit(True)) \
+        .when(F.size(parts) == 1, part_ok(parts[0])) \
         .when(apart, F.forall(parts, part_ok)) \
         .otherwise(_full_check(parts))
 

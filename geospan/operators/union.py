@@ -74,6 +74,31 @@ def table_issues(layers: list[DataFrame], srid_col: str = "srid") -> DataFrame:
     return df.groupBy(issue.alias("crs_status")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def read_layers_safely(readers: dict) -> list[DataFrame]:
+    """Call each ``name -> reader()``; a layer that fails to read is
+    logged and skipped, empty layers add nothing; none left is an error."""
+    import logging
+
+    layers = []
+    for name, reader in readers.items():
+        try:
+            df = reader()
+            if not df.isEmpty():
+                layers.append(df)
+        except Exception as exc:  # a broken layer must not stop the others
+            logging.warning("Failed to read layer %r: %s", name, exc)
+    if not layers:
+        raise RuntimeError("No readable layers found")
+    return layers
+
+
+def require_crs(layers: list[DataFrame], srid_col: str = "srid") -> None:
+    """G15 strict mode: fail when any feature has no coordinate reference system."""
+    issues = dict(table_issues(layers, srid_col).collect())
+    if issues.get("missing_crs"):
+        raise RuntimeError("No coordinate reference system found in the GIS file")
+
+
 def require_rows(df: DataFrame, message: str = "No features found in the GIS file") -> DataFrame:
     """K05 for the table export: fail when nothing is there."""
     if df.isEmpty():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from geospan.operators.convlog import COMPLETE, FAILED, PROCESSING, conversion_key, latest_status
 from geospan.operators.layer import check_params, to_layer
-from geospan.operators.union import require_rows, to_table
+from geospan.operators.union import require_crs, require_rows, to_table
 from geospan.sinks.layers import write_layer, write_table_csv
 from geospan.sources.tsv import (FLAT_WKT_COLUMN, ROWS_WKT_COLUMN, WKT_COLUMN, read_flat, read_occurrences,
                                  read_rows)
@@ -70,5 +70,6 @@ def convert_export(spark: SparkSession, path: str, out_dir: str, kind: str = "oc
 
 def convert_layers(layers: list[DataFrame], csv_path: str) -> None:
     """The GIS-to-table job: union, WGS84, simplify, WKT last, CSV."""
+    require_crs(layers)
     table = require_rows(to_table(layers))
     write_table_csv(table, csv_path)

@@ -79,3 +79,22 @@ def test_geojson_kml_gml_to_table(spark, tmp_path):
     assert "POINT (27 60)" in wkts                            # EPSG:3067 re-projected
     write_table_csv(table, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
+
+
+def test_skip_unreadable_layers_and_crs_guard(spark):
+    from geospan.operators.union import read_layers_safely, require_crs
+
+    good = spark.createDataFrame([(1, "POINT (1 2)", 4326)], "id long, wkt string, srid int")
+    empty = good.limit(0)
+
+    def broken():
+        raise OSError("cannot read")
+
+    layers = read_layers_safely({"a": lambda: good, "b": broken, "c": lambda: empty})
+    assert len(layers) == 1
+    with pytest.raises(RuntimeError, match="No readable layers"):
+        read_layers_safely({"b": broken})
+    nocrs = spark.createDataFrame([(1, "POINT (1 2)", None)], "id long, wkt string, srid int")
+    with pytest.raises(RuntimeError, match="coordinate reference system"):
+        require_crs([nocrs])
+    require_crs([good])
