@@ -143,10 +143,36 @@ def layer_from_decoded(decoded: Column, mapped_type: str, target: int) -> Column
 
 
 def to_layer(df: DataFrame, wkt_col: str, geometry_type: str = "footprint", crs: str = "wgs84",
-             srid: int | str = C.WGS84) -> DataFrame:
-    """The occurrence layer: attributes + ``geometry`` in the target CRS + ``reject_reason``."""
+             srid: int | str = C.WGS84, big_geometry_vertices: int | None = None) -> DataFrame:
+    """The occurrence layer: attributes + ``geometry`` in the target CRS + ``reject_reason``.
+
+    With ``big_geometry_vertices`` set, rows whose WKT has more vertices than
+    that (counted cheaply from the text, before parsing) are validated by the
+    distributed edge join of :mod:`geospan.operators.validity` instead of the
+    per-row pair check, so one huge polygon is spread over many tasks. Every
+    row is still parsed once on its own branch.
+    """
     mapped_type, target = check_params(geometry_type, crs)
-    return _expand(df, _layer_named(wkt_col, mapped_type, target, srid), wkt_col)
+    if big_geometry_vertices is None:
+        return _expand(df, _layer_named(wkt_col, mapped_type, target, srid), wkt_col)
+    from geospan.operators.validity import invalid_geometries
+
+    wkt = F.col(f"`{wkt_col}`")
+    vertices = F.length(wkt) - F.length(F.regexp_replace(wkt, ",", "")) + 1
+    small = df.filter(F.coalesce(vertices, F.lit(0)) <= big_geometry_vertices)
+    big = df.filter(vertices > big_geometry_vertices)
+    out_small = _expand(small, _layer_named(wkt_col, mapped_type, target, srid), wkt_col)
+    decoded = (big.select("*", _decode_named(wkt_col, srid, False).alias("_d"))
+               .withColumn("_gid", F.monotonically_increasing_id()))
+    bad = invalid_geometries(decoded.select("_gid", F.col("_d.geometry").alias("geometry")), "_gid")
+    flagged = decoded.join(bad.select(F.col("gid").alias("_gid"), F.lit(True).alias("_bad")), "_gid", "left")
+    checked = F.struct(
+        F.when(F.col("_bad").isNull(), F.col("_d.geometry")).alias("geometry"),
+        F.when(F.col("_d.reason").isNotNull(), F.col("_d.reason"))
+        .when(F.col("_bad").isNotNull(), F.lit("invalid")).alias("reason"))
+    staged = flagged.select(*[F.col(f"`{c}`") for c in df.columns], checked.alias("_checked"))
+    out_big = _expand(staged.drop(wkt_col), layer_from_decoded(F.col("_checked"), mapped_type, target), None)
+    return out_small.unionByName(out_big.select(*out_small.columns))
 
 
 def _keep(layer: DataFrame, cond: Column) -> DataFrame:

@@ -98,3 +98,14 @@ def test_skip_unreadable_layers_and_crs_guard(spark):
     with pytest.raises(RuntimeError, match="coordinate reference system"):
         require_crs([nocrs])
     require_crs([good])
+
+
+def test_big_geometries_take_the_join_path(spark):
+    wkts = ["POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))", "POLYGON ((0 0, 2 2, 2 0, 0 2, 0 0))",
+            "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 3 2, 3 3, 2 3, 2 2))",
+            "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (12 2, 13 2, 13 3, 12 3, 12 2))",
+            "POINT (1 2)", "bad"]
+    df = spark.createDataFrame(list(enumerate(wkts)), "id long, wkt string")
+    inrow = {r.id: r.reject_reason for r in to_layer(df, "wkt").collect()}
+    joined = {r.id: r.reject_reason for r in to_layer(df, "wkt", big_geometry_vertices=3).collect()}
+    assert inrow == joined == {0: None, 1: "invalid", 2: None, 3: "invalid", 4: None, 5: "unparsable"}
