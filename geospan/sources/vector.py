@@ -23,6 +23,18 @@ def _pairs(c: Column) -> Column:
     return F.translate(t, "[]", "()")
 
 
+def file_encoding(spark: SparkSession, path: str) -> str:
+    """S14: 'UTF-8' when every file under ``path`` is valid UTF-8, else
+    'ISO-8859-1' (which accepts every byte, so no later fallback is needed).
+
+    The bytes are checked in the executors; only one boolean per file comes
+    back to the driver.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    bad = files.filter(~F.is_valid_utf8(F.col("content"))).select("path").limit(1).collect()
+    return "ISO-8859-1" if bad else "UTF-8"
+
+
 def geojson_wkt(gtype: Column, coords: Column) -> Column:
     """GeoJSON geometry (type + coordinates JSON text) -> WKT."""
     body = _pairs(coords)
@@ -32,15 +44,16 @@ def geojson_wkt(gtype: Column, coords: Column) -> Column:
                   F.concat(up, F.lit(" "), body)))
 
 
-def read_geojson(spark: SparkSession, path: str, srid: int = 4326) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, srid: int = 4326, encoding: str | None = None) -> DataFrame:
     """One row per feature: its properties, ``wkt`` and ``srid``."""
-    inferred = spark.read.option("multiLine", True).json(path).schema
+    enc = encoding or file_encoding(spark, path)
+    inferred = spark.read.option("multiLine", True).option("encoding", enc).json(path).schema
     feature_type = inferred["features"].dataType.elementType
     fields = [T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()),
                                                       T.StructField("coordinates", T.StringType())]))
               if f.name == "geometry" else f for f in feature_type.fields]
     schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType(fields)))])
-    raw = spark.read.option("multiLine", True).schema(schema).json(path)
+    raw = spark.read.option("multiLine", True).option("encoding", enc).schema(schema).json(path)
     feats = raw.select(F.explode("features").alias("f"))
     props = feats.select("f.properties.*", F.col("f.geometry.coordinates").alias("_coords"),
                          F.col("f.geometry.type").alias("_gtype"))
@@ -54,9 +67,10 @@ def _kml_coords(c: Column) -> Column:
     return F.array_join(F.transform(pts, lambda p: F.concat_ws(" ", F.slice(F.split(p, ","), 1, 2))), ", ")
 
 
-def read_kml(spark: SparkSession, path: str) -> DataFrame:
+def read_kml(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Placemarks with name/description and Point/LineString/Polygon geometry (WGS84)."""
-    pm = (spark.read.format("xml").option("rowTag", "Placemark").load(path))
+    enc = encoding or file_encoding(spark, path)
+    pm = spark.read.format("xml").option("rowTag", "Placemark").option("charset", enc).load(path)
     cols = set(pm.columns)
     out = pm.select(
         (F.col("name") if "name" in cols else F.lit(None).cast("string")).alias("name"),
@@ -78,10 +92,12 @@ def srid_from_name(srs: Column) -> Column:
 
 
 def read_gml(spark: SparkSession, path: str, row_tag: str = "featureMember",
-             geometry_field: str = "geometry") -> DataFrame:
+             geometry_field: str = "geometry", encoding: str | None = None) -> DataFrame:
     """Feature members; ``gml:pos`` / ``gml:posList`` text becomes WKT and
     ``srsName`` gives the SRID (null when absent -> reason missing_crs)."""
-    df = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_").load(path)
+    enc = encoding or file_encoding(spark, path)
+    df = (spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_")
+          .option("charset", enc).load(path))
     feature = df.columns[0] if len(df.columns) == 1 else None
     base = df.select(f"{feature}.*") if feature else df
     g = F.col(geometry_field)

@@ -26,3 +26,21 @@ def test_decode_text_latin1_fallback(spark):
     df = spark.createDataFrame([(bytearray("Ä".encode("latin-1")),), (bytearray("Ä".encode("utf-8")),)], "b binary")
     got = [r.t for r in df.select(decode_text(F.col("b")).alias("t")).collect()]
     assert got == ["Ä", "Ä"]
+
+
+def test_vector_file_latin1_fallback(spark, tmp_path):
+    import json
+
+    from geospan.sources.vector import file_encoding, read_geojson
+
+    gj = {"type": "FeatureCollection", "features": [
+        {"type": "Feature", "properties": {"name": "Äänekoski"},
+         "geometry": {"type": "Point", "coordinates": [25.7, 62.6]}}]}
+    (tmp_path / "latin.geojson").write_bytes(json.dumps(gj, ensure_ascii=False).encode("latin-1"))
+    (tmp_path / "utf").mkdir()
+    (tmp_path / "utf" / "u.geojson").write_text(json.dumps(gj, ensure_ascii=False), encoding="utf-8")
+    assert file_encoding(spark, str(tmp_path / "latin.geojson")) == "ISO-8859-1"
+    assert file_encoding(spark, str(tmp_path / "utf")) == "UTF-8"
+    for p in (tmp_path / "latin.geojson", tmp_path / "utf"):
+        r = read_geojson(spark, str(p)).first()
+        assert r.name == "Äänekoski" and r.wkt == "POINT (25.7 62.6)"
