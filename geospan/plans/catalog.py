@@ -271,6 +271,23 @@ where regexp_matches(value, '\\S') and len(f) <= 5
 """
 
 
+def export_layer_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """End to end: export lines -> typed rows -> TM35FIN point layer -> outcome counts."""
+    lines = view(spark, sf, "tsv_lines").select("value")
+    typed = occurrences_from_lines(lines, TSV_NAMES, column_types("tech"))
+    return reject_rollup(to_layer(typed, "footprintWKT", geometry_type="point", crs="euref"))
+
+
+EXPORT_LAYER_ROLLUP = f"""
+select case when f[5] is null or f[5] in ({_TOKENS}) then 'null_wkt'
+            when f[5] like 'POINT (%' then 'ok' else 'unparsable' end as outcome,
+       count(*) as n_rows
+from (select value, string_split(value, chr(9)) as f from {view_sql('tsv_lines')} v) s
+where regexp_matches(value, '\\S') and len(f) <= 5
+group by 1
+"""
+
+
 # ------------------------------------------------------------ S09 / A05
 
 def archive_classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -430,6 +447,7 @@ CATALOG = {
     "collections_normalize": (collections_normalize, COLLECTIONS_NORMALIZE),
     "rejected_rollup": (rejected_rollup, REJECTED_ROLLUP),
     "tsv_typed": (tsv_typed, TSV_TYPED),
+    "export_layer_rollup": (export_layer_rollup, EXPORT_LAYER_ROLLUP),
     "archive_classify": (archive_classify, ARCHIVE_CLASSIFY),
     "sidecar_missing": (sidecar_missing, SIDECAR_MISSING),
     "latest_status": (latest_status, LATEST_STATUS),
