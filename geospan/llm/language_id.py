@@ -1,6 +1,6 @@
 """Language ID by compression.
 
-Each language's dictionary is raw text of that language; a text is cut into
+Each language's dictionary is raw lower-cased text of that language; a text is cut into
 pieces, each compressed by zstandard with every dictionary, and the language
 with the smallest total wins. Where the runner-up is nearly as small the
 guess is marked as rejected.
@@ -17,7 +17,7 @@ LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
-def train_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 250,
+def train_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 600,
                        doc_chars: int = 1200) -> dict[str, bytes]:
     """A raw-content dictionary for each language.
 
@@ -41,13 +41,13 @@ def train_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str =
     parts: dict[str, list[str]] = {lang: [] for lang in sizes}
     for r in sample.filter(F.col("nth") <= max_docs).orderBy("lang", "nth").toLocalIterator():
         parts[r["lang"]].append(r["text"])
-    return {lang: "\n".join(texts).encode() for lang, texts in sorted(parts.items()) if texts}
+    return {lang: "\n".join(texts).lower().encode() for lang, texts in sorted(parts.items()) if texts}
 
 
 class Compressors:
     """Compressed sizes of a text under each language's dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], piece: int = 1024, level: int = 3):
+    def __init__(self, dictionaries: dict[str, bytes], piece: int = 2048, level: int = 5):
         import zstandard
         self.langs, self.piece, self.coders = list(dictionaries), piece, []
         for content in dictionaries.values():
@@ -64,7 +64,7 @@ class Compressors:
         """Language, score (0 to 1), its size and the runner-up's."""
         if not self.langs or not LETTER.search(text):
             return UNKNOWN, 0.0, 0, 0
-        sizes = self.sizes(text.encode("utf-8", "replace"))
+        sizes = self.sizes(text.lower().encode("utf-8", "replace"))
         best = min(range(len(sizes)), key=lambda i: (sizes[i], self.langs[i]))
         rest = [s for i, s in enumerate(sizes) if i != best]
         score = 1 / (1 + sum(2.0 ** (-min(s - sizes[best], 400) / 2) for s in rest))

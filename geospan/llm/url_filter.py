@@ -54,21 +54,26 @@ def tokens(host: str, path: str) -> tuple[str, ...]:
     return (f"s1:{labels[-1]}", f"s2:{'.'.join(labels[-2:])}", f"p:{parts[1] if len(parts) > 2 else ''}", f"e:{ext}")
 
 
+#: Statistic of a suffix that too few labelled URLs have.
+UNSEEN = -1.0
+
+
 class UrlModel:
     """Block rates of suffixes, and trees; of bounded size."""
 
-    def __init__(self, rates: dict[str, float], base: float, trees: Boosted):
-        self.rates, self.base, self.trees = rates, base, trees
+    def __init__(self, rates: dict[str, float], trees: Boosted):
+        self.rates, self.trees = rates, trees
 
     def row(self, url: str, host: str, path: str) -> list[float]:
         query = url.partition("?")[2].partition("#")[0]
         n = max(len(url), 1)
         first_digit = re.search(r"\d", path)
+        stats = [self.rates.get(t, UNSEEN) for t in tokens(host, path)]
         return [len(url), len(host), len(path), host.count("."), path.count("/"), len(query), query.count("="),
                 query.count("&"), sum(map(str.isdigit, url)) / n, sum(map(str.isdigit, host)), url.count("-"),
                 sum(not c.isalnum() for c in url) / n, entropy(host), entropy(path), float(url.startswith("https")),
                 float("#" in url), float(path.endswith("/")), float(first_digit.start() if first_digit else -1),
-                *(self.rates.get(t, self.base) for t in tokens(host, path))]
+                *stats]
 
     def score(self, rows: list[tuple[str, str, str]]) -> np.ndarray:
         """Probability of block."""
@@ -90,10 +95,13 @@ def train(labelled: DataFrame, max_rows: int = 20_000, support: int = 20) -> Url
         for t in tokens(r["host"], r["path"]):
             seen[t] += 1
             blocked[t] += y
-    model = UrlModel({t: (blocked[t] + 4 * base) / (n + 4) for t, n in seen.items() if n >= support}, base, Boosted(60))
+    model = UrlModel({t: (blocked[t] + 4 * base) / (n + 4) for t, n in seen.items() if n >= support}, Boosted(60))
     other = rows[1::2]
     x = np.array([model.row(r["url"], r["host"], r["path"]) for r in other]).reshape(len(other), -1)
-    model.trees.fit(x, label[1::2])
+    # Each row once more without its host's statistics: hosts of unseen suffixes are judged by the rest.
+    masked = x.copy()
+    masked[:, -4:-2] = UNSEEN
+    model.trees.fit(np.concatenate([x, masked]), np.tile(label[1::2], 2))
     return model
 
 
