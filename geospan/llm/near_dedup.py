@@ -4,17 +4,22 @@ Each document's shingles of ``k`` words are labelled with their occurrence
 number; each of ``sketches`` hash functions picks the ``least`` smallest and
 keeps them in the order of the text. Documents that agree in one such tuple
 are candidates, which a banded alignment of their shingle sequences verifies:
-similarity is 1 - edits / longer length, in shingles.
+similarity is the number of aligned shingles over that of all shingles of
+both, so that moved text does not count as shared.
 
 Exact copies (equal words) are folded into one representative first. In a
-bucket every member is aligned with the least member; only members that differ
-from it are aligned with the rest of their bucket. A pair of members that both
-match the least one is in the same class anyway, so no link is lost and no
-group emits all its pairs.
+bucket every member meets the least member; members that are not in its class
+then meet the members of other classes. A pair of members that both match the
+least one is in the same class anyway, so no link is lost. Pairs are formed
+only where bitmaps of the two shingle sets allow the similarity: each bit is
+the parity of the shingles hashed to it, so bits that differ are never more
+than shingles that differ, and the test drops no true pair.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,6 +29,8 @@ from geospan.llm.common import as_bytes, map_rows, stored
 from geospan.llm.components import components
 from geospan.llm.substring_dedup import MULT, anchor_hashes, word_codes
 
+BITS = 1024
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -62,67 +69,54 @@ def order_sketch(codes: np.ndarray, seeds: np.ndarray, least: int) -> np.ndarray
     return out
 
 
-def edits_within(x: np.ndarray, y: np.ndarray, limit: int) -> int | None:
-    """Edit distance of two sequences if at most ``limit``, else None (bit-parallel, banded).
+def parity_bitmap(codes: np.ndarray) -> np.ndarray:
+    """``BITS`` bits as 64-bit integers: how often, modulo 2, a labelled shingle falls on each."""
+    odd = np.bincount((labelled(codes) >> np.uint64(20)) % np.uint64(BITS), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
 
-    The band holds ``2 * limit + 1`` cells of a column as the bits of one
-    integer, so a column costs a few operations on limit / 32 machine words.
+def aligned_within(x: np.ndarray, y: np.ndarray, slack: int) -> int:
+    """Longest common subsequence of alignments that stay within ``slack`` of the diagonal.
+
+    Bit-parallel: a column is one integer, in which only the band's cells may match.
     """
     n = min(len(x), len(y))
-    same = np.flatnonzero(x[:n] != y[:n])
-    a = int(same[0]) if len(same) else n
+    differ = np.flatnonzero(x[:n] != y[:n])
+    a = int(differ[0]) if len(differ) else n
     x, y = x[a:], y[a:]
     n = min(len(x), len(y))
-    same = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
-    b = int(same[0]) if len(same) else n
+    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
+    b = int(differ[0]) if len(differ) else n
     x, y = x[:len(x) - b], y[:len(y) - b]
-    if len(x) < len(y):
-        x, y = y, x
-    if len(x) - len(y) > limit:
-        return None
-    if not len(y):
-        return len(x)
-    if limit <= 0:
-        return None
     at: dict[int, int] = {}
     for i, c in enumerate(x.tolist()):
         at[c] = at.get(c, 0) | 1 << i
-    m, k = len(x), min(limit, len(x))
-    width = 2 * k + 1
-    full = (1 << width) - 1
-    low = 1 << 2 * k  # the diagonal k rows below
-    up, down = full ^ ((1 << k) - 1), 0
-    cost, row = k, low
+    free = full = (1 << len(x)) - 1
+    band = (1 << 2 * slack + 1) - 1
     for i, c in enumerate(y.tolist()):
-        seen = at.get(c, 0)
-        seen = (seen >> i - k if i > k else seen << k - i) & full
-        v = seen | down
-        d = ((((v & up) + up) ^ up) | v | down) & full
-        right = (down | ~(d | up)) & full
-        left = d & up
-        if i + k < m:
-            cost += not d & low
-        else:
-            row >>= 1
-            cost += bool(right & row) - bool(left & row)
-        d >>= 1
-        up, down = (left | ~(d | right)) & full, d & right
-    return cost if cost <= limit else None
+        if c in at:
+            match = at[c] & (band << i - slack if i > slack else band >> slack - i) & free
+            free = (free + match | free - match) & full
+    return a + b + len(x) - free.bit_count()
+
+
+def needed(n: int, m: int, similarity: float) -> int:
+    """The least number of shared shingles at which sequences of these lengths are similar."""
+    return math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """1 - edits / longer length >= ``similarity`` for two shingle sequences."""
-    longer = max(len(x), len(y))
-    limit = int((1 - similarity) * longer + 1e-9)
-    if not longer or abs(len(x) - len(y)) > limit:
+    """Aligned shingles over all shingles >= ``similarity``."""
+    need = needed(len(x), len(y), similarity)
+    if not len(x) or not len(y) or min(len(x), len(y)) < need:
+        return False
+    if len(np.intersect1d(labelled(x), labelled(y), assume_unique=True)) < need:
         return False
-    if len(np.intersect1d(labelled(x), labelled(y), assume_unique=True)) < longer - limit:
-        return False  # each edit loses one shingle of the longer text at most
-    return edits_within(x, y, limit) is not None
+    return aligned_within(x, y, len(x) + len(y) - 2 * need) >= need
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                 similarity: float = 0.8, sketches: int = 24, least: int = 3) -> DataFrame:
+                 similarity: float = 0.8, sketches: int = 24, least: int = 4) -> DataFrame:
     """One row per input row: id, ``copy_of`` (least id of equal words), ``class_id``, ``n_links``, ``kept``.
 
     Words are split at ASCII white space, A-Z lower-cased. ``class_id`` is the
@@ -142,31 +136,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for key, text in rows:
             codes = shingles(text, k)
             digest = xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
-            out.append((key, digest, len(codes), order_sketch(codes, seeds, least).view(np.int64).tolist()
-                        if len(codes) else []))
+            out.append((key, digest, len(codes), parity_bitmap(codes).tolist(),
+                        order_sketch(codes, seeds, least).view(np.int64).tolist() if len(codes) else []))
         return out
 
-    base = stored(map_rows(texts, sketch, f"id {kind}, digest binary, n int, tuples array<long>"))
+    base = stored(map_rows(texts, sketch, f"id {kind}, digest binary, n int, bits array<long>, tuples array<long>"))
     reps = stored(base.filter("id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
     of = base.filter("id is not null").select("id", "digest").join(reps, "digest").select("id", F.col("rep"))
-    buckets = stored(base.join(reps, (base.id == reps.rep) & (base.digest == reps.digest), "left_semi")
-                     .select("id", "n", F.explode(F.array_distinct("tuples")).alias("bucket")))
-    lead = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("size"))
-    stars = stored(buckets.join(lead.filter("size > 1"), "bucket").filter("id <> lead.id")
-                   .select("bucket", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")))
-    pairs = stars.filter(_lengths_fit("n", "lead_n", similarity)).select(
-        F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    alone = base.join(reps, (base.id == reps.rep) & (base.digest == reps.digest), "left_semi").dropDuplicates(["id"])
+    buckets = stored(alone.select("id", F.explode(F.array_distinct("tuples")).alias("bucket")))
+    lead = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shape = alone.select("id", "n", "bits")
+    members = stored(buckets.join(lead.select("bucket", "lead"), "bucket").join(shape, "id"))
+    leads = members.filter("id = lead").select("bucket", F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    pairs = (members.filter("id <> lead").join(leads, "bucket").filter(_may_match(similarity))
+             .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     first = stored(_verified(texts, pairs, kind, k, similarity))
     roots = stored(components(first))
 
-    # Members unlike the least of their bucket, against the rest of it.
-    unlike = stars.join(first, (F.col("lead") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti")
-    unlike = _rooted(unlike.select("bucket", "id", "n", "lead"), roots)
-    rest = _rooted(stars.select("bucket", F.col("id").alias("id"), "n", "lead"), roots).select(
-        "bucket", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    pairs = (unlike.join(rest, "bucket").filter("root <> root2").filter(_lengths_fit("n", "n2", similarity))
+    # Members of other classes than the least of their bucket, against the rest of it.
+    rooted = stored(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    lead_root = rooted.filter("id = lead").select("bucket", F.col("root").alias("lead_root"))
+    apart = rooted.join(lead_root, "bucket").filter("root <> lead_root")
+    rest = rooted.filter("id <> lead").select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"),
+                                              F.col("bits").alias("bits2"), F.col("root").alias("root2"))
+    pairs = (apart.join(rest, "bucket").filter((F.col("root") != F.col("root2")) & _may_match(similarity))
              .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    second = stored(_verified(texts, stored(pairs), kind, k, similarity))
+    second = stored(_verified(texts, pairs, kind, k, similarity))
     edges = first.unionByName(second)
     roots = stored(components(edges))
     links = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).groupBy(
@@ -174,18 +170,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = (of.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
            .select("id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"),
                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    alone = base.filter("id is null").select("id", F.col("id").alias("copy_of"), F.col("id").alias("class_id"),
+    nameless = base.filter("id is null").select("id", F.col("id").alias("copy_of"), F.col("id").alias("class_id"),
                                              F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(alone).select(F.col("id").alias(id_col), "copy_of", "class_id", "n_links",
+    return out.unionByName(nameless).select(F.col("id").alias(id_col), "copy_of", "class_id", "n_links",
                                          F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def _lengths_fit(n: str, m: str, similarity: float):
-    return F.abs(F.col(n) - F.col(m)) <= (1 - similarity) * F.greatest(n, m) + 1e-9
-
-
-def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _may_match(similarity: float):
+    """Whether ``n, bits`` and ``n2, bits2`` leave room for enough shared shingles (never drops a true pair)."""
+    differ = F.aggregate(F.zip_with("bits", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                         lambda total, x: total + x)
+    total = F.col("n") + F.col("n2")
+    most = total - 2 * F.ceil(similarity * total / (1 + similarity) - 1e-9)
+    return (F.abs(F.col("n") - F.col("n2")) <= most) & (differ <= most)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, kind: str, k: int, similarity: float) -> DataFrame:
