@@ -146,7 +146,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = base.join(reps, (base.id == reps.rep) & (base.digest == reps.digest), "left_semi").dropDuplicates(["id"])
     buckets = stored(alone.select("id", F.explode(F.array_distinct("tuples")).alias("bucket")))
     lead = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shape = alone.select("id", "n", "bits")
+    shape = alone.select("id", "n", "bits", "tuples")
     members = stored(buckets.join(lead.select("bucket", "lead"), "bucket").join(shape, "id"))
     leads = members.filter("id = lead").select("bucket", F.col("n").alias("n2"), F.col("bits").alias("bits2"))
     pairs = (members.filter("id <> lead").join(leads, "bucket").filter(_may_match(similarity))
@@ -159,8 +159,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lead_root = rooted.filter("id = lead").select("bucket", F.col("root").alias("lead_root"))
     apart = rooted.join(lead_root, "bucket").filter("root <> lead_root")
     rest = rooted.filter("id <> lead").select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"),
-                                              F.col("bits").alias("bits2"), F.col("root").alias("root2"))
-    pairs = (apart.join(rest, "bucket").filter((F.col("root") != F.col("root2")) & _may_match(similarity))
+                                              F.col("bits").alias("bits2"), F.col("root").alias("root2"),
+                                              F.col("tuples").alias("tuples2"))
+    # A pair that shares several buckets is formed in the least of them only.
+    once = F.array_min(F.array_intersect("tuples", "tuples2")) == F.col("bucket")
+    pairs = (apart.join(rest, "bucket").filter((F.col("root") != F.col("root2")) & _may_match(similarity) & once)
              .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
     second = stored(_verified(texts, pairs, kind, k, similarity))
     edges = first.unionByName(second)
