@@ -188,6 +188,11 @@ def _inverse_ring(ring: Column) -> Column:
 
 
 @bind_geometry
+def moves(geom: Column, target: int) -> Column:
+    """Whether a geometry has to be re-projected to reach ``target``."""
+    return geom["srid"] != target
+
+
 def to_srid(geom: Column, target: int) -> Column:
     """Re-project a geometry column to ``target`` (4326 or 3067).
 

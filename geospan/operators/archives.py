@@ -67,5 +67,5 @@ def sidecar_message(missing: DataFrame) -> DataFrame:
             .agg(F.array_join(F.array_sort(F.collect_list(
                 F.concat(F.lit("'"), F.col("shapefile"), F.lit("' missing "), F.col("missing")))), ", ")
                 .alias("_m"))
-            .select("archive", F.concat(F.lit("Shapefile ZIP is missing required files: "), F.col("_m"))
+            .select("archive", F.concat(F.lit("Incomplete shapefile, files are missing: "), F.col("_m"))
                     .alias("message")))

@@ -89,27 +89,8 @@ def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
     return _expand(df, _decode_named(wkt_col, srid, topology), wkt_col if drop_wkt else None)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work at least one partition per core.
-
-    Large inputs already arrive in many splits and are left alone; a small
-    input that lands in fewer partitions than the cluster has cores (a single
-    parquet row group, one text file) is spread round-robin first.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        # Hash of a per-row id: even spread whatever the data (identical WKT
-        # values do not collide), and no sort, unlike a round-robin exchange.
-        # The id is stable on a retried task because the scan order is.
-        return df.repartition(cores, F.monotonically_increasing_id())
-    return df
-
-
 def _expand(df: DataFrame, decoded: Column, drop: str | None) -> DataFrame:
     """One projection computes the struct; the next only reads its fields."""
-    df = spread(df)
     keep = [F.col(f"`{c}`") for c in df.columns if c != drop and c not in ("geometry", "reject_reason")]
     staged = df.select(*keep, decoded.alias("_decoded"))
     cols = [F.col(f"`{c}`") for c in staged.columns if c != "_decoded"]
@@ -131,11 +112,20 @@ def layer_geometry(wkt: Column, mapped_type: str, target: int, srid: Column | in
     return layer_from_decoded(decode_geometry(wkt, srid), mapped_type, target)
 
 
+def in_domain(geom: Column) -> Column:
+    """Whether degrees are degrees: longitudes within 180, latitudes within 90; other CRSs have no such limit."""
+    b = G.bounds(geom)
+    return ((geom["srid"] != C.WGS84) | ((b["minx"] >= -180) & (b["maxx"] <= 180) & (b["miny"] >= -90)
+                                         & (b["maxy"] <= 90)))
+
+
 def layer_from_decoded(decoded: Column, mapped_type: str, target: int) -> Column:
     """Re-project and transform an already decoded ``struct<geometry, reason>``."""
     def with_decoded(d):
         def with_moved(moved):
-            reason = F.when(d["reason"].isNotNull(), d["reason"]).when(moved.isNull(), F.lit("unsupported_crs"))
+            reason = (F.when(d["reason"].isNotNull(), d["reason"]).when(moved.isNull(), F.lit("unsupported_crs"))
+                      .when(C.moves(d["geometry"], target) & ~(in_domain(d["geometry"]) & G.all_finite(moved)),
+                            F.lit("outside_crs")))
             return F.struct(F.when(reason.isNull(), transform_geometry(moved, mapped_type)).alias("geometry"),
                             reason.alias("reason"))
         return let(C.to_srid(d["geometry"], target), with_moved)

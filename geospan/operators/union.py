@@ -25,7 +25,7 @@ WKT_OUT = "footprintWKT"
 def union_layers(layers: list[DataFrame]) -> DataFrame:
     """U01 + S15: outer-column union by name; empty layers add no rows."""
     if not layers:
-        raise RuntimeError("No readable layers found")
+        raise RuntimeError("None of the layers could be read")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), layers)
 
 
@@ -35,8 +35,14 @@ def _table_wkt(wkt_col: str, srid_col: str | None) -> Column:
     geom = geometry_from_wkt(F.col(f"`{wkt_col}`"), srid)
     return let(geom, lambda g: F.struct(
         to_wkt(G.simplify_single_part(C.to_srid(g, C.WGS84))).alias("wkt"),
-        F.when(g.isNotNull() & g["srid"].isNull(), F.lit("missing_crs"))
-        .when(g.isNotNull() & ~C.supported_srid(g["srid"]), F.lit("unsupported_crs")).alias("issue")))
+        crs_issue(g, F.col(f"`{wkt_col}`")).alias("issue")))
+
+
+def crs_issue(geom: Column, wkt: Column) -> Column:
+    """Why a row has no WKT: missing or unsupported CRS, or text that is no geometry."""
+    return (F.when(geom.isNull() & wkt.isNotNull(), F.lit("unparsable"))
+            .when(geom.isNotNull() & geom["srid"].isNull(), F.lit("missing_crs"))
+            .when(geom.isNotNull() & ~C.supported_srid(geom["srid"]), F.lit("unsupported_crs")))
 
 
 def geometry_from_wkt(wkt: Column, srid: Column) -> Column:
@@ -60,10 +66,11 @@ def to_table(layers: list[DataFrame], wkt_col: str = "wkt", srid_col: str | None
         drop = [c for c in (wkt_col, srid_col) if c]
     else:
         g = F.col(f"`{geometry_col}`")
-        conv = F.struct(to_wkt(G.simplify_single_part(C.to_srid(g, C.WGS84))).alias("wkt"))
+        conv = F.struct(to_wkt(G.simplify_single_part(C.to_srid(g, C.WGS84))).alias("wkt"),
+                        crs_issue(g, F.lit(None)).alias("issue"))
         drop = [geometry_col]
     attrs = [c for c in df.columns if c not in drop]
-    return df.select(*[F.col(f"`{c}`") for c in attrs], conv["wkt"].alias(WKT_OUT))
+    return df.select(*[F.col(f"`{c}`") for c in attrs], conv["issue"].alias("geometry_issue"), conv["wkt"].alias(WKT_OUT))
 
 
 def table_issues(layers: list[DataFrame], srid_col: str = "srid") -> DataFrame:
@@ -88,7 +95,7 @@ def read_layers_safely(readers: dict) -> list[DataFrame]:
         except Exception as exc:  # a broken layer must not stop the others
             logging.warning("Failed to read layer %r: %s", name, exc)
     if not layers:
-        raise RuntimeError("No readable layers found")
+        raise RuntimeError("None of the layers could be read")
     return layers
 
 
@@ -96,10 +103,12 @@ def require_crs(layers: list[DataFrame], srid_col: str = "srid") -> None:
     """G15 strict mode: fail when any feature has no coordinate reference system."""
     issues = dict(table_issues(layers, srid_col).collect())
     if issues.get("missing_crs"):
-        raise RuntimeError("No coordinate reference system found in the GIS file")
+        raise RuntimeError("The input states no coordinate reference system for some of its features")
+    if issues.get("unsupported_crs"):
+        raise RuntimeError("The input has features in a coordinate reference system that cannot be converted")
 
 
-def require_rows(df: DataFrame, message: str = "No features found in the GIS file") -> DataFrame:
+def require_rows(df: DataFrame, message: str = "The input holds no features") -> DataFrame:
     """K05 for the table export: fail when nothing is there."""
     if df.isEmpty():
         raise RuntimeError(message)

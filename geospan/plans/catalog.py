@@ -416,7 +416,7 @@ ACTIVE_COUNT = f"select count(*) filter (where status = 'processing') as process
 # ------------------------------------------------------------ U01 / S15 / G14 / G16 / G17
 
 def layers_to_table(spark: SparkSession, sf: str) -> DataFrame:
-    return to_table([view(spark, sf, "layer_a"), view(spark, sf, "layer_b")], wkt_col="wkt", srid_col="srid")
+    return to_table([view(spark, sf, "layer_a"), view(spark, sf, "layer_b")], wkt_col="wkt", srid_col="srid").drop("geometry_issue")
 
 
 _LON, _LAT = C.tm35fin_inverse_sql("cast(e as double)", "cast(n as double)")

@@ -50,13 +50,12 @@ def convert_export(spark: SparkSession, path: str, out_dir: str, kind: str = "oc
     cid = spark.range(1).select(conversion_key(F.lit(filename), F.lit(lang), F.lit(geometry_type),
                                                F.lit(crs))).first()[0]
     if skip_if_known and log_dir:
-        try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(log_dir)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
             state = latest_status(spark.read.schema(LOG_SCHEMA).parquet(log_dir))
             known = state.filter((F.col("conversion_id") == cid) & F.col("status").isin(PROCESSING, COMPLETE))
             if not known.isEmpty():
                 return {"conversion_id": cid, "skipped": True}
-        except Exception:  # no log yet
-            pass
     _log(spark, log_dir, cid, PROCESSING, progress_percent=0)
     try:
         df, wkt_col = read_export(spark, path, kind, lang)
@@ -71,5 +70,5 @@ def convert_export(spark: SparkSession, path: str, out_dir: str, kind: str = "oc
 def convert_layers(layers: list[DataFrame], csv_path: str) -> None:
     """The GIS-to-table job: union, WGS84, simplify, WKT last, CSV."""
     require_crs(layers)
-    table = require_rows(to_table(layers))
+    table = require_rows(to_table(layers)).drop("geometry_issue")
     write_table_csv(table, csv_path)

@@ -8,6 +8,8 @@ failures). The row count is observed during the write itself
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from geospan.functions import geometry as G
 from geospan.functions.wkt import to_wkt
 
 LAYER_NAME = "occurrences"
-NO_GEOMETRY_MESSAGE = "No valid geometries found in the data. GPKG file could not be created."
+NO_GEOMETRY_MESSAGE = "The export has no usable geometry, so no layer was written."
 
 
 def layer_columns(layer: DataFrame) -> DataFrame:
@@ -37,20 +39,38 @@ def write_layer(layer: DataFrame, path: str, mode: str = "overwrite") -> dict:
 
     Rows land in ``path/status=ok`` (the ``occurrences`` layer) and
     ``path/status=rejected`` (with ``reject_reason``). Raises when no row was
-    good, after the write, like the original's "no valid geometries" error.
+    good. The rows are written beside ``path`` and published only if some row is
+    good, so a failed conversion leaves an earlier output as it was.
     """
     obs = Observation("layer_write")
     out = layer_columns(layer).withColumn(
         "status", F.when(F.col("reject_reason").isNull(), F.lit("ok")).otherwise(F.lit("rejected")))
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"),
                       F.count_if(F.col("reject_reason").isNull()).alias("good"))
-    out.write.mode(mode).partitionBy("status").parquet(path)
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}" if mode == "overwrite" else path
+    out.write.mode(mode).partitionBy("status").parquet(staging)
     stats = obs.get
+    if staging != path:
+        _publish(layer.sparkSession, staging, path if stats.get("good") else None)
     if not stats.get("good"):
         raise ValueError(NO_GEOMETRY_MESSAGE)
     return {"rows": stats["rows"], "good": stats["good"], "layer": LAYER_NAME, "path": path}
 
 
+def _publish(spark, staging: str, path: str | None) -> None:
+    """Moves a written folder to its place, replacing what is there; without a place it is deleted."""
+    jvm = spark._jvm
+    source = jvm.org.apache.hadoop.fs.Path(staging)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    if path is None:
+        fs.delete(source, True)
+        return
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"cannot move {staging} to {path}")
+
+
 def write_table_csv(table: DataFrame, path: str, wkt_col: str = "footprintWKT", mode: str = "overwrite") -> None:
     """Comma separated, header, WKT column last, quotes doubled, and a
     literal backslash doubled as the reference writer's escape character does."""

@@ -29,7 +29,7 @@ def test_sidecars_and_classification(spark, tmp_path):
     missing = {(r.archive.rsplit("/", 1)[-1], r.shapefile): r.missing for r in A.missing_sidecars(inv).collect()}
     assert missing == {("bad.zip", "test.shp"): "test.dbf, test.shx"}
     msg = A.sidecar_message(A.missing_sidecars(inv)).first().message
-    assert "missing required files" in msg and "'test.shp' missing test.dbf, test.shx" in msg
+    assert "files are missing" in msg and "'test.shp' missing test.dbf, test.shx" in msg
     kinds = {r.archive.rsplit("/", 1)[-1]: (r.payload_kind, r.payload_member)
              for r in A.classify_archives(inv).collect()}
     assert kinds["occ.zip"] == ("occurrences", "occurrences.txt")

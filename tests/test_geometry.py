@@ -109,3 +109,23 @@ def test_with_geometry_drops_wkt(spark):
     df = spark.createDataFrame([(1, "POINT (1 2)")], "id long, wkt string")
     out = with_geometry(df, "wkt")
     assert "wkt" not in out.columns and {"geometry", "reject_reason"} <= set(out.columns)
+
+
+def test_reprojection_rejects_what_is_outside_the_crs(spark):
+    from geospan.operators.layer import to_layer
+    texts = ["POINT (25 60)", "POINT (117 0)", "POINT (25 95)", "POINT (500000 6651411)", "POINT (25 -90.5)"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, wkt string")
+    got = {r.i: r.reject_reason for r in to_layer(df, "wkt", "point", "euref").collect()}
+    assert got == {0: None, 1: "outside_crs", 2: "outside_crs", 3: "outside_crs", 4: "outside_crs"}
+    kept = {r.i: r.reject_reason for r in to_layer(df, "wkt", "point", "wgs84").collect()}
+    assert set(kept.values()) == {None}  # nothing is moved
+
+
+def test_building_a_layer_starts_no_job(spark):
+    from geospan.operators.layer import to_layer
+    jobs = spark.sparkContext.statusTracker()
+    df = spark.range(10).selectExpr("concat('POINT (25 ', id, ')') as wkt").groupBy("wkt").count()
+    spark.sparkContext.setJobGroup("layer-build", "building only")
+    to_layer(df, "wkt", "point", "euref")
+    spark.sparkContext.setJobGroup("other", "")
+    assert list(jobs.getJobIdsForGroup("layer-build")) == []

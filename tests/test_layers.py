@@ -26,7 +26,7 @@ def test_process_partition_point(spark, tmp_path):
 
 def test_empty_partition_raises(spark, tmp_path):
     df = spark.createDataFrame([(1, "INVALID")], "id long, wkt string")
-    with pytest.raises(ValueError, match="No valid geometries"):
+    with pytest.raises(ValueError, match="no usable geometry"):
         write_layer(to_layer(df, "wkt"), str(tmp_path / "empty"))
 
 
@@ -92,7 +92,7 @@ def test_skip_unreadable_layers_and_crs_guard(spark):
 
     layers = read_layers_safely({"a": lambda: good, "b": broken, "c": lambda: empty})
     assert len(layers) == 1
-    with pytest.raises(RuntimeError, match="No readable layers"):
+    with pytest.raises(RuntimeError, match="None of the layers"):
         read_layers_safely({"b": broken})
     nocrs = spark.createDataFrame([(1, "POINT (1 2)", None)], "id long, wkt string, srid int")
     with pytest.raises(RuntimeError, match="coordinate reference system"):
