@@ -32,7 +32,7 @@ BOILERPLATE = re.compile(
     r"sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 ROLE = re.compile(r"(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^<>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 WORD = re.compile(r"\w+")
 

@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return lambda rows: [(features.row(t.decode("utf-8", "replace")), y, p) for t, y, p in rows]
     made = map_rows_with(sample.filter("part >= 2"), featurise,
                          "x array<double>, label int, part int").toPandas()
-    x = np.array(made["x"].tolist()).reshape(len(made), -1)
+    x = np.array(made["x"].tolist()) if len(made) else np.zeros((0, 1))
     y, fit = made["label"].to_numpy(), made["part"].to_numpy() < 4
     trees = Boosted().fit(x[fit], y[fit])
     held = ~fit

@@ -97,7 +97,10 @@ def train(labelled: DataFrame, max_rows: int = 20_000, support: int = 20) -> Url
             blocked[t] += y
     model = UrlModel({t: (blocked[t] + 4 * base) / (n + 4) for t, n in seen.items() if n >= support}, Boosted(60))
     other = rows[1::2]
-    x = np.array([model.row(r["url"], r["host"], r["path"]) for r in other]).reshape(len(other), -1)
+    if not other:
+        model.trees.fit(np.zeros((0, 1)), label[1::2])
+        return model
+    x = np.array([model.row(r["url"], r["host"], r["path"]) for r in other])
     # Each row once more without its host's statistics: hosts of unseen suffixes are judged by the rest.
     masked = x.copy()
     masked[:, -4:-2] = UNSEEN
