@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,15 @@ def _stepper(make, schema, step):
     return run
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcasts ``value``; the function returned gives it, to be called once in each task.
+
+    Unlike a plain broadcast it pickles classes of this package by value.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def as_bytes(column: str) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias(column)

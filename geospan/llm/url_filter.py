@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geospan.llm.boosting import Boosted
+from geospan.llm.common import share
 
 PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 LOWER = {chr(c): chr(c + 32) for c in range(65, 91)}
@@ -126,11 +127,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     labelled = pages.select(url, host.alias("host"), path.alias("path")).withColumn("verdict", says).filter(
         "verdict is not null")
-    shared = pages.sparkSession.sparkContext.broadcast(train(labelled, max_rows))
+    shared = share(pages.sparkSession, train(labelled, max_rows))
 
     def run(batches):
+        model = shared()
         for urls, hosts, paths in batches:
-            yield pd.Series(shared.value.score(list(zip(urls.fillna(""), hosts, paths))))
+            yield pd.Series(model.score(list(zip(urls.fillna(""), hosts, paths))))
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     score = pandas_udf(run, "double")
     out = pages.select(*kept).withColumns({"host": host, "path": path})
