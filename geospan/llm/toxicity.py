@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geospan.llm.boosting import Boosted, calibrated, isotonic
-from geospan.llm.common import as_bytes, map_rows_with, stored
+from geospan.llm.common import as_bytes, map_rows_with, share, stored
 
 #: Words of the second person in the languages of the tables.
 SECOND_PERSON = frozenset((
@@ -29,7 +29,12 @@ DISGUISE = str.maketrans("013457@$!|", "oieastasii")
 WORD = re.compile(r"[^\W_]+(?:['’*@$!|][^\W_]+)*")
 DISGUISED = re.compile(r"(?<![^\W_])(?=[^\W\d_]*[0-9@$*!|])(?:[^\W\d_]+[0-9@$*!|]+)+[^\W\d_]+")
 SPELLED = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")
+#: Every disguised word holds a match of this; it is quick to look for.
+DISGUISE_HINT = re.compile(r"[0-9@$*!|]+[^\W\d_]")
 STRETCHED = re.compile(r"(\w)\1\1")
+BANGS = re.compile(r"[!?]{2,}")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7F]+")
+NOT_CAPITAL = bytes(c for c in range(256) if not 65 <= c <= 90)
 STEMS = (4, 5, 6)
 
 
@@ -38,18 +43,34 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
 
+def count_capitals(text: str) -> int:
+    """Upper-case letters of any script."""
+    plain = len(text.encode("utf-8", "replace").translate(None, NOT_CAPITAL))
+    return plain if text.isascii() else plain + sum(sum(map(str.isupper, t)) for t in BEYOND_ASCII.findall(text))
+
+
+def count_near(found: list[int], person: list[int], reach: int = 5) -> int:
+    """How many of ``found`` have one of ``person`` within ``reach`` words; both rise."""
+    if not found or not person:
+        return 0
+    at, places = np.array(found), np.array(person)
+    return int((np.searchsorted(places, at + reach, "right") > np.searchsorted(places, at - reach, "left")).sum())
+
+
 class Features:
     """Dense features of texts, given the lexicon's weights."""
 
     def __init__(self, lexicon: dict[str, float], entries: int = 200_000):
         self.lexicon, self.entries, self.weights = lexicon, entries, {}
+        self.starts = {t[:3] for t in lexicon}
 
     def weight(self, word: str) -> float:
         found = self.weights.get(word)
         if found is None:
             plain = word.lower()
-            forms = {plain, plain.translate(DISGUISE)}
-            found = max((self.lexicon.get(t, 0.0) for f in forms for t in terms_of(f)), default=0.0)
+            forms = {plain} if plain.isalpha() else {plain, plain.translate(DISGUISE)}
+            found = max((self.lexicon.get(t, 0.0) for f in forms if f[:3] in self.starts for t in terms_of(f)),
+                        default=0.0)
             if len(self.weights) >= self.entries:
                 self.weights.clear()
             self.weights[word] = found
@@ -58,24 +79,21 @@ class Features:
     def row(self, text: str) -> list[float]:
         words = WORD.findall(text)
         n, chars = max(len(words), 1), max(len(text), 1)
-        get = self.weights.get
-        found = [(i, w) for i, w in ((i, get(x) if x in self.weights else self.weight(x))
-                                     for i, x in enumerate(words)) if w]
-        weights = [w for _, w in found]
-        near = persons = 0
-        if found:
-            person = [i for i, x in enumerate(words) if x.lower() in SECOND_PERSON]
-            persons = len(person)
-            if person:
-                gap = np.abs(np.subtract.outer([i for i, _ in found], person)).min(axis=1)
-                near = float((gap <= 5).sum())
+        every = list(map(self.weights.get, words))
+        if None in every:
+            every = [self.weight(x) if w is None else w for x, w in zip(words, every)]
+        found = [i for i, w in enumerate(every) if w]
+        weights = [every[i] for i in found]
+        person = [i for i, x in enumerate(words) if x.lower() in SECOND_PERSON] if found else []
+        near, persons = float(count_near(found, person)), len(person)
         spelled = SPELLED.findall(text)
-        upper = sum(map(str.isupper, text))
+        bangs, asks = text.count("!"), text.count("?")
+        disguised = len(DISGUISED.findall(text)) if DISGUISE_HINT.search(text) else 0
         return [len(found) / n, math.log1p(len(found)), sum(weights) / n, sum(weights), max(weights, default=0.0),
-                float(len({words[i].lower() for i, _ in found})), near / n, near, persons / n,
-                upper / chars, sum(x.isupper() and len(x) > 2 for x in words) / n,
-                text.count("!") / chars, text.count("?") / chars, len(re.findall(r"[!?]{2,}", text)) / n,
-                sum(text.count(c) for c in ".,;:") / chars, len(DISGUISED.findall(text)) / n, len(spelled) / n,
+                float(len({words[i].lower() for i in found})), near / n, near, persons / n,
+                count_capitals(text) / chars, sum(len(x) > 2 for x in filter(str.isupper, words)) / n,
+                bangs / chars, asks / chars, (len(BANGS.findall(text)) if bangs + asks > 1 else 0) / n,
+                sum(text.count(c) for c in ".,;:") / chars, disguised / n, len(spelled) / n,
                 len(STRETCHED.findall(text)) / n, text.count("*") / chars, math.log1p(len(words))]
 
 
@@ -155,11 +173,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     Null text counts as empty and has a score too. Only the text is looked at.
     """
     from pyspark.sql.functions import pandas_udf
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
         import pandas as pd
-        score = shared.value.scorer()
+        score = shared().scorer()
         for texts in batches:
             whole = texts.fillna("").tolist()
             out = [score(whole[i:i + 256]) for i in range(0, len(whole), 256)]
