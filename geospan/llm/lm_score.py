@@ -190,6 +190,16 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape | None = None) -
     cells = stored(cells.select(F.floor(F.col("cell") / s.classes).alias("context"),
                                 F.struct((F.col("cell") % s.classes).alias("k"), "n").alias("kn"))
                    .groupBy("context").agg(F.collect_list("kn").alias("cells")))
+
+    def dense():
+        def step(rows):
+            seen = np.zeros((len(rows), s.classes), np.float32)
+            for i, (_, kn) in enumerate(rows):
+                seen[i, [c["k"] for c in kn]] = [c["n"] for c in kn]
+            return [(np.array([r[0] for r in rows], np.int64).tobytes(), seen.tobytes())]
+        return step
+    # Decoded once, not in every gradient step: blocks of contexts and their counts by class.
+    cells = stored(map_rows_with(cells, dense, "contexts binary, seen binary", rows_per_step=2048))
     mass = np.ones(s.classes)
     kinds = Words(head, s)
     # Mass of each class: head words here, rare words by a grouped sum over their endings.
@@ -226,19 +236,18 @@ def _fit(spark, cells: DataFrame, s: Shape, blocks: int = 16) -> np.ndarray:
             grad = np.zeros((2, s.rows, s.classes), np.float32)
 
             def step(rows):
-                context = np.array([r[0] for r in rows])
-                seen = np.zeros((len(rows), s.classes), np.float32)
-                for i, (_, kn) in enumerate(rows):
-                    for c in kn:
-                        seen[i, c["k"]] = c["n"]
-                p = np.exp(class_logs(now.value, context, s))
-                n = seen.sum(axis=1, keepdims=True)
-                for f in features(context, s):
-                    order = np.argsort(f, kind="stable")
-                    first = np.flatnonzero(np.r_[True, np.diff(f[order]) > 0])
-                    at = f[order][first]
-                    grad[0, at] += np.add.reduceat((n * p - seen)[order], first)
-                    grad[1, at] += np.add.reduceat((n * p * (1 - p))[order], first)
+                for contexts, counts in rows:
+                    context = np.frombuffer(contexts, np.int64)
+                    seen = np.frombuffer(counts, np.float32).reshape(-1, s.classes)
+                    p = np.exp(class_logs(now.value, context, s))
+                    n = seen.sum(axis=1, keepdims=True)
+                    off, spread = n * p - seen, n * p * (1 - p)
+                    for f in features(context, s):
+                        order = np.argsort(f, kind="stable")
+                        first = np.flatnonzero(np.r_[True, np.diff(f[order]) > 0])
+                        at = f[order][first]
+                        grad[0, at] += np.add.reduceat(off[order], first)
+                        grad[1, at] += np.add.reduceat(spread[order], first)
                 return []
             step.finish = lambda: [(b, grad[:, edges[b]:edges[b + 1]].tobytes()) for b in range(blocks)]
             return step
@@ -247,7 +256,7 @@ def _fit(spark, cells: DataFrame, s: Shape, blocks: int = 16) -> np.ndarray:
             import pyarrow as pa
             parts = [np.frombuffer(g, np.float32) for g in table["grad"].to_pylist()]
             return pa.table({"block": table["block"][:1], "grad": pa.array([np.sum(parts, axis=0).tobytes()])})
-        summed = map_rows_with(cells, gradients, "block int, grad binary", rows_per_step=4096).groupBy(
+        summed = map_rows_with(cells, gradients, "block int, grad binary", rows_per_step=1).groupBy(
             "block").applyInArrow(total, "block int, grad binary").collect()
         for r in summed:
             a, b = edges[r["block"]], edges[r["block"] + 1]
