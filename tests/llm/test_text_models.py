@@ -1,12 +1,16 @@
 """HTML text, URL rules, language, LM score, toxicity: fixtures, brute force, held-out accuracy."""
 
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from geospan.llm import boosting, html_text, language_id, lm_score, toxicity, url_filter
 
@@ -161,3 +165,22 @@ def test_toxicity_held_out(spark, docs):
     assert all(0 <= r.toxicity <= 1 for r in odd)
     nothing = toxicity.train(table, known.limit(0))
     assert toxicity.score_toxicity(table, nothing).filter("toxicity between 0 and 1").count() == 600
+
+
+def test_toxicity_features():
+    person, found = [2, 30, 31], [0, 7, 8, 24, 25, 36, 37]
+    assert toxicity.count_near(found, person) == sum(any(abs(i - p) <= 5 for p in person) for i in found)
+    assert toxicity.count_near([], person) == toxicity.count_near(found, []) == 0
+    for text in ("", "plain", "ABC déÉÄ ΣΑΣ", "x" * 1000 + "Ö"):
+        assert toxicity.count_capitals(text) == sum(map(str.isupper, text))
+    features = toxicity.Features({"idiot": 2.0, "scumb*": 1.0})
+    assert [features.weight(w) for w in ("Idiot", "1diot", "scumbags", "scum", "x", "idiots")] == [2, 2, 1, 0, 0, 0]
+
+
+def test_models_unpickle_without_the_package():
+    model = toxicity.ToxicityModel({"idiot": 1.0}, boosting.Boosted().fit(np.zeros((0, 2)), np.zeros(0)),
+                                   boosting.isotonic(np.zeros(0), np.zeros(0)))
+    code = ("import pickle, sys; m = pickle.load(sys.stdin.buffer); assert 'geospan' not in sys.modules; "
+            "assert 0 <= m.scorer()(['you idiot'])[0] <= 1")
+    subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(model), cwd="/", check=True,
+                   env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
