@@ -49,6 +49,16 @@ def archive_inventory(spark: SparkSession, path: str, glob: str = "*.zip") -> Da
         .mapInPandas(_list_members, INVENTORY_SCHEMA)
 
 
+def _clean(line: str) -> str:
+    """Without line ends; a line that is not UTF-8 is read as Latin-1."""
+    line = line.rstrip("\r\n")
+    try:
+        line.encode("utf-8")
+        return line
+    except UnicodeEncodeError:
+        return line.encode("utf-8", "surrogateescape").decode("latin-1")
+
+
 def _read_lines(batches):
     for pdf in batches:
         for uri, member in zip(pdf["archive"], pdf["payload_member"]):
@@ -56,7 +66,7 @@ def _read_lines(batches):
                 text = io.TextIOWrapper(fh, encoding="utf-8", errors="surrogateescape", newline="")
                 buf = []
                 for n, line in enumerate(text):
-                    buf.append((uri, member, n, line.rstrip("\r\n")))
+                    buf.append((uri, member, n, _clean(line)))
                     if len(buf) >= _BATCH:
                         yield pd.DataFrame(buf, columns=["archive", "member", "line_no", "value"])
                         buf = []
@@ -65,7 +75,7 @@ def _read_lines(batches):
 
 
 def payload_lines(classified: DataFrame) -> DataFrame:
-    """Lines of each archive's chosen payload member, streamed in batches."""
+    """Lines of each archive's chosen payload member, streamed in batches (UTF-8, per line else Latin-1)."""
     chosen = classified.filter(F.col("payload_member").isNotNull()).select("archive", "payload_member")
     return chosen.repartition(max(1, classified.sparkSession.sparkContext.defaultParallelism), "archive") \
         .mapInPandas(_read_lines, LINES_SCHEMA)

@@ -1,8 +1,8 @@
 """Structured Streaming versions of the conversion log.
 
 * :func:`latest_status_stream` keeps the merged state per conversion id as a
-  streaming aggregate; the 24 h watermark on ``ts`` bounds the state (ids
-  with no update for a day are dropped, which is the retention rule O03).
+  streaming aggregate. It groups by id alone, so its state grows with the
+  number of ids; retention (O03) is the batch operator's work.
 * :func:`convert_landing` converts every export that lands in a directory:
   text lines -> typed rows -> geometry layer, written per micro-batch with
   ``foreachBatch`` into a batch-numbered folder, so a re-run batch overwrites
@@ -33,8 +33,8 @@ def latest_status_stream(log: DataFrame, watermark: str = "24 hours") -> DataFra
             .groupBy("conversion_id")
             .agg(F.max_by("status", order).alias("status"),
                  F.max("ts").alias("updated_at"),
-                 F.max_by("progress_percent", F.when(F.col("progress_percent").isNotNull(), order))
-                 .alias("progress_percent"),
+                 F.coalesce(F.max_by("progress_percent", F.when(F.col("progress_percent").isNotNull(), order)),
+                            F.lit(0)).alias("progress_percent"),
                  F.max_by("output", F.when(F.col("output").isNotNull(), order)).alias("output"),
                  F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("error")))
 

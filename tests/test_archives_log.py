@@ -23,7 +23,7 @@ def test_sidecars_and_classification(spark, tmp_path):
     d.mkdir()
     _zip(d / "ok.zip", {"test.shp": "x", "test.shx": "x", "test.dbf": "x"})
     _zip(d / "bad.zip", {"Test.SHP": "x"})
-    _zip(d / "occ.zip", {"readme.txt": "x", "occurrences.txt": "a\tb\n1\t2\n"})
+    _zip(d / "occ.zip", {"readme.txt": "x", "occurrences.txt": "a\tb\n1\t2\n".encode() + "é\t3\n".encode("latin-1") + "é\t4\n".encode()})
     _zip(d / "rows.zip", {"x/rows_2.tsv": "h\nv\n", "rows_1.tsv": "h\nw\n"})
     inv = archive_inventory(spark, str(d))
     missing = {(r.archive.rsplit("/", 1)[-1], r.shapefile): r.missing for r in A.missing_sidecars(inv).collect()}
@@ -36,7 +36,7 @@ def test_sidecars_and_classification(spark, tmp_path):
     assert kinds["rows.zip"] == ("rows", "x/rows_2.tsv")      # first in archive order
     assert kinds["ok.zip"] == ("rejected", None)
     lines = payload_lines(A.classify_archives(inv)).filter(F.col("archive").endswith("occ.zip"))
-    assert [r.value for r in lines.orderBy("line_no").collect()] == ["a\tb", "1\t2"]
+    assert [r.value for r in lines.orderBy("line_no").collect()] == ["a\tb", "1\t2", "é\t3", "é\t4"]
 
 
 def _log_rows():
@@ -80,7 +80,7 @@ def test_status_stream_equals_batch(spark, tmp_path):
          .format("memory").queryName("st_test").option("checkpointLocation", str(tmp_path / "ck")).start())
     q.processAllAvailable()
     q.stop()
-    got = {tuple(r) for r in spark.sql("select conversion_id, status, output, error from st_test").collect()}
+    got = {tuple(r) for r in spark.sql("select conversion_id, status, progress_percent, output, error from st_test").collect()}
     batch = L.latest_status(spark.read.parquet(str(src)))
-    exp = {tuple(r) for r in batch.select("conversion_id", "status", "output", "error").collect()}
+    exp = {tuple(r) for r in batch.select("conversion_id", "status", "progress_percent", "output", "error").collect()}
     assert got == exp
