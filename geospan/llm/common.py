@@ -58,7 +58,11 @@ def map_rows(df: DataFrame, fn: Callable[[list], list], schema: str, rows_per_st
 
 def map_rows_with(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str,
                   rows_per_step: int = 512) -> DataFrame:
-    """Like ``map_rows``, with ``make()`` called once in each task (caches, tokenizers)."""
+    """Like ``map_rows``, with ``make()`` called once in each task (caches, tokenizers).
+
+    What it returns may have a ``finish``, which gives the task's last rows, or
+    a ``drain``, which yields them batch by batch as tuples of columns.
+    """
     return df.mapInArrow(_stepper(make, _arrow_schema(df, schema), rows_per_step), schema)
 
 
@@ -76,17 +80,20 @@ def _stepper(make, schema, step):
                 part = batch.slice(at, step)
                 out = fn(list(zip(*(c.to_pylist() for c in part.columns))))
                 if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+                    yield _batch(zip(*out), schema)
         if finish := getattr(fn, "finish", None):
             if out := finish():
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
+                yield _batch(zip(*out), schema)
+        if drain := getattr(fn, "drain", None):
+            for columns in drain():
+                yield _batch(columns, schema)
     return run
 
 
+def _batch(columns, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def share(spark: SparkSession, value) -> Callable:
     """Broadcasts ``value``; the function returned gives it, to be called once in each task.
 

@@ -173,19 +173,25 @@ def train(docs: DataFrame, text_col: str = "text", shape: Shape | None = None) -
     shared = spark.sparkContext.broadcast(head)
 
     def gather():
-        words, seen = Words(shared.value, s), Counter()
+        # As large as the model allows, whatever the task reads.
+        words, seen = Words(shared.value, s), np.zeros(s.buckets ** 2 * s.classes, np.int64)
 
         def step(rows):
             keys = []
             for (text,) in rows:
                 _, bucket, klass, _ = words.encode(_split(text))
                 keys.append(words.contexts(bucket) * s.classes + np.r_[klass, 0])
-            for k, n in zip(*(a.tolist() for a in np.unique(np.concatenate(keys), return_counts=True))):
-                seen[k] += n
+            cell, n = np.unique(np.concatenate(keys), return_counts=True)
+            seen[cell] += n
             return []
-        step.finish = lambda: list(seen.items())
+
+        def drain(most=100_000):
+            cell = np.flatnonzero(seen)
+            for at in range(0, len(cell), most):
+                yield cell[at:at + most], seen[cell[at:at + most]]
+        step.drain = drain
         return step
-    cells = (map_rows_with(texts, gather, "cell long, n long", rows_per_step=2048)
+    cells = (map_rows_with(texts, gather, "cell long, n long", rows_per_step=256)
              .groupBy("cell").agg(F.sum("n").alias("n")))
     cells = stored(cells.select(F.floor(F.col("cell") / s.classes).alias("context"),
                                 F.struct((F.col("cell") % s.classes).alias("k"), "n").alias("kn"))
