@@ -37,13 +37,15 @@ GEOM_TYPE = T.StructType([T.StructField("gtype", T.StringType()), T.StructField(
 
 SIMPLE_TYPES = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
 
-# A coordinate number as both WKT and JSON accept it.
+# A coordinate number as both WKT and JSON accept it; a third number (Z) is dropped.
 _NUM = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
-_PAIR = rf"({_NUM})\s+({_NUM})"
-_TRIPLE = rf"{_NUM}\s+{_NUM}\s+{_NUM}"
-# tag, optional dimension, body ("EMPTY" or a parenthesised list).
-_HEAD = r"(?is)^\s*([a-z]+)\s*(?:(zm|z|m)\s*)?(empty|\(.*\))\s*$"
-# The same prefix (tag and optional dimension) on its own, for the fast split.
+_PAIR = rf"({_NUM})\s++({_NUM})(?:\s++{_NUM})?+"
+_QUAD = rf"{_NUM}\s+{_NUM}\s+{_NUM}\s+{_NUM}"
+# Numbers that WKT accepts and JSON does not ('+25', '.5', '60.').
+_LOOSE = r"(?<![eE])\+|(?<!\d)\.|\.(?!\d)"
+# What no coordinate list holds: another character, or a number on its own.
+_SUSPECT = r"[^\d\s.,()eE+-]|[(,]\s*+[-+.\deE]++\s*+[,)]"
+# Tag and optional dimension; the body is "EMPTY" or a parenthesised list.
 _PREFIX = r"(?i)^\s*([a-z]+)\s*(?:(zm|z|m)(?![a-z])\s*)?"
 _TRAILING_WS = " \t\n\r\f\u000b"
 # Members of a GEOMETRYCOLLECTION: a tagged item with at most three levels of
@@ -72,8 +74,22 @@ REASONS = (
 )
 
 
-def _json(text: Column, ddl: str) -> Column:
-    return F.from_json(text, ddl, _JSON_OPTS)
+def _json(text: Column, kind: T.DataType) -> Column:
+    """The JSON value ``text``, null when anything is left over after it.
+
+    The reader stops after the first value, so the text is one field of an
+    object whose last field shows that all of it was read.
+    """
+    schema = T.StructType([T.StructField("g", kind), T.StructField("e", T.IntegerType())])
+    whole = F.concat(F.lit('{"g":'), text, F.lit(',"e":1}'))
+    return let(F.from_json(whole, schema, _JSON_OPTS), lambda v: F.when(v["e"] == 1, v["g"]))
+
+
+def _numbers(body: Column) -> Column:
+    """``body`` with its numbers as JSON writes them, null if it holds anything but coordinates."""
+    plain = F.regexp_replace(body, r"(?<![\w.])\+(?=[\d.])", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?<!\d)\.(?=\d)", "0."), r"(?<=\d)\.(?!\d)", ".0")
+    return F.when(~body.rlike(_SUSPECT), F.when(body.rlike(_LOOSE), plain).otherwise(body))
 
 
 def _wrap(value: Column) -> Column:
@@ -83,13 +99,18 @@ def _wrap(value: Column) -> Column:
 
 def _coord_json(body: Column) -> Column:
     """'(1 2, 3 4)' -> '[[1,2],[3,4]]': pairs become arrays, parens brackets."""
-    return F.translate(F.regexp_replace(body, _PAIR, "[$1,$2]"), "()", "[]")
+    return F.translate(F.regexp_replace(_numbers(body), _PAIR, "[$1,$2]"), "()", "[]")
+
 
+def _point_list_json(tag: Column, body: Column) -> Column:
+    """Both MULTIPOINT spellings ('((1 2),(3 4))' and '(1 2,3 4)') -> '[[1,2],[3,4]]'.
 
-def _point_list_json(body: Column) -> Column:
-    """Both MULTIPOINT spellings ('((1 2),(3 4))' and '(1 2,3 4)') -> '[[1,2],[3,4]]'."""
-    flat = F.regexp_replace(F.regexp_replace(body, r"[()]", ""), _PAIR, "[$1,$2]")
-    return F.concat(F.lit("["), flat, F.lit("]"))
+    Parentheses that remain (a POINT has none inside) make the JSON malformed.
+    """
+    inner = F.substring(_numbers(body), F.lit(2), F.length(body) * 2)
+    flat = F.regexp_replace(F.regexp_replace(inner, r"\)\s*$", ""), _PAIR, "[$1,$2]")
+    bare = F.when(tag == "POINT", flat).otherwise(F.regexp_replace(flat, r"\(\s*(\[[^\[\]]*\])\s*\)", "$1"))
+    return F.concat(F.lit("["), bare, F.lit("]"))
 
 
 def _parts_of(tag: Column, body: Column) -> Column:
@@ -97,7 +118,7 @@ def _parts_of(tag: Column, body: Column) -> Column:
     return (
         F.when(F.upper(body) == "EMPTY", F.array().cast(_D4))
         .when(tag.isin("POINT", "MULTIPOINT"),
-              F.transform(_json(_point_list_json(body), _D2), lambda p: F.array(F.array(p))))
+              F.transform(_json(_point_list_json(tag, body), _D2), lambda p: F.array(F.array(p))))
         .when(tag == "LINESTRING", let(_json(_coord_json(body), _D2),
                                        lambda v: F.when(v.isNotNull(), F.array(F.array(v)))))
         .when(tag == "POLYGON", _wrap(_json(_coord_json(body), _D3)))
@@ -108,7 +129,8 @@ def _parts_of(tag: Column, body: Column) -> Column:
 
 def _well_formed(tag: Column, parts: Column, is_empty: Column) -> Column:
     """Structure the WKT reader insists on: xy pairs, point counts, closed rings."""
-    xy = F.forall(parts, lambda pa: F.forall(pa, lambda r: F.forall(r, lambda p: F.size(p) == 2)))
+    xy = F.forall(parts, lambda pa: F.forall(pa, lambda r: F.forall(
+        r, lambda p: (F.size(p) == 2) & p[0].isNotNull() & p[1].isNotNull())))
     lines = F.forall(parts, lambda pa: F.forall(pa, lambda r: F.size(r) >= 2))
     rings = F.forall(
         parts,
@@ -121,7 +143,7 @@ def _well_formed(tag: Column, parts: Column, is_empty: Column) -> Column:
         .when(tag.isin("POLYGON", "MULTIPOLYGON"), rings)
         .otherwise(F.lit(True))
     )
-    return is_empty | ((F.size(parts) >= 1) & xy & shape)
+    return is_empty | F.coalesce((F.size(parts) >= 1) & xy & shape, F.lit(False))
 
 
 def _split(text: Column) -> Column:
@@ -144,7 +166,7 @@ def _member(text: Column) -> Column:
     def from_split(s):
         return let(_parts_of(s["tag"], s["body"]), lambda parts: F.struct(
             s["tag"].alias("gtype"),
-            F.when((s["dim"] == "") & parts.isNotNull()
+            F.when(F.upper(s["dim"]).isin("", "Z") & parts.isNotNull()
                    & _well_formed(s["tag"], parts, F.upper(s["body"]) == "EMPTY"), parts).alias("parts")))
     return let(_split(text), from_split)
 
@@ -169,8 +191,8 @@ def parse_wkt(wkt: Column) -> Column:
                 reason = (
                     F.when(wkt.isNull(), F.lit("null_wkt"))
                     .when(~wkt.rlike(r"(?U)\S"), F.lit("blank_wkt"))
-                    .when(dim != "", F.lit("unsupported_dimension"))
-                    .when(simple & parts.isNull() & body.rlike(_TRIPLE), F.lit("unsupported_dimension"))
+                    .when(F.upper(dim).isin("M", "ZM"), F.lit("unsupported_dimension"))
+                    .when(simple & parts.isNull() & body.rlike(_QUAD), F.lit("unsupported_dimension"))
                     .when(simple & (parts.isNull() | ~_well_formed(tag, parts, is_empty)), F.lit("unparsable"))
                     .when(is_coll & body.rlike("(?i)geometrycollection"), F.lit("nested_collection"))
                     .when(is_coll & is_empty, F.lit("empty"))

@@ -1,8 +1,8 @@
 """Structured Streaming versions of the conversion log.
 
-* :func:`latest_status_stream` keeps the merged state per conversion id as a
-  streaming aggregate. It groups by id alone, so its state grows with the
-  number of ids; retention (O03) is the batch operator's work.
+* :func:`latest_status_stream` keeps the merged state per conversion id and
+  drops it by event time when the retention (O03) has passed, so the state
+  holds the ids of the last days only.
 * :func:`convert_landing` converts every export that lands in a directory:
   text lines -> typed rows -> geometry layer, written per micro-batch with
   ``foreachBatch`` into a batch-numbered folder, so a re-run batch overwrites
@@ -14,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from geospan.operators.convlog import RETENTION_SECONDS
 from geospan.operators.layer import to_layer
 from geospan.sinks.layers import layer_columns
 from geospan.sources.dictionary import column_types
@@ -24,31 +26,80 @@ LOG_SCHEMA = ("conversion_id string, event_id long, ts timestamp_ntz, status str
               "progress_percent int, output string, error string")
 
 
-def latest_status_stream(log: DataFrame, watermark: str = "24 hours") -> DataFrame:
-    """O01 on a stream of status updates (same semantics as the batch version)."""
-    order = F.struct(F.col("ts"), F.col("event_id"))
-    # watermarks need an instant type; the log's wall-clock NTZ time is read in the session zone
-    log = log.withColumn("ts", F.col("ts").cast("timestamp"))
-    return (log.withWatermark("ts", watermark)
-            .groupBy("conversion_id")
-            .agg(F.max_by("status", order).alias("status"),
-                 F.max("ts").alias("updated_at"),
-                 F.coalesce(F.max_by("progress_percent", F.when(F.col("progress_percent").isNotNull(), order)),
-                            F.lit(0)).alias("progress_percent"),
-                 F.max_by("output", F.when(F.col("output").isNotNull(), order)).alias("output"),
-                 F.max_by("error", F.when(F.col("error").isNotNull(), order)).alias("error")))
-
-
-def start_status_stream(spark: SparkSession, log_dir: str, checkpoint: str, query_name: str = "conversion_status",
-                        available_now: bool = True) -> StreamingQuery:
-    """Run :func:`latest_status_stream` over parquet status files into a memory table."""
+def latest_status_stream(log: DataFrame, watermark: str = "24 hours",
+                         retention_seconds: int = RETENTION_SECONDS) -> DataFrame:
+    """O01 on a stream of status updates: the merged state of every id that a batch touches.
+
+    Same fields and rules as the batch version. An id's state is dropped (O03)
+    once the watermark is ``retention_seconds`` past its last update; updates
+    older than the watermark are late and left out.
+    """
+    fields = ("status", "progress_percent", "output", "error")
+    kinds = {f: "int" if f == "progress_percent" else "string" for f in fields}
+
+    def merge(key, frames, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(state.get) if state.exists else [None] * (3 * len(fields))
+        for frame in frames:
+            orders = list(zip(frame["us"].tolist(), frame["event_id"].tolist()))
+            for i, f in enumerate(fields):
+                values = [None if pd.isna(v) else v for v in frame[f].tolist()]
+                for order, v in zip(orders, values):
+                    older = held[3 * i + 1] is None or order > tuple(held[3 * i + 1:3 * i + 3])
+                    if older and (v is not None or f == "status"):
+                        held[3 * i:3 * i + 3] = int(v) if f == "progress_percent" else v, *order
+        state.update(tuple(held))
+        state.setTimeoutTimestamp(max(held[1] // 1000 + retention_seconds * 1000,
+                                      state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"conversion_id": [key[0]], "status": [held[0]], "us": [held[1]],
+                            "progress_percent": [held[3] or 0], "output": [held[6]], "error": [held[9]]})
+
+    # Watermarks need an instant type; the log's wall-clock NTZ time is read in the session zone.
+    merged = (log.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark)
+              .filter("at is not null")
+              .select("conversion_id", "at", F.unix_micros("at").alias("us"),
+                      F.coalesce("event_id", F.lit(-(1 << 63))).alias("event_id"), *fields)
+              .groupBy("conversion_id")
+              .applyInPandasWithState(
+                  merge, "conversion_id string, status string, us long, progress_percent int, output string, error string",
+                  ", ".join(f"{f} {kinds[f]}, {f}_us long, {f}_id long" for f in fields),
+                  "update", GroupStateTimeout.EventTimeTimeout))
+    return merged.select("conversion_id", "status",
+                         F.timestamp_micros("us").cast("timestamp_ntz").alias("updated_at"),
+                         "progress_percent", "output", "error")
+
+
+def start_status_stream(spark: SparkSession, log_dir: str, out_dir: str, checkpoint: str,
+                        watermark: str = "24 hours", available_now: bool = True) -> StreamingQuery:
+    """Run :func:`latest_status_stream` over parquet status files.
+
+    Every micro-batch writes the states it changed to a folder of its own
+    under ``out_dir``, so a replayed batch overwrites itself;
+    :func:`current_status` reads the newest state of each id.
+    """
     log = spark.readStream.schema(LOG_SCHEMA).parquet(log_dir)
-    w = (latest_status_stream(log).writeStream.outputMode("complete").format("memory")
-         .queryName(query_name).option("checkpointLocation", checkpoint))
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    w = (latest_status_stream(log, watermark).writeStream.outputMode("update").foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w
     return w.start()
 
 
+def current_status(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The newest state of each id that :func:`start_status_stream` has written."""
+    states = spark.read.parquet(out_dir)
+    fields = [c for c in states.columns if c not in ("conversion_id", "batch")]
+    newest = F.max_by(F.struct(*fields), F.col("batch")).alias("s")
+    return states.groupBy("conversion_id").agg(newest).select("conversion_id", "s.*")
+
+
 def convert_landing(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint: str,
                     names: list[str], wkt_col: str, lang: str = "tech", geometry_type: str = "footprint",
                     crs: str = "wgs84", available_now: bool = True) -> StreamingQuery:

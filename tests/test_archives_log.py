@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geospan.operators import archives as A
 from geospan.operators import convlog as L
 from geospan.sources.archives import archive_inventory, payload_lines
-from geospan.streaming.convlog import LOG_SCHEMA, latest_status_stream
+from geospan.streaming.convlog import LOG_SCHEMA, current_status, start_status_stream
 
 
 def _zip(path, members):
@@ -75,12 +75,23 @@ def test_progress_and_key(spark):
 def test_status_stream_equals_batch(spark, tmp_path):
     src = tmp_path / "log"
     spark.createDataFrame(_log_rows(), LOG_SCHEMA).write.parquet(str(src))
-    stream = spark.readStream.schema(LOG_SCHEMA).parquet(str(src))
-    q = (latest_status_stream(stream, watermark="1000 days").writeStream.outputMode("complete")
-         .format("memory").queryName("st_test").option("checkpointLocation", str(tmp_path / "ck")).start())
-    q.processAllAvailable()
-    q.stop()
-    got = {tuple(r) for r in spark.sql("select conversion_id, status, progress_percent, output, error from st_test").collect()}
+    q = start_status_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"))
+    q.awaitTermination(120)
     batch = L.latest_status(spark.read.parquet(str(src)))
-    exp = {tuple(r) for r in batch.select("conversion_id", "status", "progress_percent", "output", "error").collect()}
-    assert got == exp
+    columns = ["conversion_id", "status", "updated_at", "progress_percent", "output", "error"]
+    got = current_status(spark, str(tmp_path / "out"))
+    assert sorted(got.columns) == sorted(batch.columns)
+    assert {tuple(r) for r in got.select(columns).collect()} == {tuple(r) for r in batch.select(columns).collect()}
+
+
+def test_status_stream_drops_old_state(spark, tmp_path):
+    src, rows = tmp_path / "log", []
+    for day in (1, 11, 21):
+        one = [(f"id{day}", day, dt.datetime(2024, 1, day), "processing", None, None, None)]
+        spark.createDataFrame(one, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
+        q = start_status_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"))
+        q.awaitTermination(120)
+        rows.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert rows[-1] <= 2  # of three ids ten days apart
+    got = current_status(spark, str(tmp_path / "out"))
+    assert {(r.conversion_id, r.progress_percent) for r in got.collect()} == {("id1", 0), ("id11", 0), ("id21", 0)}

@@ -26,9 +26,37 @@ def test_parse_point_invalid_and_empty(spark):
 
 
 def test_null_and_empty_and_nonfinite(spark):
-    got = {r.wkt: r.reason for r in decode(spark, [None, "POINT EMPTY", "POINT (1e400 2)", "POINT Z (1 2 3)"]).collect()}
+    got = {r.wkt: r.reason for r in decode(spark, [None, "POINT EMPTY", "POINT (1e400 2)", "POINT ZM (1 2 3 4)"]).collect()}
     assert got == {None: "null_wkt", "POINT EMPTY": "empty", "POINT (1e400 2)": "non_finite",
-                   "POINT Z (1 2 3)": "unsupported_dimension"}
+                   "POINT ZM (1 2 3 4)": "unsupported_dimension"}
+
+
+def test_wkt_numbers_and_z(spark):
+    cases = {
+        "POINT (.5 60.)": [[[[0.5, 60.0]]]],
+        "POINT (+25 -.5e1)": [[[[25.0, -5.0]]]],
+        "POINT Z (1 2 3)": [[[[1.0, 2.0]]]],
+        "point (1 2 3)": [[[[1.0, 2.0]]]],
+        "LINESTRING Z (1 2 3, 4 5 6)": [[[[1.0, 2.0], [4.0, 5.0]]]],
+        "MULTIPOINT ((1 2), (3 4))": [[[[1.0, 2.0]]], [[[3.0, 4.0]]]],
+        "MULTIPOINT (1 2, 3 4)": [[[[1.0, 2.0]]], [[[3.0, 4.0]]]],
+        "MULTILINESTRING ((1 2, 3 4), (5 6, 7 8))": [[[[1.0, 2.0], [3.0, 4.0]]], [[[5.0, 6.0], [7.0, 8.0]]]],
+        "GEOMETRYCOLLECTION Z (POINT Z (1 2 3))": [[[[1.0, 2.0]]]],
+    }
+    got = {r.wkt: r.g and r.g.parts for r in decode(spark, list(cases)).collect()}
+    assert got == cases
+
+
+def test_wkt_with_leftovers_is_rejected(spark):
+    bad = ["LINESTRING (1 2, 3 4), (5 6, 7 8)", "POLYGON ((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5))",
+           "LINESTRING (1 2, 3 4))", "LINESTRING ((1,2),(3,4))", "LINESTRING ([1,2],[3,4])", "POINT ((25 60))",
+           "POINT (25, 60)", "POINT ()", "POINT (1)", "POINT (1 2, 3 4)", "POINT (. 2)", "POINT (1 2) x",
+           "LINESTRING (1 2 3 4)", "LINESTRING ((1 2, 3 4))", "POLYGON (0 0, 1 0, 1 1, 0 0)",
+           "MULTIPOINT (((1 2)))", "POLYGON ((0 0, 1 0, 1 1))", "POLYGON ((0 0, 1 0, 1 1, 0 1))",
+           'LINESTRING (1 2, 3 4),"e":1,"x":(1)']
+    got = {r.wkt: (r.g, r.reason) for r in decode(spark, bad).collect()}
+    expected = {w: (None, "unparsable") for w in bad} | {"LINESTRING (1 2 3 4)": (None, "unsupported_dimension")}
+    assert got == expected
 
 
 def test_normalize_collections(spark):
