@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geospan.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from geospan.llm.common import held_out, stored, table
-from geospan.llm.queries import CAPACITY, END_ID, VOCABULARY
+from geospan.llm.queries import CAPACITY, END_ID, TOKENIZER, VOCABULARY
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,7 +48,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of the remaining documents, packed into sequences."""
-    return packing.pack(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, END_ID, capacity=CAPACITY)
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, END_ID, capacity=CAPACITY,
+                        added=packing.added_tokens(public_tokenizers.path(TOKENIZER)))
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),

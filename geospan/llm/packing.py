@@ -15,6 +15,7 @@ length, however common, meets in one task.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -28,25 +29,37 @@ from pyspark.sql import functions as F
 from geospan.llm.common import as_bytes, map_rows_with, stored
 
 
-def rank_tokenizer(path: str, pattern: str):
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a ``tokenizers`` JSON adds to its vocabulary; text that spells one gets its id."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that take more than their own text: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
+def rank_tokenizer(path: str, pattern: str, added: dict[str, int] | None = None):
     """Encodes whole texts to little-endian 32-bit ids with a byte-level BPE rank file.
 
-    Ids equal those that other libraries give for the same vocabulary.
+    With the ``added`` tokens of the vocabulary's JSON, which a rank file does
+    not list, ids equal those of the ``tokenizers`` library; without, an added
+    token's text is encoded like any other.
     """
     import tiktoken
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: array("I", encoding.encode_ordinary(text)).tobytes()
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    return lambda text: array("I", encoding.encode(text, allowed_special="all")).tobytes()
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, capacity: int,
+           added: dict[str, int] | None = None) -> DataFrame:
     """``id, piece, start, length, ids_crc32, part, nth``: the pieces of every document.
 
     ``part`` and ``nth``: the task, and the rank in it among pieces of the same length.
     """
     def make():
-        encode = rank_tokenizer(tokenizer_path, pattern)
+        encode = rank_tokenizer(tokenizer_path, pattern, added)
         seen: Counter = Counter()
         part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
@@ -186,16 +199,17 @@ def slots(plan: Counter) -> list[tuple[int, int, int, int, int]]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = 1024) -> DataFrame:
+         capacity: int = 1024, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    ``added``: tokens beside the rank file, see :func:`added_tokens`.
     Null or empty text is the end token alone. Longer documents are cut into
     pieces of ``capacity`` tokens, the first taking the remainder. Repeated and
     null ids are packed like any other row; an empty table gives no pieces.
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
-    cut = stored(pieces(texts, tokenizer_path, pattern, end_id, capacity))
+    cut = stored(pieces(texts, tokenizer_path, pattern, end_id, capacity, added))
     sizes = stored(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = spark.createDataFrame(slots(pack_histogram(histogram, capacity)),

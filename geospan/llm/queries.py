@@ -13,7 +13,7 @@ from geospan.llm.common import held_out, table
 #: Host and path rules of the URL query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
              ("block", "com/de/")]
-VOCABULARY, END_ID, CAPACITY = "byte_bpe_50k.tiktoken", 2, 1024
+VOCABULARY, TOKENIZER, END_ID, CAPACITY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", 2, 1024
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
-                        public_tokenizers.PATTERN, END_ID, capacity=CAPACITY)
+                        public_tokenizers.PATTERN, END_ID, capacity=CAPACITY,
+                        added=packing.added_tokens(public_tokenizers.path(TOKENIZER)))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,27 @@ def test_ids_equal_the_tokenizers_library():
         assert np.frombuffer(encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_equal_the_tokenizers_library_with_its_added_tokens():
+    from tokenizers import Tokenizer
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.rank_tokenizer(PATH, PATTERN, packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    assert np.frombuffer(encode("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+    rng = random.Random(3)
+    made = ["".join(rng.choice(ODD + ["<|endoftext|>", "<|endoftext|", "  ", "a"]) for _ in range(9)) for _ in range(300)]
+    for text in ODD + [" ".join(ODD) * 20] + made:
+        assert np.frombuffer(encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_query_and_pipeline_pack_added_tokens_as_one(spark, docs, tmp_path):
+    import corpus_pipeline as P
+    from geospan.llm.queries import op9_pack
+    table = docs([(1, "a<|endoftext|>b")])
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    want = (4, zlib.crc32(np.array([64, 50256, 65, 2], "<u4").tobytes()))
+    for made in (op9_pack(spark, str(tmp_path)), P.pack_sequences(spark, table, str(tmp_path))):
+        assert [(r.length, r.ids_crc32) for r in made.collect()] == [want]
+
+
 @pytest.mark.parametrize("capacity", [16, 1024])
 def test_packing_is_an_exact_round_trip(docs, capacity):
     rng = random.Random(6)
