@@ -33,29 +33,44 @@ BOILERPLATE = re.compile(
 ROLE = re.compile(r"(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^<>]*\Z", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # one after the other, values consumed
 WORD = re.compile(r"\w+")
 
 
-def is_outside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds no main text by its name, class, id or role."""
+def is_outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element holds no main text for certain (name, role, hidden), and whether its class or id says so."""
     if tag in OUTSIDE and not (in_article and tag in ("header", "figure")):
-        return True
-    if "=" not in attributes and "hidden" not in attributes or tag in ("html", "body"):
-        return False
+        return True, False
+    named = False
+    if not attributes or tag in ("html", "body"):
+        return False, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and ROLE.fullmatch(value) or name in ("class", "id") and BOILERPLATE.search(value):
-            return True
-    return False
+            return True, False
+        if name == "role" and ROLE.fullmatch(value):
+            return True, False
+        if name in ("class", "id") and tag not in ("main", "article") and BOILERPLATE.search(value):
+            named = True
+    return False, named
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Blocks in page order: text, words inside links, lies outside the main text, lies in an article."""
+def word_count(text: str) -> int:
+    return len(WORD.findall(text))
+
+
+def blocks_of(page: str, long: int = 32) -> list[tuple[str, int, bool, bool]]:
+    """Blocks in page order: text, words inside links, lies outside the main text, lies in an article.
+
+    An element that is boilerplate by class or id alone counts as such unless
+    it holds most of the page's words (links and certain boilerplate aside);
+    beside an article these must be ``long``, as an ad may exceed a short one.
+    """
     out: list[tuple[str, int, bool, bool]] = []
-    open_: list[tuple[str, bool]] = []  # element, whether it lies outside
+    inside: list[tuple[int, ...]] = []  # of each block, the elements around it that are boilerplate by name
+    open_: list[tuple[str, bool, bool]] = []  # element, whether it lies outside for certain, and by its name
+    named: list[int] = []  # open elements that are boilerplate by name
+    seen = 0
     outside = article = links = linked = 0
     held: list[str] = []
 
@@ -64,13 +79,16 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
             out.append((text, linked, outside > 0, article > 0))
+            inside.append(tuple(named))
         held.clear()
         linked = 0
 
     def pop():
         nonlocal outside, article, links
-        name, out_ = open_.pop()
+        name, out_, named_ = open_.pop()
         outside -= out_
+        if named_:
+            named.pop()
         article -= name in ("article", "main")
         links -= name == "a"
 
@@ -106,32 +124,51 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in VOID:
             continue
         if not closing:
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and any(name == tag for name, _ in open_[-8:]):
-                while open_ and open_[-1][0] in INLINE | {tag} and any(name == tag for name, _ in open_[-8:]):
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and any(name == tag for name, *_ in open_[-8:]):
+                while open_ and open_[-1][0] in INLINE | {tag} and any(name == tag for name, *_ in open_[-8:]):
                     pop()
-            away = is_outside(tag, m.group(3), article > 0)
-            open_.append((tag, away))
+            away, by_name = is_outside(tag, m.group(3), article > 0)
+            open_.append((tag, away, by_name))
             outside += away
+            if by_name:
+                named.append(seen)
+                seen += 1
             article += tag in ("article", "main")
             links += tag == "a"
-        elif any(name == tag for name, _ in open_):
+        elif any(name == tag for name, *_ in open_):
             while open_ and open_[-1][0] != tag:
                 pop()
             pop()
     close_block()
-    return out
+    if not seen:
+        return out
+    words = [0 if away else max(word_count(text) - linked, 0) for text, linked, away, _ in out]
+    held_by, articles = [0] * seen, [0] * seen  # of each element: words, and those that lie in an article too
+    for n, around, (_, _, _, in_article) in zip(words, inside, out):
+        for e in around:
+            held_by[e] += n
+            articles[e] += n * in_article
+    all_articles = sum(n for n, (_, _, _, in_article) in zip(words, out) if in_article)
+    most = {e for e, n in enumerate(held_by) if 2 * n > sum(words) and (n >= long or articles[e] == all_articles)}
+    return [(text, linked, away or not most.issuperset(around), article_)
+            for (text, linked, away, article_), around in zip(out, inside)]
 
 
 def main_text(page: str, short: int = 8, link_density: float = 0.4, stop_density: float = 0.08) -> str:
     """The main text's blocks, joined by line feeds."""
-    blocks = blocks_of(page)
-    has_article = any(a and not o for _, _, o, a in blocks)
+    blocks = blocks_of(page, 4 * short)
+    found = [WORD.findall(text) for text, *_ in blocks]
+    # Articles speak for the page if they hold as many words as the rest of it; a teaser card does not.
+    held = [0, 0]
+    for words, (_, linked, away, article) in zip(found, blocks):
+        if not away and linked <= link_density * max(len(words), 1) and (article or len(words) >= short):
+            held[article] += len(words)
+    has_article = any(a and not o for _, _, o, a in blocks) and held[1] >= held[0]
     labels: list[bool | None] = []
-    for text, linked, away, article in blocks:
-        words = WORD.findall(text)
+    for words, (_, linked, away, article) in zip(found, blocks):
         n = max(len(words), 1)
         stops = sum(w.lower() in STOP_WORDS for w in words) / n
-        if away or has_article and not article or linked / n > link_density:
+        if away or linked / n > link_density or has_article and not article and n < 4 * short:
             labels.append(False)
         elif n >= short and (stops >= stop_density or article):
             labels.append(True)

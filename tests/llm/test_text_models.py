@@ -37,6 +37,31 @@ def test_html_main_text():
     assert html_text.main_text("") == "" and html_text.main_text("<p") == "" and html_text.main_text("</p></div>") == ""
 
 
+STORY = "".join(f"<p>This is the paragraph {i} of the story, and it is as long as that of a paper with all of the news "
+                "that was to be told in it, so that it has more than thirty words in the end.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    '<div style="overflow:hidden">@</div>', '<div data-hidden="false">@</div>', '<div title="hidden gems">@</div>',
+    "<div title='a class=\"ad\" of' data-role=menu>@</div>", '<div class="no-sidebar">@</div>',
+    '<main class="with-sidebar">@</main>', '<article id="related"><div class="social share">Share</div>@</article>',
+    '<div class="no-sidebar"><div class="ad">It is an ad of the day and that is it.</div>@</div>',
+    '<div>@</div><article class="card"><h3>One more</h3><p>It is the teaser of a story that is not on this page.</p></article>',
+    '<div class="no-sidebar">@</div><article><p>It is the teaser of a story that is not here.</p></article>',
+    '<article><p>It is the first half of the story.</p></article><div>@</div>'])
+def test_html_keeps_the_story(page):
+    text = html_text.main_text(f"<body>{page.replace('@', STORY)}</body>")
+    assert all(f"paragraph {i} of" in text for i in range(4)) and "an ad" not in text and "Share" not in text
+
+
+def test_html_hidden_and_boilerplate_stay_out():
+    for out in ('<div hidden>@</div>', '<DIV HIDDEN>@</DIV>', '<div class="x" hidden="">@</div>',
+                '<div aria-hidden="true">@</div>', '<div role="navigation">@</div>'):
+        assert "paragraph" not in html_text.main_text(out.replace("@", STORY) + "<p>It is the text of the page itself.</p>")
+    ad = '<div class="ad">It is an ad of the day and it is longer than that.</div>'
+    assert html_text.main_text(ad + "<article><h1>Short.</h1></article>") == "Short."
+
+
 def test_extract_text_edge_cases(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None), (None, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
