@@ -10,10 +10,14 @@ properties keep their inferred types.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geospan.session import checkpoint_dir
+
 _GEOJSON_GEOMETRY = "struct<type:string,coordinates:string>"
 
 
@@ -35,6 +39,23 @@ def file_encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if bad else "UTF-8"
 
 
+def readable(spark: SparkSession, path: str) -> tuple[str, str]:
+    """A path and the charset that reads every file under it: UTF-8 where a file is valid UTF-8, else Latin-1.
+
+    A folder of one charset is read where it is. Of a mixed one a UTF-8 copy
+    is written to the checkpoint folder, file by file, so that no file's
+    charset depends on its neighbours and all share one inferred schema.
+    """
+    files = spark.read.format("binaryFile").load(path).withColumn("ok", F.is_valid_utf8(F.col("content")))
+    kinds = {r["ok"] for r in files.select("ok").distinct().collect()}
+    if kinds != {True, False}:
+        return path, "ISO-8859-1" if kinds == {False} else "UTF-8"
+    copy = f"{checkpoint_dir(spark).rstrip('/')}/utf8-{uuid.uuid4().hex}"
+    text = F.when(F.col("ok"), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(copy)
+    return copy, "UTF-8"
+
+
 def geojson_wkt(gtype: Column, coords: Column) -> Column:
     """GeoJSON geometry (type + coordinates JSON text) -> WKT."""
     body = _pairs(coords)
@@ -46,7 +67,7 @@ def geojson_wkt(gtype: Column, coords: Column) -> Column:
 
 def read_geojson(spark: SparkSession, path: str, srid: int = 4326, encoding: str | None = None) -> DataFrame:
     """One row per feature: its properties, ``wkt`` and ``srid``."""
-    enc = encoding or file_encoding(spark, path)
+    path, enc = (path, encoding) if encoding else readable(spark, path)
     inferred = spark.read.option("multiLine", True).option("encoding", enc).json(path).schema
     feature_type = inferred["features"].dataType.elementType
     fields = [T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()),
@@ -69,7 +90,7 @@ def _kml_coords(c: Column) -> Column:
 
 def read_kml(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Placemarks with name/description and Point/LineString/Polygon geometry (WGS84)."""
-    enc = encoding or file_encoding(spark, path)
+    path, enc = (path, encoding) if encoding else readable(spark, path)
     pm = spark.read.format("xml").option("rowTag", "Placemark").option("charset", enc).load(path)
     cols = set(pm.columns)
     out = pm.select(
@@ -95,7 +116,7 @@ def read_gml(spark: SparkSession, path: str, row_tag: str = "featureMember",
              geometry_field: str = "geometry", encoding: str | None = None) -> DataFrame:
     """Feature members; ``gml:pos`` / ``gml:posList`` text becomes WKT and
     ``srsName`` gives the SRID (null when absent -> reason missing_crs)."""
-    enc = encoding or file_encoding(spark, path)
+    path, enc = (path, encoding) if encoding else readable(spark, path)
     df = (spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_")
           .option("charset", enc).load(path))
     feature = df.columns[0] if len(df.columns) == 1 else None

@@ -44,3 +44,22 @@ def test_vector_file_latin1_fallback(spark, tmp_path):
     for p in (tmp_path / "latin.geojson", tmp_path / "utf"):
         r = read_geojson(spark, str(p)).first()
         assert r.name == "Äänekoski" and r.wkt == "POINT (25.7 62.6)"
+
+
+def test_each_vector_file_has_its_own_charset(spark, tmp_path):
+    from geospan.sources.vector import read_geojson, read_gml, read_kml
+    for kind in ("geojson", "kml", "gml"):
+        (tmp_path / kind).mkdir()
+    for n, (name, enc) in enumerate([("Mörkö", "utf-8"), ("Kesämäki", "latin-1"), ("plain", "utf-8"), ("Åbo 村", "utf-8")]):
+        bodies = {
+            "geojson": '{"type": "FeatureCollection", "features": [\n{"type": "Feature", "properties": {"name": "%s"}, '
+                       '"geometry": {"type": "Point", "coordinates": [1, 2]}}]}' % name,
+            "kml": "<kml><Placemark><name>%s</name><Point><coordinates>1,2</coordinates></Point></Placemark></kml>" % name,
+            "gml": '<c><featureMember><t><name>%s</name><geometry><Point srsName="EPSG:4326"><pos>1 2</pos></Point>'
+                   "</geometry></t></featureMember></c>" % name}
+        for kind, body in bodies.items():
+            (tmp_path / kind / f"{n} [a].{kind}").write_bytes(body.encode(enc))
+    for kind, read in (("geojson", read_geojson), ("kml", read_kml), ("gml", read_gml)):
+        rows = read(spark, str(tmp_path / kind)).collect()
+        assert sorted((r.name, r.wkt) for r in rows) == sorted(
+            (n, "POINT (1 2)") for n in ("Mörkö", "Kesämäki", "plain", "Åbo 村"))
