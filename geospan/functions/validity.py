@@ -61,7 +61,7 @@ def orient(ax, ay, bx, by, cx, cy) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def _within(s, px, py) -> Column:
+def within(s, px, py) -> Column:
     return ((px >= F.least(s["x1"], s["x2"])) & (px <= F.greatest(s["x1"], s["x2"]))
             & (py >= F.least(s["y1"], s["y2"])) & (py <= F.greatest(s["y1"], s["y2"])))
 
@@ -82,8 +82,8 @@ def edge_conflict(s, t) -> Column:
     d3 = orient(s["x1"], s["y1"], s["x2"], s["y2"], t["x1"], t["y1"])
     d4 = orient(s["x1"], s["y1"], s["x2"], s["y2"], t["x2"], t["y2"])
     proper = (d1 * d2 < 0) & (d3 * d4 < 0)
-    touch = (((d1 == 0) & _within(t, s["x1"], s["y1"])) | ((d2 == 0) & _within(t, s["x2"], s["y2"]))
-             | ((d3 == 0) & _within(s, t["x1"], t["y1"])) | ((d4 == 0) & _within(s, t["x2"], t["y2"])))
+    touch = (((d1 == 0) & within(t, s["x1"], s["y1"])) | ((d2 == 0) & within(t, s["x2"], s["y2"]))
+             | ((d3 == 0) & within(s, t["x1"], t["y1"])) | ((d4 == 0) & within(s, t["x2"], t["y2"])))
     by_x = F.abs(s["x2"] - s["x1"]) >= F.abs(s["y2"] - s["y1"])
     lo_x = F.greatest(F.least(s["x1"], s["x2"]), F.least(t["x1"], t["x2"]))
     hi_x = F.least(F.greatest(s["x1"], s["x2"]), F.greatest(t["x1"], t["x2"]))

@@ -29,6 +29,7 @@ from geospan.functions import validity as V
 from geospan.functions.cache import cached_expr
 from geospan.functions.collections import normalize
 from geospan.functions.wkt import let, parse_wkt
+from geospan.session import checkpoint_dir
 
 # Request parameters and what they mean.
 GEOMETRY_TYPES = {"point": "points", "bbox": "bbox", "footprint": "original"}
@@ -139,8 +140,9 @@ def to_layer(df: DataFrame, wkt_col: str, geometry_type: str = "footprint", crs:
     With ``big_geometry_vertices`` set, rows whose WKT has more vertices than
     that (counted cheaply from the text, before parsing) are validated by the
     distributed edge join of :mod:`geospan.operators.validity` instead of the
-    per-row pair check, so one huge polygon is spread over many tasks. Every
-    row is still parsed once on its own branch.
+    per-row pair check, so one huge polygon is spread over many tasks; the
+    rules and answers are the same. Every row is still parsed once on its own
+    branch; that of the big rows is written to the checkpoint folder at once.
     """
     mapped_type, target = check_params(geometry_type, crs)
     if big_geometry_vertices is None:
@@ -154,6 +156,8 @@ def to_layer(df: DataFrame, wkt_col: str, geometry_type: str = "footprint", crs:
     out_small = _expand(small, _layer_named(wkt_col, mapped_type, target, srid), wkt_col)
     decoded = (big.select("*", _decode_named(wkt_col, srid, False).alias("_d"))
                .withColumn("_gid", F.monotonically_increasing_id()))
+    checkpoint_dir(df.sparkSession)
+    decoded = decoded.checkpoint()  # keys stay fixed: the branch is read twice below
     bad = invalid_geometries(decoded.select("_gid", F.col("_d.geometry").alias("geometry")), "_gid")
     flagged = decoded.join(bad.select(F.col("gid").alias("_gid"), F.lit(True).alias("_bad")), "_gid", "left")
     checked = F.struct(

@@ -10,9 +10,9 @@ that is quadratic work in one row, so this operator spreads it out:
 3. edges are self-joined on ``(gid, cell)`` — only edges that share a cell
    are compared, never all pairs of a geometry — and the same conflict rules
    as the per-row check are applied;
-4. holes are tested against their shell by a ray cast joined on
-   ``(gid, part, y-band)``: a hole whose first vertex has an even number of
-   shell crossings to its right lies outside.
+4. the vertices of geometries with several rings are tested against the other
+   rings by a ray cast joined on ``(gid, y-band)``, with the per-row rules:
+   holes lie in their shell and not in each other, polygons not in each other.
 
 The result is the set of invalid geometry ids, which is small next to the
 input; the caller anti-joins it (AQE turns that into a broadcast join when
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geospan.functions.geometry import POLYGONAL
-from geospan.functions.validity import boxes_meet, dedup_ring, edge_conflict
+from geospan.functions.validity import boxes_meet, dedup_ring, edge_conflict, orient, within
 
 
 def edges_of(df: DataFrame, gid: str = "_gid", geom: str = "geometry") -> DataFrame:
@@ -77,32 +77,49 @@ def invalid_by_edges(edges: DataFrame) -> DataFrame:
     return pairs.filter(boxes_meet(sa, sb) & edge_conflict(sa, sb)).select(F.col("a.gid").alias("gid")).distinct()
 
 
-def invalid_holes(edges: DataFrame, bands: int = 64) -> DataFrame:
-    """Geometry ids with a hole whose first vertex lies outside its shell."""
-    shell = edges.filter(F.col("r") == 0)
-    probes = edges.filter((F.col("r") > 0) & (F.col("i") == 0)).select(
-        "gid", "j", "r", F.col("x1").alias("px"), F.col("y1").alias("py"))
-    stats = shell.groupBy("gid", "j").agg(F.min(F.least("y1", "y2")).alias("y0"),
-                                          F.max(F.greatest("y1", "y2")).alias("y1b"))
-    h = F.greatest((F.col("y1b") - F.col("y0")) / bands, F.lit(1e-300))
-    sh = shell.join(stats, ["gid", "j"]).withColumn("h", h)
-    sh = sh.select("gid", "j", "x1", "y1", "x2", "y2", F.explode(F.sequence(
-        F.floor((F.least("y1", "y2") - F.col("y0")) / F.col("h")).cast("long"),
-        F.floor((F.greatest("y1", "y2") - F.col("y0")) / F.col("h")).cast("long"))).alias("band"))
-    pr = probes.join(stats, ["gid", "j"]).withColumn("h", h) \
-        .withColumn("band", F.floor((F.col("py") - F.col("y0")) / F.col("h")).cast("long")) \
-        .select("gid", "j", "r", "px", "py", "band")
-    crossing = (((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py")))
-                & (F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1"))
-                   / (F.col("y2") - F.col("y1")) + F.col("x1")))
-    hits = pr.join(sh, ["gid", "j", "band"], "left").groupBy("gid", "j", "r").agg(
-        F.count_if(F.coalesce(crossing, F.lit(False))).alias("n"))
-    outside_band = pr.join(stats, ["gid", "j"]).filter((F.col("py") < F.col("y0")) | (F.col("py") > F.col("y1b")))
-    return (hits.filter(F.col("n") % 2 == 0).select("gid")
-            .union(outside_band.select("gid")).distinct())
+def invalid_nesting(edges: DataFrame) -> DataFrame:
+    """Geometry ids whose rings lie in each other in a way the per-row rules forbid.
+
+    Every vertex is tested against the edges of the other rings that share its
+    y-band, so a ring that passes through a touching point is seen as well.
+    """
+    rings = edges.groupBy("gid", "j", "r").agg(F.min("y1").alias("lo"), F.max("y1").alias("hi"), F.count(F.lit(1)).alias("n"),
+                                               F.sum(F.abs(F.col("y2") - F.col("y1"))).alias("travel"))
+    stats = rings.groupBy("gid").agg(F.min("lo").alias("y0"), F.max("hi").alias("top"), F.sum("n").alias("n"),
+                                     F.sum("travel").alias("travel"), F.count(F.lit(1)).alias("n_rings"))
+    height = F.col("top") - F.col("y0")
+    # As many bands as keep the copies of edges at about two for each edge.
+    bands = F.when(F.col("travel") > 0, F.greatest(F.lit(1.0), F.ceil(F.col("n") * height / F.col("travel")))).otherwise(1.0)
+    stats = stats.filter("n_rings > 1").select("gid", "y0", F.when(height > 0, height / bands).otherwise(1.0).alias("h"))
+    cut = edges.join(stats, "gid")
+
+    def band(v):
+        return F.floor((v - F.col("y0")) / F.col("h")).cast("long")
+    lines = cut.select("gid", F.col("j").alias("tj"), F.col("r").alias("tr"), "x1", "y1", "x2", "y2",
+                       F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))).alias("band"))
+    probes = cut.select("gid", "j", "r", "i", F.col("x1").alias("px"), F.col("y1").alias("py"), band(F.col("y1")).alias("band"))
+    # A hole is asked about the rings of its own polygon, a shell about all other polygons.
+    asked = F.when(F.col("r") > 0, (F.col("tj") == F.col("j")) & (F.col("tr") != F.col("r"))).otherwise(F.col("tj") != F.col("j"))
+    spans = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
+    crosses = F.when(spans, F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1"))
+                     / (F.col("y2") - F.col("y1")) + F.col("x1")).otherwise(False)
+    edge = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+    on = ((orient(*edge.values(), F.col("px"), F.col("py")) == 0) & within(edge, F.col("px"), F.col("py")))
+    met = (probes.join(lines, ["gid", "band"]).filter(asked).select("gid", "j", "r", "i", "tj", "tr", crosses.alias("crosses"),
+                                                                    on.alias("on"))
+           .filter("crosses or on").groupBy("gid", "j", "r", "i", "tj", "tr")
+           .agg((F.count_if("crosses") % 2 == 1).alias("inside"), F.max("on").alias("on")))
+    seen = met.groupBy("gid", "j", "r", "i", "tj").agg(
+        F.max(F.expr("tr = 0 and (inside or on)")).alias("in_shell"),
+        F.max(F.expr("tr = 0 and inside and not on")).alias("well_in_shell"),
+        F.max(F.expr("tr > 0 and (inside or on)")).alias("in_hole"),
+        F.max(F.expr("tr > 0 and inside and not on")).alias("well_in_hole"))
+    nested = seen.filter("case when r > 0 then well_in_hole else well_in_shell and not in_hole end").select("gid")
+    out_of_shell = probes.filter("r > 0").join(seen.filter("r > 0 and in_shell"), ["gid", "j", "r", "i"], "left_anti").select("gid")
+    return nested.union(out_of_shell).distinct()
 
 
 def invalid_geometries(df: DataFrame, gid: str = "_gid", geom: str = "geometry") -> DataFrame:
-    """G04 (edges + holes) over a whole table: the ids of invalid polygonal rows."""
+    """G04 (edges + nesting of rings) over a whole table: the ids of invalid polygonal rows."""
     edges = edges_of(df, gid, geom)
-    return invalid_by_edges(edges).union(invalid_holes(edges)).distinct()
+    return invalid_by_edges(edges).union(invalid_nesting(edges)).distinct()

@@ -109,3 +109,38 @@ def test_big_geometries_take_the_join_path(spark):
     inrow = {r.id: r.reject_reason for r in to_layer(df, "wkt").collect()}
     joined = {r.id: r.reject_reason for r in to_layer(df, "wkt", big_geometry_vertices=3).collect()}
     assert inrow == joined == {0: None, 1: "invalid", 2: None, 3: "invalid", 4: None, 5: "unparsable"}
+
+
+def test_both_validity_paths_give_equal_answers(spark):
+    import random
+
+    def box(x, y, w, h=None):
+        h = w if h is None else h
+        return f"({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y})"
+    big = box(0, 0, 10)
+    fixed = {
+        f"MULTIPOLYGON (({big}), ({box(2, 2, 1)}))": "invalid",  # nested parts
+        f"MULTIPOLYGON (({big}, {box(2, 2, 4)}), ({box(3, 3, 1)}))": None,  # an island in a hole
+        f"MULTIPOLYGON (({box(3, 3, 1)}), ({big}, {box(2, 2, 4)}))": None,
+        f"POLYGON ({big}, {box(2, 2, 4)}, {box(3, 3, 1)})": "invalid",  # nested holes
+        f"POLYGON ({big}, (0 5, 2 4, 2 6, 0 5))": None,  # a hole that touches its shell by its first vertex
+        f"POLYGON ({big}, (10 5, 8 4, 8 6, 10 5))": None,
+        f"POLYGON ({big}, (2 4, 0 5, 2 6, 2 4))": None,
+        f"POLYGON ({big}, (0 5, -2 4, -2 6, 0 5))": "invalid",  # touches from outside
+        f"POLYGON ({big}, (10 5, 12 4, 12 6, 10 5))": "invalid",
+        f"POLYGON ({big}, {box(12, 2, 1)})": "invalid",
+        f"POLYGON ({big}, {box(12, 20, 1)})": "invalid",
+        "POLYGON ((0 0, 10 0, 10 5, 10 10, 0 10, 0 0), (9 4, 10 5, 11 6, 9 6, 9 4))": "invalid",  # passes through a vertex
+        f"MULTIPOLYGON (({big}), ({box(10, 10, 2)}))": None,  # parts that touch at a point
+    }
+    rng = random.Random(4)
+    made = list(fixed)
+    for _ in range(120):
+        rings = [box(*(rng.randint(0, 8) for _ in range(2)), rng.randint(1, 6), rng.randint(1, 6)) for _ in range(3)]
+        tri = "({0} {1}, {2} {3}, {4} {5}, {0} {1})".format(*(rng.randint(0, 9) for _ in range(6)))
+        made += [f"POLYGON ({big}, {tri}, {rings[0]})", f"MULTIPOLYGON (({big}, {rings[0]}), ({rings[1]}), ({tri}))"]
+    df = spark.createDataFrame(list(enumerate(made)), "id long, wkt string")
+    inrow = {r.id: r.reject_reason for r in to_layer(df, "wkt").collect()}
+    joined = {r.id: r.reject_reason for r in to_layer(df, "wkt", big_geometry_vertices=3).collect()}
+    assert [joined[i] for i in range(len(fixed))] == list(fixed.values())
+    assert inrow == joined and 20 < sum(v is None for v in joined.values()) < len(made) - 20
