@@ -22,20 +22,23 @@ def train_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str =
     """A raw-content dictionary for each language.
 
     From at most ``max_docs`` distinct texts a language, the ones with the
-    least hash, of which a stretch of ``doc_chars`` characters is taken; rows
-    without language or text teach nothing. Sizes are bounded by these two
+    least hash, of which a stretch of ``doc_chars`` characters is taken at a
+    place that the hash gives (a common header teaches no more than its share);
+    rows without language or text teach nothing. Sizes are bounded by these two
     parameters and the number of languages.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(
-        F.count(F.lit(1)).alias("n")).collect()}
+    h = F.xxhash64(text_col)
+    # Distinct texts, about: copies must not lower the rate, as they are removed below.
+    sizes = {r["lang"]: max(r["n"], 1) for r in known.groupBy(F.col(lang_col).alias("lang")).agg(
+        F.approx_count_distinct(h).alias("n")).collect()}
     if not sizes:
         return {}
     rate = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, 6 * max_docs / n))])
-    h = F.xxhash64(text_col)
+    start = F.pmod(F.xxhash64(h, F.lit(1)), F.greatest(F.length(text_col) - doc_chars, F.lit(0)) + 1) + 1
     sample = (known.filter(F.pmod(h, F.lit(1_000_000)) < rate[F.col(lang_col)] * 1_000_000)
               .groupBy(F.col(lang_col).alias("lang"), h.alias("h"))
-              .agg(F.first(F.substring(text_col, 1, doc_chars)).alias("text")))
+              .agg(F.first(F.substring(F.col(text_col), start.cast("int"), F.lit(doc_chars))).alias("text")))
     from pyspark.sql import Window
     sample = sample.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     parts: dict[str, list[str]] = {lang: [] for lang in sizes}

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from geospan.llm import boosting, html_text, language_id, lm_score, toxicity, url_filter
 
@@ -133,6 +134,15 @@ def test_language_held_out(docs):
     assert [r.lang_pred for r in language_id.identify(odd, {}).collect()] == ["und"] * 4
 
 
+def test_language_sample_survives_copies_and_headers(spark):
+    header = "header of all texts " * 70  # longer than the stretch
+    texts = spark.range(60).select(F.concat(F.lit(header), F.lit("body"), F.repeat(F.concat(F.lit(" b"), "id"), 2000)).alias("text"))
+    copies = spark.range(30_000).select(F.lit("copied again").alias("text"))
+    learned = language_id.train_dictionaries(texts.union(copies).withColumn("lang", F.lit("en")), max_docs=50)
+    parts = learned["en"].decode().split("\n")
+    assert len(parts) == 50 and sum(" b" in p for p in parts) > 25
+
+
 # ---------------------------------------------------------------- LM
 
 def test_lm_base_score_and_mass(docs):
