@@ -180,7 +180,6 @@ def pack_histogram(counts: dict[int, int], capacity: int, rounds: int = 120, ste
                 for k, c in Counter(config).items():
                     rest[k] -= n * c
         choices.append(made + best_fit(+rest, capacity))
-    choices.append(best_fit(left, capacity))
     return plan + min(choices, key=lambda c: sum(c.values()))
 
 

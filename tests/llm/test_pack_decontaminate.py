@@ -87,6 +87,15 @@ def test_plan_covers_the_histogram_and_beats_best_fit():
     assert not packing.pack_histogram({}, 1024)
 
 
+def test_plan_comes_from_the_program_and_best_fit_packs_its_remainder_only(monkeypatch):
+    rng = random.Random(5)
+    counts = Counter(rng.randint(260, 520) for _ in range(4000))
+    plain, asked = packing.best_fit, []
+    monkeypatch.setattr(packing, "best_fit", lambda c, capacity: asked.append(sum(c.values())) or plain(c, capacity))
+    packing.pack_histogram(counts, 1024, rounds=40)
+    assert asked and max(asked) < 4000
+
+
 def test_packing_an_empty_table(docs):
     assert packing.pack(docs([]), PATH, PATTERN, 2).count() == 0
 
