@@ -12,7 +12,3 @@ def spark():
     s = local_session(cpus="*", shuffle_partitions=8, app="geospan-tests")
     checkpoint_dir(s)
     yield s
-
-
-def rows_of(spark, values, ddl="wkt string"):
-    return spark.createDataFrame([(v,) for v in values], ddl)

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from frames import rows_of
 from geospan.functions import crs as C
 from geospan.functions import geometry as G
 from geospan.functions.wkt import to_wkt

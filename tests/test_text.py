@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from frames import rows_of
 from geospan.functions.text import null_tokens, to_boolean, to_number
 from geospan.sources.dictionary import column_types, read_dictionary
 from geospan.sources.tsv import read_flat, read_occurrences, read_rows, typed_column
