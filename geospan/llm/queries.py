@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geospan.llm import decontaminate, exact_dedup, html_text, language_id, lm_score, near_dedup, packing
-from geospan.llm import substring_dedup, toxicity, url_filter
+from geospan.llm import decontaminate, divergence, exact_dedup, filter_audit, html_text, language_id, lm_score
+from geospan.llm import near_dedup, packing, substring_dedup, toxicity, url_filter
 from geospan.llm.common import held_out, table
 
 #: Host and path rules of the URL query.
@@ -73,8 +73,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxic").alias("predicted"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_order_minhash, op3_language, op4_substring, op5_url_filter,
-                                   op6_lm_score, op7_decontaminate, op8_exact_dedup, op9_pack, op10_toxicity)}
+                                   op6_lm_score, op7_decontaminate, op8_exact_dedup, op9_pack, op10_toxicity,
+                                   op11_divergence, op13_filter_audit)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -111,4 +120,55 @@ t as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
 from d left join c on c.doc_id = d.doc_id left join t on t.doc_id = d.doc_id""".replace("@d", _FOLD),
+    "op11_divergence": r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(@d, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as lang_n from t group by lang, term having count(distinct r) >= 30),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by lang, source, term),
+v as (select lang, count(*) as v, sum(lang_n) as total from k group by lang),
+g as (select s.lang, s.source, coalesce(v.v, 0) as v, coalesce(sum(c.n), 0) as total, coalesce(v.total, 0) as lang_total
+  from (select distinct lang, source from d) s left join v using (lang)
+  left join c on c.lang = s.lang and c.source = s.source group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)::hugeint) // (g.total + 5 * g.v)::hugeint as p,
+    1 + (1000000000::hugeint * (k.lang_n + 5)::hugeint) // (g.lang_total + 5 * g.v)::hugeint as q
+  from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select a.lang, a.source, b.source as item,
+    coalesce((select sum(abs(x.p - y.p)) from p x join p y on x.term = y.term and y.lang = a.lang and y.source = b.source
+      where x.lang = a.lang and x.source = a.source), 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source),
+ranked as (
+  select lang, source, 'pair' as part, item, value,
+    row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select lang, source, 'term', term, (p - q)::bigint,
+    row_number() over (partition by lang, source order by p - q desc, term) from p where n > 0 and p > q)
+select lang, source, part, item, value, rank::integer as rank from ranked where part = 'pair' or rank <= 50""".replace("@d", _FOLD),
+    "op13_filter_audit": r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    doc_id > min(doc_id) over (partition by coalesce(text, '')) as repeated from documents),
+m as (select doc_id, part,
+    (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(repeated, false)::int as mask from w),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+c as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+  from m left join l using (doc_id) group by part, mask),
+b as (select letter, 1 << i as bit from (select unnest(['A', 'B', 'C', 'D', 'E']) as letter, unnest(range(5)) as i)),
+o as (select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order,
+    [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from b a, b, b c, b d, b e
+  where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s as (select filter_order, step, bits[step] as bit, list_sum(bits[1:step])::bigint as after from o, unnest(range(1, 6)) as u(step)),
+r as (select part, filter_order, step, bit,
+    sum(n) filter (mask & after = 0) as kept, sum(n) filter (mask & after = bit) as removed,
+    sum(n) filter (mask & bit > 0 and mask & after <> bit) as redundant, sum(n) filter (mask = bit) as unique_fails,
+    sum(good) filter (mask & after = bit) as good_lost, sum(toxic) filter (mask & after = bit) as toxic_lost
+  from c, s group by all)
+select part, filter_order, step::integer as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+  coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  (sum(coalesce(removed, 0)) over (partition by part, bit))::bigint as shapley
+from r""",
 }
