@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geospan.llm import decontaminate, divergence, exact_dedup, filter_audit, html_text, language_id, lm_score
-from geospan.llm import near_dedup, packing, substring_dedup, toxicity, url_filter
+from geospan.llm import near_dedup, packing, quality_rules, substring_dedup, toxicity, url_filter
 from geospan.llm.common import held_out, table
 
 #: Host and path rules of the URL query.
@@ -77,13 +77,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_order_minhash, op3_language, op4_substring, op5_url_filter,
                                    op6_lm_score, op7_decontaminate, op8_exact_dedup, op9_pack, op10_toxicity,
-                                   op11_divergence, op13_filter_audit)}
+                                   op11_divergence, op12_quality_rules, op13_filter_audit)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
