@@ -8,12 +8,17 @@ similarity is the number of aligned shingles over that of all shingles of
 both, so that moved text does not count as shared.
 
 Exact copies (equal words) are folded into one representative first. In a
-bucket every member meets the least member; members that are not in its class
-then meet the members of other classes. A pair of members that both match the
-least one is in the same class anyway, so no link is lost. Pairs are formed
-only where bitmaps of the two shingle sets allow the similarity: each bit is
-the parity of the shingles hashed to it, so bits that differ are never more
-than shingles that differ, and the test drops no true pair.
+bucket every member meets the least member. Members outside its class then
+become leaders, some at first and eight times as many in each further round,
+and meet all members of other classes; classes are merged after each round, so
+that a bucket is left as soon as it is one class, and what the links of a dense
+group would repeat is never formed. A pair of one class needs no link, every
+other pair of a bucket meets when one of the two leads, so no link is lost.
+Pairs are formed only where bitmaps of the two shingle sets allow the
+similarity: each bit is the parity of the shingles hashed to it, so bits that
+differ are never more than shingles that differ, and the test drops no true
+pair. Members of a large bucket are dealt over several tasks, to each of which
+its leaders are copied.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geospan.llm.common import as_bytes, map_rows, stored
@@ -30,6 +35,10 @@ from geospan.llm.components import components
 from geospan.llm.substring_dedup import MULT, anchor_hashes, word_codes
 
 BITS = 1024
+#: Longest texts, in shingles, whose candidates are found by keys of all but one shingle too.
+SHORT = 9
+#: Rows of a bucket that one task holds against its leaders; growth of the number of leaders by round.
+DEALT, GROWTH = 1024, 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,6 +78,21 @@ def order_sketch(codes: np.ndarray, seeds: np.ndarray, least: int) -> np.ndarray
     return out
 
 
+def short_keys(codes: np.ndarray) -> np.ndarray:
+    """Keys that two similar texts of at most ``SHORT`` shingles are sure to share.
+
+    At these lengths a similarity of 0.8 or more leaves out one shingle of a text
+    at most: the keys are those of the whole sequence and of all but one shingle.
+    """
+    if not 4 <= len(codes) <= SHORT:
+        return np.zeros(0, np.uint64)
+    out = np.full(len(codes) + 1, MULT, np.uint64)
+    for i, code in enumerate(codes):
+        stays = np.arange(len(out)) != i
+        out[stays] = mix(out[stays] * MULT ^ code)
+    return out
+
+
 def parity_bitmap(codes: np.ndarray) -> np.ndarray:
     """``BITS`` bits as 64-bit integers: how often, modulo 2, a labelled shingle falls on each."""
     odd = np.bincount((labelled(codes) >> np.uint64(20)) % np.uint64(BITS), minlength=BITS) & 1
@@ -117,15 +141,17 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                  similarity: float = 0.8, sketches: int = 24, least: int = 4) -> DataFrame:
-    """One row per input row: id, ``copy_of`` (least id of equal words), ``class_id``, ``n_links``, ``kept``.
+    """One row per input row: id, ``copy_of`` (least id of equal words), ``class_id``, ``kept``.
 
     Words are split at ASCII white space, A-Z lower-cased. ``class_id`` is the
-    least id of all documents linked, directly or through others; ``n_links``
-    counts a representative's verified links to other texts (exact copies carry
-    their representative's). One document of each class, ``class_id``, is kept.
-    Texts without words (null, empty, blank) are copies of each other and link
-    to nothing else. Rows that share an id are one document; rows with a null
-    id form a class each (class null, kept). An empty table gives an empty one.
+    least id of all documents linked, directly or through others; one document
+    of each class, ``class_id``, is kept. Texts without words (null, empty,
+    blank) are copies of each other and link to nothing else. A very long text
+    is compared whole. Repeated rows are copies; rows that share an id but not
+    the text have the class of their own text, and links of either text are
+    links of the id. Rows with a null id form a class each (class null, kept).
+    Ties are settled by the least id. An empty table gives an empty one. Only id
+    and text are read, so further columns cannot clash.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
@@ -136,47 +162,62 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for key, text in rows:
             codes = shingles(text, k)
             digest = xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
-            out.append((key, digest, len(codes), parity_bitmap(codes).tolist(),
-                        order_sketch(codes, seeds, least).view(np.int64).tolist() if len(codes) else []))
+            tuples = np.r_[order_sketch(codes, seeds, least), short_keys(codes)].view(np.int64).tolist() if len(codes) else []
+            out.append((key, digest, len(codes), parity_bitmap(codes).tolist(), tuples))
         return out
 
     base = stored(map_rows(texts, sketch, f"id {kind}, digest binary, n int, bits array<long>, tuples array<long>"))
-    reps = stored(base.filter("id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
-    of = base.filter("id is not null").select("id", "digest").join(reps, "digest").select("id", F.col("rep"))
-    alone = base.join(reps, (base.id == reps.rep) & (base.digest == reps.digest), "left_semi").dropDuplicates(["id"])
-    buckets = stored(alone.select("id", F.explode(F.array_distinct("tuples")).alias("bucket")))
-    lead = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    known = base.filter("id is not null").select("id", "digest")
+    reps = stored(known.groupBy("digest").agg(F.min("id").alias("rep")))
+    of = known.join(reps, "digest").select("id", "rep")
+    alone = base.join(reps, (base.id == reps.rep) & (base.digest == reps.digest), "left_semi").dropDuplicates(["id", "digest"])
+    buckets = stored(alone.select("id", F.explode(F.array_distinct("tuples")).alias("bucket")).distinct())
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shape = alone.select("id", "n", "bits", "tuples")
-    members = stored(buckets.join(lead.select("bucket", "lead"), "bucket").join(shape, "id"))
-    leads = members.filter("id = lead").select("bucket", F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    pairs = (members.filter("id <> lead").join(leads, "bucket").filter(_may_match(similarity))
-             .select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    first = stored(_verified(texts, pairs, kind, k, similarity))
-    roots = stored(components(first))
-
-    # Members of other classes than the least of their bucket, against the rest of it.
-    rooted = stored(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    lead_root = rooted.filter("id = lead").select("bucket", F.col("root").alias("lead_root"))
-    apart = rooted.join(lead_root, "bucket").filter("root <> lead_root")
-    rest = rooted.filter("id <> lead").select("bucket", F.col("id").alias("id2"), F.col("n").alias("n2"),
-                                              F.col("bits").alias("bits2"), F.col("root").alias("root2"),
-                                              F.col("tuples").alias("tuples2"))
-    # A pair that shares several buckets is formed in the least of them only.
-    once = F.array_min(F.array_intersect("tuples", "tuples2")) == F.col("bucket")
-    pairs = (apart.join(rest, "bucket").filter((F.col("root") != F.col("root2")) & _may_match(similarity) & once)
+    members = stored(buckets.join(shared, "bucket").join(shape, "id").withColumn(
+        "deal", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / DEALT)).cast("int")))
+
+    roots = stored(members.select("id", F.col("id").alias("root")).distinct())
+    leads, many = members.filter("id = lead"), 1
+    done = None
+    while True:
+        edges = stored(_links(texts, leads, members, roots, kind, k, similarity))
+        merged = stored(components(edges))
+        roots = stored(roots.join(merged.select(F.col("id").alias("root"), F.col("root").alias("now")), "root", "left")
+                       .select("id", F.coalesce("now", "root").alias("root")))
+        heads = members.filter("id = lead").join(roots, "id").select("bucket", F.col("root").alias("lead_root"))
+        apart = members.join(roots, "id").join(heads, "bucket").filter("root <> lead_root").drop("root", "lead_root")
+        if done is not None:
+            apart = apart.join(done, ["bucket", "id"], "left_anti")
+        many *= GROWTH
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        leads = stored(apart.withColumn("turn", turn).filter(F.col("turn") <= many).drop("turn"))
+        if leads.isEmpty():
+            break
+        led = leads.select("bucket", "id")
+        done = led if done is None else done.unionByName(led)
+        members = stored(members.join(led.select("bucket").distinct(), "bucket", "left_semi"))
+    out = of.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"))
+    nameless = base.filter("id is null").select("id", F.col("id").alias("copy_of"), F.col("id").alias("class_id"))
+    return out.unionByName(nameless).select(F.col("id").alias(id_col), "copy_of", "class_id",
+                                            F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def _links(texts: DataFrame, leads: DataFrame, members: DataFrame, roots: DataFrame, kind: str, k: int,
+           similarity: float) -> DataFrame:
+    """Links between classes: the roots ``a, b`` of leaders and members of their buckets that are similar."""
+    # A leader's row goes to each task that holds members of its bucket.
+    first = leads.join(roots, "id").withColumn("deal", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / DEALT) - 1).cast("int"))))
+    rest = members.join(roots, "id").select("bucket", "deal", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "bits", "tuples", "root")))
+    # But for the first round, a pair that shares several buckets is formed in the least of them only: there too
+    # one of the two leads in the end, or they are of one class.
+    once = (F.col("id") == F.col("lead")) | (F.array_min(F.array_intersect("tuples", "tuples2")) == F.col("bucket"))
+    pairs = (first.join(rest, ["bucket", "deal"]).filter((F.col("root") != F.col("root2")) & _may_match(similarity) & once)
              .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    second = stored(_verified(texts, pairs, kind, k, similarity))
-    edges = first.unionByName(second)
-    roots = stored(components(edges))
-    links = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).groupBy(
-        "rep").agg(F.count(F.lit(1)).alias("n_links"))
-    out = (of.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
-           .select("id", F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"),
-                   F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    nameless = base.filter("id is null").select("id", F.col("id").alias("copy_of"), F.col("id").alias("class_id"),
-                                             F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(nameless).select(F.col("id").alias(id_col), "copy_of", "class_id", "n_links",
-                                         F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    found = _verified(texts, pairs, kind, k, similarity)
+    ends = [roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    return found.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
 def _may_match(similarity: float):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,6 +98,7 @@ def shingle_list(text, k=5):
 def near_brute(rows, similarity=0.8):
     """Class of every document: all pairs, aligned by dynamic programming."""
     seq = {i: shingle_list(t) for i, t in rows}
+    bags = {i: Counter(x) for i, x in seq.items()}
     root = {i: i for i in seq}
 
     def find(i):
@@ -107,6 +109,8 @@ def near_brute(rows, similarity=0.8):
     for n, i in enumerate(ids):
         for j in ids[:n]:
             a, b = seq[i], seq[j]
+            if a != b and 1.8 * sum((bags[i] & bags[j]).values()) < similarity * (len(a) + len(b)) - 1e-9:
+                continue  # too few shared shingles in any order
             if a == b or a and b and common(a, b) >= similarity * (len(a) + len(b) - common(a, b)):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
@@ -135,11 +139,47 @@ def test_near_classes_equal_brute_force(docs):
     got = {r.doc_id: r for r in near_dedup.near_classes(docs(rows)).collect()}
     assert {i: r.class_id for i, r in got.items()} == near_brute(rows)
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
-    assert got[1001].copy_of == 1000 and got[1003].copy_of == 1002 and got[1002].n_links == 0
+    assert got[1001].copy_of == 1000 and got[1003].copy_of == 1002
+
+
+def dense_group(rng, n):
+    """Copies of one text with one or two changed words each: few are alike directly, most through others."""
+    base = prose(rng, 120)
+    return [(i, changed(rng, base, 1 + i % 2)) for i in range(n)]
+
+
+def test_near_classes_of_a_dense_group(docs, monkeypatch):
+    formed = []
+    monkeypatch.setattr(near_dedup, "components", lambda edges: (formed.append(edges.count()), components(edges))[1])
+    monkeypatch.setattr(near_dedup, "DEALT", 64)
+    counts = []
+    for n in (300, 1200):
+        rows = dense_group(random.Random(11), n)
+        formed.clear()
+        got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs(rows)).collect()}
+        if n == 300:
+            assert got == near_brute(rows)
+        counts.append(sum(formed))
+    assert counts[1] <= 6 * counts[0]  # four times the rows; all pairs would be sixteen times
+
+
+def test_short_texts_share_a_key():
+    rng = random.Random(13)
+    for n in range(4, near_dedup.SHORT + 1):
+        codes = np.array([rng.randint(1, 9) for _ in range(n)], np.uint64)
+        at = rng.randrange(n)
+        for other in (np.delete(codes, at), np.r_[np.delete(codes, at), np.uint64(77)]):
+            if near_dedup.similar(codes, other, 0.8) and len(other) >= 4:
+                assert set(near_dedup.short_keys(codes).tolist()) & set(near_dedup.short_keys(other).tolist())
+    assert len(near_dedup.short_keys(np.arange(3, dtype=np.uint64))) == len(near_dedup.short_keys(np.arange(10, dtype=np.uint64))) == 0
 
 
 def test_near_classes_edge_cases(docs):
     assert near_dedup.near_classes(docs([])).count() == 0
+    long = prose(random.Random(4), 60_000)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs([(1, long), (2, long + " tail"), (3, "a b c d e f g h"),
+                                                                      (4, "a b c d e f g h i")])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
     text = prose(random.Random(3), 30)
     got = sorted(near_dedup.near_classes(docs([(None, text), (5, text), (5, text), (6, text)])).collect(), key=str)
     assert [(r.doc_id, r.class_id, r.kept) for r in got] == [(5, 5, True), (5, 5, True), (6, 5, False),
