@@ -10,6 +10,8 @@ re-derives a projected polygon's centroid) before comparison.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from geospan.operators.layer import good_rows, reject_rollup, to_layer, with_geo
 from geospan.operators.union import to_table
 from geospan.operators.validity import invalid_geometries
 from geospan.session import checkpoint_dir
-from geospan.plans.fixtures import table, view, view_sql
+from geospan.plans.convert import NO_PAYLOAD_MESSAGE, convert_archives
+from geospan.plans.fixtures import EXPORT_NAMES, table, view, view_sql, write_export_archives
 from geospan.sources.dictionary import column_types
 from geospan.sources.tsv import occurrences_from_lines
 
@@ -242,7 +245,7 @@ from {view_sql('occ_points')} v group by 1
 
 # ------------------------------------------------------------ S05 / S06 / P01 / P02 / C01 / C02
 
-TSV_NAMES = ["occurrenceID", "taxonRank", "isSensitiveTaxon", "individualCount", "footprintWKT"]
+TSV_NAMES = EXPORT_NAMES
 
 
 def tsv_typed(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,6 +291,30 @@ group by 1
 """
 
 
+# ------------------------------------------------------------ S08 / S09 / S10 / S01 / S03 / K01: ZIP exports -> layers
+
+def zip_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """ZIP exports made from the order lines, converted to layers: the outcome of each archive."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/zip-layers-{uuid.uuid4().hex}"
+    write_export_archives(spark, sf, f"{folder}/in")
+    done = convert_archives(spark, f"{folder}/in", f"{folder}/out", "tech", "point", "euref", glob="part-*")
+    number = F.regexp_extract("archive", r"archive=(\d+)", 1).cast("long")
+    return done.select(number.alias("archive"), "payload_kind", "rows", "good", "error")
+
+
+ZIP_LAYERS = f"""
+select number as archive,
+  case when number % 5 < 2 then 'occurrences' when number % 5 = 2 then 'rows' else 'rejected' end as payload_kind,
+  case when number % 5 < 3 then n else 0 end as rows, case when number % 5 < 3 then good else 0 end as good,
+  case number % 5 when 3 then '{NO_PAYLOAD_MESSAGE}' when 4 then 'not a ZIP archive' end as error
+from (select l_orderkey // 1000 as number,
+    count(*) filter (where regexp_matches(value, '\\S') and len(string_split(value, chr(9))) <= 5) as n,
+    count(*) filter (where regexp_matches(value, '\\S') and len(string_split(value, chr(9))) <= 5
+      and string_split(value, chr(9))[5] like 'POINT (%') as good
+  from {view_sql('tsv_lines')} v group by 1) s
+"""
+
+
 # ------------------------------------------------------------ S09 / A05
 
 def archive_classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -448,6 +475,7 @@ CATALOG = {
     "rejected_rollup": (rejected_rollup, REJECTED_ROLLUP),
     "tsv_typed": (tsv_typed, TSV_TYPED),
     "export_layer_rollup": (export_layer_rollup, EXPORT_LAYER_ROLLUP),
+    "zip_layers": (zip_layers, ZIP_LAYERS),
     "archive_classify": (archive_classify, ARCHIVE_CLASSIFY),
     "sidecar_missing": (sidecar_missing, SIDECAR_MISSING),
     "latest_status": (latest_status, LATEST_STATUS),

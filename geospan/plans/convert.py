@@ -4,6 +4,9 @@
 -> geometry layer in the requested CRS and geometry type, written with its
 quarantine, with status updates appended to the conversion log.
 
+``convert_archives``: a folder of ZIP exports -> one layer for each set of header
+lines, with the outcome of every archive.
+
 ``convert_layers``: vector layers -> one CSV table with ``footprintWKT``.
 """
 
@@ -14,14 +17,19 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geospan.operators.archives import classify_archives
 from geospan.operators.convlog import COMPLETE, FAILED, PROCESSING, conversion_key, latest_status
 from geospan.operators.layer import check_params, to_layer
 from geospan.operators.union import require_crs, require_rows, to_table
-from geospan.sinks.layers import write_layer, write_table_csv
-from geospan.sources.tsv import (FLAT_WKT_COLUMN, ROWS_WKT_COLUMN, WKT_COLUMN, read_flat, read_occurrences,
-                                 read_rows)
+from geospan.sinks.layers import NO_GEOMETRY_MESSAGE, NoGeometry, write_layer, write_table_csv
+from geospan.sources.archives import open_archives, payload_lines
+from geospan.sources.dictionary import LANGUAGE_ROW, column_types
+from geospan.sources.tsv import (FLAT_WKT_COLUMN, ROWS_EXCLUDED_COLUMNS, ROWS_WKT_COLUMN, WKT_COLUMN, dedupe_names,
+                                 read_flat, read_occurrences, read_rows, split_lines, type_columns)
 from geospan.streaming.convlog import LOG_SCHEMA
 
+NO_PAYLOAD_MESSAGE = "The archive has neither an occurrence file nor a rows file."
+
 
 def _log(spark: SparkSession, log_dir: str | None, cid: str, status: str, **fields) -> None:
     if not log_dir:
@@ -67,6 +75,77 @@ def convert_export(spark: SparkSession, path: str, out_dir: str, kind: str = "oc
     return {"conversion_id": cid, **stats}
 
 
+def _header(lines: DataFrame) -> DataFrame:
+    """``archive, payload_kind, header``: the first three lines of an occurrence file, the first of a rows file."""
+    n = F.when(F.col("payload_kind") == "occurrences", 3).otherwise(1)
+    return (lines.filter((F.col("line_no") >= 0) & (F.col("line_no") < n)).groupBy("archive", "payload_kind")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("header")))
+
+
+def archive_layers(lines: DataFrame, lang: str = "tech", geometry_type: str = "footprint", crs: str = "wgs84") -> list[DataFrame]:
+    """One layer (with an ``archive`` column) for each different header among ``lines``.
+
+    ``lines``: ``archive, payload_kind, line_no, value``. Columns are named and
+    typed by each archive's own header, so that archives may differ in columns or
+    in their order; only the distinct headers reach the driver, which plans one
+    job for each. An occurrence file of fewer than three lines has no layer.
+    """
+    headers = _header(lines)
+    kinds = sorted(headers.select("payload_kind", "header").distinct().collect(), key=lambda r: (r.payload_kind, r.header))
+    out = []
+    for kind, header in kinds:
+        if kind == "occurrences" and len(header) < 3:
+            continue
+        wanted = headers.filter((F.col("payload_kind") == kind) & (F.col("header") == F.array(*map(F.lit, header)))).select("archive")
+        body = lines.filter((F.col("payload_kind") == kind) & (F.col("line_no") >= len(header))).join(wanted, "archive", "left_semi")
+        names = dedupe_names(header[LANGUAGE_ROW[lang] if kind == "occurrences" else 0].split("\t"))
+        hidden = "_archive" if "archive" in names else "archive"
+        fields = split_lines(body.withColumnRenamed("archive", "_in"), names, keep={"_in": hidden})
+        if kind == "occurrences":
+            df, wkt = type_columns(fields, column_types(lang), keep_raw=(hidden,)), WKT_COLUMN[lang]
+        else:
+            df, wkt = type_columns(fields.drop(*ROWS_EXCLUDED_COLUMNS), {}, keep_raw=(hidden,)), ROWS_WKT_COLUMN
+        if wkt in names:
+            out.append(to_layer(df, wkt, geometry_type, crs).withColumnRenamed(hidden, "_archive"))
+    return out
+
+
+def convert_archives(spark: SparkSession, path: str, out_dir: str, lang: str = "tech", geometry_type: str = "footprint",
+                     crs: str = "wgs84", glob: str = "*.zip") -> DataFrame:
+    """The ZIP job: every archive under ``path`` -> layers under ``out_dir`` (``layer=<n>/status=ok|rejected``).
+
+    Returns one row per archive: ``archive, payload_kind, rows, good, error``. An
+    archive without a payload, a damaged one and one without a usable geometry
+    have an error and no good rows in the layers; the others are not held up.
+    """
+    check_params(geometry_type, crs)
+    archives = open_archives(spark, path, glob)
+    kinds = classify_archives(archives.members)
+    read = payload_lines(archives, kinds)
+    broken = archives.members.filter("error is not null").select("archive", "error").unionByName(
+        read.filter("error is not null").select("archive", "error")).groupBy("archive").agg(F.min("error").alias("error"))
+    good = read.filter("error is null").join(broken, "archive", "left_anti").join(
+        kinds.select("archive", "payload_kind"), "archive").select("archive", "payload_kind", "line_no", "value")
+    counts = None
+    for n, layer in enumerate(archive_layers(good, lang, geometry_type, crs)):
+        try:
+            write_layer(layer, f"{out_dir}/layer={n}")
+        except NoGeometry:
+            pass
+        else:
+            done = spark.read.parquet(f"{out_dir}/layer={n}").groupBy(F.col("_archive").alias("archive")).agg(
+                F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "ok").alias("good"))
+            counts = done if counts is None else counts.unionByName(done)
+    if counts is None:
+        counts = spark.createDataFrame([], "archive string, rows long, good long")
+    error = (F.when(F.col("error").isNotNull(), F.col("error"))
+             .when(F.col("payload_kind") == "rejected", F.lit(NO_PAYLOAD_MESSAGE))
+             .when(F.coalesce("good", F.lit(0)) == 0, F.lit(NO_GEOMETRY_MESSAGE)))
+    return (kinds.join(broken, "archive", "full").join(counts, "archive", "left")
+            .select("archive", "payload_kind", F.coalesce("rows", F.lit(0)).alias("rows"),
+                    F.coalesce("good", F.lit(0)).alias("good"), error.alias("error")))
+
+
 def convert_layers(layers: list[DataFrame], csv_path: str) -> None:
     """The GIS-to-table job: union, WGS84, simplify, WKT last, CSV."""
     require_crs(layers)

@@ -20,6 +20,10 @@ LAYER_NAME = "occurrences"
 NO_GEOMETRY_MESSAGE = "The export has no usable geometry, so no layer was written."
 
 
+class NoGeometry(ValueError):
+    """No row of a layer is usable."""
+
+
 def layer_columns(layer: DataFrame) -> DataFrame:
     """Promote to Multi*, add WKT, SRID and bounds columns (bounds give
     parquet min/max statistics usable as a coarse spatial filter)."""
@@ -53,7 +57,7 @@ def write_layer(layer: DataFrame, path: str, mode: str = "overwrite") -> dict:
     if staging != path:
         _publish(layer.sparkSession, staging, path if stats.get("good") else None)
     if not stats.get("good"):
-        raise ValueError(NO_GEOMETRY_MESSAGE)
+        raise NoGeometry(NO_GEOMETRY_MESSAGE)
     return {"rows": stats["rows"], "good": stats["good"], "layer": LAYER_NAME, "path": path}
 
 

@@ -75,11 +75,16 @@ def decode_text(value: Column) -> Column:
     return F.when(F.is_valid_utf8(raw), F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
 
 
-def split_lines(lines: DataFrame, names: list[str], value_col: str = "value") -> DataFrame:
-    """Tab-split, drop blank and over-long lines, null-pad short ones."""
+def split_lines(lines: DataFrame, names: list[str], value_col: str = "value",
+                keep: dict[str, str] | None = None) -> DataFrame:
+    """Tab-split, drop blank and over-long lines, null-pad short ones.
+
+    ``keep`` names further columns of ``lines`` to carry along, and their new names.
+    """
     fields = F.split(F.col(value_col), "\t", -1)
     kept = lines.filter(F.col(value_col).rlike(r"\S") & (F.size(fields) <= len(names)))
-    return kept.select(*[F.get(fields, i).alias(n) for i, n in enumerate(names)])
+    return kept.select(*[F.get(fields, i).alias(n) for i, n in enumerate(names)],
+                       *[F.col(c).alias(n) for c, n in (keep or {}).items()])
 
 
 def typed_column(raw: Column, dtype: str) -> Column:
@@ -91,11 +96,11 @@ def typed_column(raw: Column, dtype: str) -> Column:
     return null_tokens(raw)
 
 
-def type_columns(df: DataFrame, types: dict[str, str], keep_text: tuple[str, ...] = ()) -> DataFrame:
-    """Apply :func:`typed_column` to every column (names as in ``df``)."""
+def type_columns(df: DataFrame, types: dict[str, str], keep_raw: tuple[str, ...] = ()) -> DataFrame:
+    """Apply :func:`typed_column` to every column (names as in ``df``) but those of ``keep_raw``."""
     return df.select(*[
-        (null_tokens(F.col(f"`{c}`")) if c in keep_text else typed_column(F.col(f"`{c}`"), types.get(c, "object")))
-        .alias(c) for c in df.columns
+        (F.col(f"`{c}`") if c in keep_raw else typed_column(F.col(f"`{c}`"), types.get(c, "object"))).alias(c)
+        for c in df.columns
     ])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geospan.operators import archives as A
 from geospan.operators import convlog as L
-from geospan.sources.archives import archive_inventory, payload_lines
+from geospan.sources.archives import open_archives, payload_lines
 from geospan.streaming.convlog import LOG_SCHEMA, current_status, start_status_stream
 
 
@@ -25,7 +25,8 @@ def test_sidecars_and_classification(spark, tmp_path):
     _zip(d / "bad.zip", {"Test.SHP": "x"})
     _zip(d / "occ.zip", {"readme.txt": "x", "occurrences.txt": "a\tb\n1\t2\n".encode() + "é\t3\n".encode("latin-1") + "é\t4\n".encode()})
     _zip(d / "rows.zip", {"x/rows_2.tsv": "h\nv\n", "rows_1.tsv": "h\nw\n"})
-    inv = archive_inventory(spark, str(d))
+    archives = open_archives(spark, str(d))
+    inv = archives.members
     missing = {(r.archive.rsplit("/", 1)[-1], r.shapefile): r.missing for r in A.missing_sidecars(inv).collect()}
     assert missing == {("bad.zip", "test.shp"): "test.dbf, test.shx"}
     msg = A.sidecar_message(A.missing_sidecars(inv)).first().message
@@ -35,7 +36,7 @@ def test_sidecars_and_classification(spark, tmp_path):
     assert kinds["occ.zip"] == ("occurrences", "occurrences.txt")
     assert kinds["rows.zip"] == ("rows", "x/rows_2.tsv")      # first in archive order
     assert kinds["ok.zip"] == ("rejected", None)
-    lines = payload_lines(A.classify_archives(inv)).filter(F.col("archive").endswith("occ.zip"))
+    lines = payload_lines(archives, A.classify_archives(inv)).filter(F.col("archive").endswith("occ.zip"))
     assert [r.value for r in lines.orderBy("line_no").collect()] == ["a\tb", "1\t2", "é\t3", "é\t4"]
 
 
