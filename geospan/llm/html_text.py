@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,141 +24,186 @@ STOP_WORDS = frozenset((
     "le la les de des du et un une est en que pour dans par sur au pas qui ce il "
     "el los las del y que en por con una se no su al lo para").split())
 SKIPPED = frozenset("script style noscript template svg math head iframe object select button textarea option".split())
-OUTSIDE = frozenset("nav footer aside form header menu dialog figure".split())
+OUTSIDE = frozenset("nav footer aside form header menu dialog".split())
+#: Elements that end an open one of their own name.
+REPEATED = frozenset("p li dt dd tr td th".split())
 INLINE = frozenset(("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span "
                     "strike strong sub sup time tt u var wbr br").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|header|masthead|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|respond|share|sharing|sidebar|social|"
-    r"sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Names, whole, of classes and ids: what they name is never main text, or only on a page that has no other.
+NEVER = re.compile(
+    r"(?:\w*comments?(?:list|area|form|box|section|thread|body|text|s)?|ads?|adverts?|advertis\w*|breadcrumbs?|consent|"
+    r"cookies?\w*|disqus|footer|gdpr|nav|navbar|navigation|newsletter|popup|respond|\w*sidebar|sponsor\w*|subscribe)", re.I)
+SELDOM = re.compile(r"(?:banner|header|masthead|menu|modal|notice|promo\w*|related|share|sharing|social|toolbar|widget)", re.I)
+#: A part of a name that says that the page is laid out without or around what the next part names.
+LAYOUT = re.compile(r"(?:no|non|not|without|with|has|have|hide|hides|hidden|show|shows|and)", re.I)
 ROLE = re.compile(r"(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu)", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z/!?][^<>]*\Z", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+#: Attributes up to the end of a tag, without backtracking; quoted values hold no tag start in the first.
+PLAIN, QUOTED = (re.compile(rf"(?:[^>\"'{less}]|\"[^\"{less}]*\"|'[^'{less}]*')*+>") for less in ("<", ""))
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # one after the other, values consumed
 WORD = re.compile(r"\w+")
 
 
-def is_outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element holds no main text for certain (name, role, hidden), and whether its class or id says so."""
-    if tag in OUTSIDE and not (in_article and tag in ("header", "figure")):
-        return True, False
-    named = False
+OUT, DOUBT = 2, 1
+
+
+def named_after(names: str) -> int:
+    """Whether a class or id names boilerplate: OUT (never main text), DOUBT (seldom) or 0.
+
+    Names are told apart by white space and their parts by hyphens and
+    underscores; ``no-sidebar`` or ``with-sidebar`` describe the page instead.
+    """
+    found = 0
+    for name in names.split():
+        parts = re.split(r"[-_]+", name)
+        for before, part in zip(["", *parts], parts):
+            if not LAYOUT.fullmatch(before):
+                found = max(found, OUT if NEVER.fullmatch(part) else DOUBT if SELDOM.fullmatch(part) else 0)
+    return found
+
+
+def is_outside(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is boilerplate: OUT by its element, role, being hidden or named so; DOUBT; or 0."""
+    if tag in OUTSIDE and not (in_article and tag == "header"):
+        return OUT
     if not attributes or tag in ("html", "body"):
-        return False, False
+        return 0
+    found = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
-        if name == "role" and ROLE.fullmatch(value):
-            return True, False
-        if name in ("class", "id") and tag not in ("main", "article") and BOILERPLATE.search(value):
-            named = True
-    return False, named
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and ROLE.fullmatch(value):
+            return OUT
+        if name in ("class", "id") and tag not in ("main", "article"):
+            found = max(found, named_after(value))
+    return found
 
 
 def word_count(text: str) -> int:
     return len(WORD.findall(text))
 
 
-def blocks_of(page: str, long: int = 32) -> list[tuple[str, int, bool, bool]]:
-    """Blocks in page order: text, words inside links, lies outside the main text, lies in an article.
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """``text, tag, closing, attributes`` in page order, the text before each tag; time grows with the page's length.
 
-    An element that is boilerplate by class or id alone counts as such unless
-    it holds most of the page's words (links and certain boilerplate aside);
-    beside an article these must be ``long``, as an ad may exceed a short one.
+    Comments, declarations and elements of ``SKIPPED`` are left out with their
+    content. A tag that never ends stops at the next tag start.
     """
-    out: list[tuple[str, int, bool, bool]] = []
-    inside: list[tuple[int, ...]] = []  # of each block, the elements around it that are boilerplate by name
-    open_: list[tuple[str, bool, bool]] = []  # element, whether it lies outside for certain, and by its name
-    named: list[int] = []  # open elements that are boilerplate by name
-    seen = 0
-    outside = article = links = linked = 0
+    at = start = 0
+    n = len(page)
+    endless: set[str] = set()  # what is known not to come any more: an end of a tag, of a quoted value, of an element
+    while True:
+        open_ = page.find("<", at)
+        if open_ < 0:
+            break
+        if page.startswith(("<!", "<?"), open_):
+            sign, end = next(((s, e) for s, e in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(s, open_)), ("<!", ">"))
+            close = -1 if end in endless else page.find(end, open_ + len(sign))
+            if close < 0:
+                endless.add(end)
+            # An unclosed comment takes the rest of the page, an unclosed declaration only itself.
+            after = close + len(end) if close >= 0 else n if sign != "<!" else open_ + 2
+            yield page[start:open_], "", False, ""
+            at = start = after
+            continue
+        m = TAG.match(page, open_)
+        if not m:
+            at = open_ + 1
+            continue
+        end = PLAIN.match(page, m.end())
+        if not end and "quoted" not in endless:
+            end = QUOTED.match(page, m.end())
+            if not end:
+                endless.add("quoted")
+        tag, closing = m.group(2).lower(), bool(m.group(1))
+        if end:
+            attributes, at = page[m.end():end.end() - 1], end.end()
+        else:
+            following = page.find("<", m.end())
+            attributes, at = "", following if following >= 0 else n
+        if tag in SKIPPED and not closing and not attributes.endswith("/"):
+            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close or tag in ("script", "style"):
+                yield page[start:open_], "" if tag in INLINE else " ", False, ""
+                at = start = close.end() if close else n
+                continue
+            endless.add(tag)
+        yield page[start:open_], tag, closing, attributes
+        start = at
+    yield page[start:], "", False, ""
+
+
+def blocks_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """Blocks in page order: text, words inside links, OUT or DOUBT or 0, lies in an article."""
+    out: list[tuple[str, int, int, bool]] = []
+    open_: list[tuple[str, int]] = []
+    count = Counter()  # open elements by name
+    depth = [0, 0, 0]  # open elements that are neither, in doubt, outside
+    linked = 0
     held: list[str] = []
 
     def close_block():
         nonlocal linked
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            out.append((text, linked, outside > 0, article > 0))
-            inside.append(tuple(named))
+            out.append((text, linked, OUT if depth[OUT] else DOUBT if depth[DOUBT] else 0,
+                        count["article"] + count["main"] > 0))
         held.clear()
         linked = 0
 
     def pop():
-        nonlocal outside, article, links
-        name, out_, named_ = open_.pop()
-        outside -= out_
-        if named_:
-            named.pop()
-        article -= name in ("article", "main")
-        links -= name == "a"
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        data = page[at:m.start() if m else n]
+        name, away = open_.pop()
+        depth[away] -= 1
+        count[name] -= 1
+
+    for data, tag, closing, attributes in tokens(page):
         if data:
             held.append(data)
-            if links:
+            if count["a"]:
                 linked += len(WORD.findall(data))
-        if not m:
-            break
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+        if not tag:
             continue
-        tag, closing = tag.lower(), bool(m.group(1))
-        if tag in SKIPPED and not closing and not m.group(3).endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if end or tag in ("script", "style"):
-                at = end.end() if end else n
-                if tag not in INLINE:
-                    held.append(" ")
-                continue
-        if tag in INLINE or tag in VOID:
+        if tag in INLINE or tag in VOID or tag == " ":
             if tag == "br" or tag not in INLINE and tag != "input":
                 held.append(" ")
             if tag == "hr":
                 close_block()
         else:
             close_block()
-        if tag in VOID:
+        if tag in VOID or tag == " ":
             continue
         if not closing:
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and any(name == tag for name, *_ in open_[-8:]):
-                while open_ and open_[-1][0] in INLINE | {tag} and any(name == tag for name, *_ in open_[-8:]):
+            if tag in REPEATED and any(name == tag for name, _ in open_[-8:]):
+                while open_ and (open_[-1][0] in INLINE or open_[-1][0] == tag) and any(name == tag for name, _ in open_[-8:]):
                     pop()
-            away, by_name = is_outside(tag, m.group(3), article > 0)
-            open_.append((tag, away, by_name))
-            outside += away
-            if by_name:
-                named.append(seen)
-                seen += 1
-            article += tag in ("article", "main")
-            links += tag == "a"
-        elif any(name == tag for name, *_ in open_):
-            while open_ and open_[-1][0] != tag:
+            away = is_outside(tag, attributes, count["article"] + count["main"] > 0)
+            open_.append((tag, away))
+            depth[away] += 1
+            count[tag] += 1
+        elif count[tag]:
+            while open_[-1][0] != tag:
                 pop()
             pop()
     close_block()
-    if not seen:
-        return out
-    words = [0 if away else max(word_count(text) - linked, 0) for text, linked, away, _ in out]
-    held_by, articles = [0] * seen, [0] * seen  # of each element: words, and those that lie in an article too
-    for n, around, (_, _, _, in_article) in zip(words, inside, out):
-        for e in around:
-            held_by[e] += n
-            articles[e] += n * in_article
-    all_articles = sum(n for n, (_, _, _, in_article) in zip(words, out) if in_article)
-    most = {e for e, n in enumerate(held_by) if 2 * n > sum(words) and (n >= long or articles[e] == all_articles)}
-    return [(text, linked, away or not most.issuperset(around), article_)
-            for (text, linked, away, article_), around in zip(out, inside)]
+    return out
 
 
 def main_text(page: str, short: int = 8, link_density: float = 0.4, stop_density: float = 0.08) -> str:
-    """The main text's blocks, joined by line feeds."""
-    blocks = blocks_of(page, 4 * short)
+    """The main text's blocks, joined by line feeds.
+
+    Elements that only their name puts in doubt (a banner, a widget) are looked
+    at if the page has no main text without them.
+    """
+    blocks = blocks_of(page)
+    for certain in (DOUBT, OUT):
+        kept = _kept([(text, linked, away >= certain, article) for text, linked, away, article in blocks],
+                     short, link_density, stop_density)
+        if kept or all(away != DOUBT for _, _, away, _ in blocks):
+            break
+    return "\n".join(kept)
+
+
+def _kept(blocks: list[tuple[str, int, bool, bool]], short: int, link_density: float, stop_density: float) -> list[str]:
     found = [WORD.findall(text) for text, *_ in blocks]
     # Articles speak for the page if they hold as many words as the rest of it; a teaser card does not.
     held = [0, 0]
@@ -176,35 +223,43 @@ def main_text(page: str, short: int = 8, link_density: float = 0.4, stop_density
             labels.append(True)  # long and without links: text of a language whose stop words are unknown
         else:
             labels.append(None)
-    final = list(labels)
+    before, after = nearest(labels), [len(labels) - 1 - i if i is not None else None for i in nearest(labels[::-1])][::-1]
+    out = []
+    for i, (text, _, _, article) in enumerate(blocks):
+        keep, left, right = labels[i], before[i], after[i]
+        if keep is None and article:  # neighbours outside the article don't speak for it
+            near = [labels[j] for j in (left, right) if j is not None and blocks[j][3] and not blocks[j][2]]
+            keep = any(near) or not near
+        elif keep is None and left is None and right is None:
+            keep = not has_article
+        elif keep is None and (left is None or right is None or i - left != right - i):
+            keep = labels[left if right is None or left is not None and i - left < right - i else right]
+        elif keep is None:
+            keep = labels[left] and labels[right]
+        if keep:
+            out.append(text)
+    return out
+
+
+def nearest(labels: list[bool | None]) -> list[int | None]:
+    """For each place the last one before it that has a label."""
+    out, last = [], None
     for i, label in enumerate(labels):
-        if label is None:
-            before = next((d for d in range(1, i + 1) if labels[i - d] is not None), None)
-            after = next((d for d in range(1, len(labels) - i) if labels[i + d] is not None), None)
-            article = blocks[i][3]
-            if article:  # neighbours outside the article don't speak for it
-                near = [labels[j] for j in (i - (before or 0), i + (after or 0)) if j != i and blocks[j][3]
-                        and not blocks[j][2]]
-                final[i] = any(near) or not near
-            elif before is None and after is None:
-                final[i] = not has_article
-            elif after is None or before is not None and before < after:
-                final[i] = labels[i - before]
-            elif before is None or after < before:
-                final[i] = labels[i + after]
-            else:
-                final[i] = labels[i - before] and labels[i + after]
-    return "\n".join(text for (text, *_), keep in zip(blocks, final) if keep)
+        out.append(last)
+        if label is not None:
+            last = i
+    return out
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` (empty if none, or if the HTML is null or empty) and ``n_chars``, its code points.
 
     Columns of these two names are replaced, others stay; repeated rows are
-    extracted each for itself.
+    extracted each for itself. A very long page is read whole, in time that grows
+    with its length, tags and quotes that never end included. A block as near to
+    a kept neighbour as to a dropped one is dropped. An empty table gives an empty one.
     """
     import pandas as pd
-    from collections.abc import Iterator
     from pyspark.sql.functions import pandas_udf
 
     def run(batches):

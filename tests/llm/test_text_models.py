@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from collections import Counter
 
 import numpy as np
@@ -63,6 +64,58 @@ def test_html_hidden_and_boilerplate_stay_out():
     assert html_text.main_text(ad + "<article><h1>Short.</h1></article>") == "Short."
 
 
+COMMENT = "<p>I think that this is the best of all the stories that I have read in this paper, and so say all of us.</p>"
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "commentlist", "reader-comments", "postComments", "sidebar",
+                                  "cookie-banner", "cookies", "right sidebar", "ad", "ads-box", "advertisement", "site-nav"])
+@pytest.mark.parametrize("page", ['<article>@</article><div class="%"></div>', '<div>@</div><section id="%"></section>',
+                                  '<article>@<ol class="%"></ol></article>'])
+def test_html_boilerplate_stays_out_however_long(page, name):
+    text = html_text.main_text(page.replace("@", STORY[:STORY.index("</p>") + 4]).replace('%">', f'{name}">' + COMMENT * 12))
+    assert "paragraph 0" in text and "I think" not in text
+
+
+def generated_page(rng, i):
+    """A page of known text: wrappers and boilerplate around an article, in one of several layouts."""
+    def prose():
+        return " ".join(rng.choices("the of and to in a is that for it was story paper river market early winter".split(), k=rng.randint(12, 60)))
+    paragraphs = [prose().capitalize() + "." for _ in range(rng.randint(1, 6))]
+    noise = ['<nav><a href="/">Home</a> <a href="/a">About the paper</a></nav>', f'<div class="sidebar"><p>{prose()}</p></div>',
+             f'<aside>{prose()}</aside>', f'<form><p>{prose()}</p></form>', f'<footer><p>{prose()}</p></footer>',
+             f'<section class="comments">{"".join(f"<p>{prose()}</p>" for _ in range(9))}</section>',
+             f'<script>var a = "<p>{prose()}</p>";</script>', f'<!-- <p>{prose()}</p> -->', f'<div id="cookie-notice">{prose()}</div>']
+    rng.shuffle(noise)
+    body = "".join(f"<p>{' <b>'.join(p.split(' ', 1))}</b></p>\n" for p in paragraphs)
+    body = [f"<article>{body}</article>", f'<div class="no-sidebar">{body}</div>', f"<main>{body}</main>", body][i % 4]
+    return f"<html><body>{''.join(noise[:4])}{body}{''.join(noise[4:])}</body></html>", "\n".join(paragraphs)
+
+
+def test_html_equals_the_text_of_generated_pages():
+    rng = random.Random(21)
+    for i in range(200):
+        page, want = generated_page(rng, i)
+        assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("part", ['<a href="x ', "<p><span>", "<p>short</p>", "<svg>", "<!", "<!-", "</b", "<a title='<", "<div class=ad>a",
+                                  "<", "&#", "</p>", "<b", '<i "', "<textarea>"])
+def test_html_time_grows_with_the_length(part):
+    page = part * (1_000_000 // len(part))
+    if part in ("<p>short</p>", "<p><span>", "<div class=ad>a", "</p>", "<svg>", "<textarea>"):
+        page = page[:300_000]  # hundreds of thousands of real tags
+    start = time.monotonic()
+    html_text.main_text("<p>It is the text of this page.</p>" + page)
+    assert time.monotonic() - start < 8
+
+
+def test_html_nearest_neighbours_and_ties():
+    long_, link = "It is the text of the page and that of the paper too.", '<a href="x">one two three</a>'
+    assert html_text.main_text(f"<p>{long_}</p><p>Tie</p><p>{link}</p>") == long_
+    assert html_text.main_text(f"<p>{long_}</p><p>Near</p><p>Far</p><p>Out</p><p>{link}</p>").split("\n") == [long_, "Near"]
+    assert "A caption" in html_text.main_text(f"<div><p>{long_}</p><figure><figcaption>A caption</figcaption></figure><p>{long_}</p></div>")
+
+
 def test_extract_text_edge_cases(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (2, None, None, None), (None, "u", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
