@@ -3,11 +3,16 @@
 Texts are tokenised where they are; only the histogram of piece lengths, at
 most ``capacity`` numbers, reaches the driver. There the configuration LP
 (cover every length's count with as few sequences as possible) is solved by
-multiplicative weights: each round prices the lengths, a knapsack dynamic
-program finds the best-filled configuration at these prices, and lengths that
-it covers get cheaper. The average is scaled and rounded down, and best fit
-packs the remainder. The resulting plan, runs of slots for each length, is
-bounded by the number of configurations; pieces are matched to slots by their
+multiplicative weights. In each round a knapsack dynamic program prices all
+configurations at once: the best of all, which bounds the optimum from below,
+and for each length the best that holds it. Those near the best are used as far
+as the round's share of their lengths goes, and lengths that fall behind the
+schedule get dearer, those ahead of it cheaper. How often each configuration is
+used is rounded down, and best fit packs the rest: the fractions and the last
+hundredths, which are left in the histogram's own proportions.
+
+The resulting plan, runs of slots for each length, is bounded by the number of
+configurations, not by that of the pieces; pieces are matched to slots by their
 rank among pieces of equal length, which is counted in two levels so that no
 length, however common, meets in one task.
 """
@@ -80,28 +85,29 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, capa
                          "length long, ids_crc32 long, part int, nth long", rows_per_step=128)
 
 
-def price_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> Counter:
-    """The configuration of greatest total price that fits (unbounded knapsack)."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    for i in np.argsort(-price / lengths):
-        size, p = int(lengths[i]), price[i]
-        if size > capacity // 2:  # fits once at most
-            new = best[:capacity + 1 - size] + p
-            better = new > best[size:] + 1e-12
-            best[size:][better] = new[better]
-            pick[size:][better] = i
-            continue
-        for at in range(size, capacity + 1, size):  # multiples in turn, whole stretches at once
-            stop = min(at + size, capacity + 1)
-            new = best[at - size:stop - size] + p
-            better = new > best[at:stop] + 1e-12
-            best[at:stop][better] = new[better]
-            pick[at:stop][better] = i
-    out, room = Counter(), int(np.argmax(best))
-    while room > 0 and pick[room] >= 0:
-        out[int(lengths[pick[room]])] += 1
-        room -= int(lengths[pick[room]])
+def price_configurations(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest total price within each room up to ``capacity``, and the item to take there (-1: a smaller room does).
+
+    An unbounded knapsack over sorted ``lengths``.
+    """
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for room in range(int(lengths[0]), capacity + 1):
+        n = fitting[room]
+        value = best[room - lengths[:n]] + price[:n]
+        i = int(value.argmax())
+        best[room], pick[room] = (value[i], i) if value[i] > best[room - 1] else (best[room - 1], -1)
+    return best, pick
+
+
+def _contents(pick: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
+    out = []
+    while room > 0:
+        if pick[room] < 0:
+            room -= 1
+        else:
+            out.append(int(pick[room]))
+            room -= int(lengths[pick[room]])
     return out
 
 
@@ -146,41 +152,69 @@ def best_fit(counts: Counter, capacity: int) -> Counter:
     return out
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, rounds: int = 120, step: float = 0.3) -> Counter:
-    """Configurations and how often each is used; every piece of the histogram is covered exactly once."""
+def solve_program(counts: dict[int, int], capacity: int, rounds: int = 25, passes: int = 30, step: float = 0.125,
+                  near: float = 0.001, slack: float = 0.1, left: float = 0.03) -> tuple[dict[tuple, float], float]:
+    """A fractional plan that uses no length more often than it occurs, and a lower bound of the sequences needed.
+
+    In each of ``rounds`` an equal share of every length may be used, all but a
+    share ``left`` in the end. Configurations within ``near`` of the best are used,
+    for at most ``passes`` prices of the lengths that still may, while their best is
+    within ``slack`` of the best of all; ``step`` is how much a length's price grows
+    for each round that it is behind the average.
+    """
+    lengths = np.array(sorted(counts))
+    need = np.array([counts[int(x)] for x in lengths], float)
+    rest, weight = need.copy(), np.zeros(len(lengths))
+    used: dict[tuple, float] = {}
+    bound = 0.0
+    for turn in range(1, rounds + 1):
+        stays = (1 - (1 - left) * turn / rounds) * need
+        price = lengths / capacity * np.exp(weight)
+        top = price_configurations(lengths, price, capacity)[0][capacity]
+        bound = max(bound, float(price @ need) / top)
+        for _ in range(passes):
+            open_ = np.flatnonzero(rest - stays > 1e-9 * need)
+            if not len(open_):
+                break
+            sizes, quota = lengths[open_], (rest - stays)[open_]
+            best, pick = price_configurations(sizes, price[open_], capacity)
+            if best[capacity] < (1 - slack) * top:
+                break
+            value = price[open_] + best[capacity - sizes]
+            for i in np.argsort(-value, kind="stable"):
+                if value[i] < (1 - near) * best[capacity]:
+                    break
+                held = Counter([int(i), *_contents(pick, sizes, capacity - int(sizes[i]))])
+                times = min(quota[j] / n for j, n in held.items())
+                if times > 1e-9:
+                    config = tuple(sorted((int(sizes[j]) for j in held.elements()), reverse=True))
+                    used[config] = used.get(config, 0.0) + times
+                    for j, n in held.items():
+                        quota[j] -= n * times
+            rest[open_] = stays[open_] + quota
+        behind = (rest - stays) / need
+        weight += step * (behind - behind.mean())
+    return used, bound
+
+
+def pack_histogram(counts: dict[int, int], capacity: int, **program) -> Counter:
+    """Configurations and how often each is used; every piece of the histogram is covered exactly once.
+
+    ``program`` is passed on to :func:`solve_program`.
+    """
     left = Counter({k: v for k, v in counts.items() if v})
     plan: Counter = Counter()
     if capacity in left:
         plan[(capacity,)] = left.pop(capacity)
     if not left:
         return plan
-    lengths = np.array(sorted(left))
-    need = np.array([left[int(x)] for x in lengths], float)
-    weight = lengths / capacity
-    covered = np.zeros(len(lengths))
-    used: Counter = Counter()
-    for _ in range(rounds):
-        config = price_configuration(lengths, weight / need, capacity)
-        held = np.array([config[int(x)] for x in lengths], float)
-        rate = held / need
-        width = rate.max()
-        times = 1 / width  # as often as the scarcest of its lengths allows
-        used[tuple(sorted(config.elements(), reverse=True))] += times
-        covered += held * times / need
-        weight *= (1 - step) ** (rate / width)
-        weight /= weight.sum()
-    scale = max(covered.min(), covered.mean() * 0.5)  # seldom covered lengths go to best fit
-    choices = []
-    for s in (scale, covered.mean(), covered.max()):
-        rest, made = Counter(left), Counter()
-        for config, times in used.most_common():
-            n = min([int(times / s), *(rest[k] // c for k, c in Counter(config).items())])
-            if n > 0:
-                made[config] += n
-                for k, c in Counter(config).items():
-                    rest[k] -= n * c
-        choices.append(made + best_fit(+rest, capacity))
-    return plan + min(choices, key=lambda c: sum(c.values()))
+    used, _ = solve_program(left, capacity, **program)
+    for config, times in used.items():
+        if n := int(times + 1e-6):
+            plan[config] += n
+            for length in config:
+                left[length] -= n
+    return plan + best_fit(+left, capacity)
 
 
 def slots(plan: Counter) -> list[tuple[int, int, int, int, int]]:
@@ -197,6 +231,15 @@ def slots(plan: Counter) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def stretches(runs: list[tuple[int, int, int, int, int]], most: int = 100_000) -> dict[int, int]:
+    """For each length how many ranks a bucket of the slot join spans: about one run's, at most ``most``."""
+    n_runs = Counter(run[0] for run in runs)
+    ranks = {run[0]: 0 for run in runs}
+    for length, _, last, _, _ in runs:
+        ranks[length] = max(ranks[length], last + 1)
+    return {length: max(1, min(most, ranks[length] // n)) for length, n in n_runs.items()}
+
+
 def pack(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = 1024, added: dict[str, int] | None = None) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
@@ -204,23 +247,26 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, id_col
     ``added``: tokens beside the rank file, see :func:`added_tokens`.
     Null or empty text is the end token alone. Longer documents are cut into
     pieces of ``capacity`` tokens, the first taking the remainder. Repeated and
-    null ids are packed like any other row; an empty table gives no pieces.
+    null ids are packed like any other row; equal lengths take their slots in the
+    order of the tasks that cut them. An empty table gives no pieces. Only id and
+    text are read, so further columns cannot clash.
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
     cut = stored(pieces(texts, tokenizer_path, pattern, end_id, capacity, added))
     sizes = stored(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = spark.createDataFrame(slots(pack_histogram(histogram, capacity)),
-                                 "length long, lo long, hi long, sequence long, offset long")
+    runs = slots(pack_histogram(histogram, capacity))
+    spans = stretches(runs)
+    widths = spark.createDataFrame(list(spans.items()), "length long, width long")
+    # A run lies in the buckets of ranks that it reaches; a piece looks for its own in one bucket, which has few.
+    places = spark.createDataFrame([(*run, spans[run[0]]) for run in runs],
+                                   "length long, lo long, hi long, sequence long, offset long, width long").withColumn(
+        "bucket", F.explode(F.sequence(F.expr("lo div width"), F.expr("hi div width")))).drop("width")
     before = (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")
-    ranks = sizes.select("length", "part", before)
-    # A run is found by the last run that starts at or before the rank: equal lengths, bounded list.
-    by_length = F.broadcast(runs.groupBy("length").agg(F.array_sort(F.collect_list(
-        F.struct("lo", "sequence", "offset"))).alias("runs")))
-    ranked = cut.join(ranks, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
-    run = F.element_at(F.filter("runs", lambda r: r["lo"] <= F.col("rank")), -1)
-    return (ranked.join(by_length, "length").withColumn("run", run)
+    ranks = sizes.select("length", "part", before).join(widths, "length")
+    ranked = cut.join(ranks, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth")).withColumn(
+        "bucket", F.expr("rank div width"))
+    return (ranked.join(places, ["length", "bucket"]).filter((F.col("lo") <= F.col("rank")) & (F.col("rank") <= F.col("hi")))
             .select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32",
-                    (F.col("run.sequence") + F.col("rank") - F.col("run.lo")).alias("sequence_id"),
-                    F.col("run.offset").alias("offset")))
+                    (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"))

@@ -74,26 +74,78 @@ def test_packing_is_an_exact_round_trip(docs, capacity):
         assert at <= capacity
 
 
-def test_plan_covers_the_histogram_and_beats_best_fit():
-    rng = random.Random(2)
-    counts = Counter(rng.randint(260, 520) for _ in range(4000))
-    plan = packing.pack_histogram(counts, 1024, rounds=40)
+def covered(plan, capacity=1024):
     made = Counter()
     for config, n in plan.items():
-        assert sum(config) <= 1024
+        assert sum(config) <= capacity
         for length in config:
             made[length] += n
-    assert made == counts and sum(plan.values()) <= sum(packing.best_fit(counts, 1024).values())
-    assert not packing.pack_histogram({}, 1024)
+    return made
 
 
-def test_plan_comes_from_the_program_and_best_fit_packs_its_remainder_only(monkeypatch):
-    rng = random.Random(5)
-    counts = Counter(rng.randint(260, 520) for _ in range(4000))
+@pytest.fixture(scope="module")
+def real_lengths():
+    """Piece lengths of the documents of sf0.1, with the contract's tokenizer."""
+    import pyarrow.parquet as pq
+    encode = packing.rank_tokenizer(PATH, PATTERN)
+    out = Counter()
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(encode(text or "")) // 4 + 1
+        out[1024] += n // 1024
+        out[n % 1024] += n % 1024 > 0
+    return +out
+
+
+def best_fit_asked(monkeypatch):
     plain, asked = packing.best_fit, []
     monkeypatch.setattr(packing, "best_fit", lambda c, capacity: asked.append(sum(c.values())) or plain(c, capacity))
-    packing.pack_histogram(counts, 1024, rounds=40)
-    assert asked and max(asked) < 4000
+    return asked
+
+
+def test_plan_of_real_lengths_comes_from_the_program(real_lengths, monkeypatch):
+    plain = packing.best_fit
+    asked = best_fit_asked(monkeypatch)
+    for times, share in ((1, 0.5), (100, 0.9)):
+        counts = Counter({k: v * times for k, v in real_lengths.items()})
+        plan = packing.pack_histogram(counts, 1024)
+        assert covered(plan) == counts
+        assert sum(plan.values()) <= sum(plain(counts, 1024).values())
+        assert asked.pop() <= (1 - share) * sum(counts.values()) and not asked
+
+
+def test_program_beats_best_fit_where_three_fit(monkeypatch):
+    rng = random.Random(2)
+    counts = Counter(rng.randint(260, 520) for _ in range(40_000))
+    fit = sum(packing.best_fit(counts, 1024).values())
+    asked = best_fit_asked(monkeypatch)
+    plan = packing.pack_histogram(counts, 1024)
+    assert covered(plan) == counts and sum(plan.values()) < 0.97 * fit
+    assert asked[0] < 0.5 * sum(counts.values())
+    assert not packing.pack_histogram({}, 1024)
+
+
+def test_program_bound_and_gap():
+    # Pairs that fill a sequence exactly: the program finds them, and its bound is their number.
+    counts = {400: 500, 624: 500, 300: 200, 724: 200}
+    used, bound = packing.solve_program(counts, 1024)
+    assert bound == pytest.approx(700, rel=1e-3)
+    assert sum(used.values()) <= 700 and all(sum(c) == 1024 for c in used)
+    for length, n in counts.items():
+        assert sum(c.count(length) * times for c, times in used.items()) <= n + 1e-6
+
+
+def test_prices_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        lengths = np.sort(rng.choice(np.arange(1, 20), 5, replace=False))
+        price = rng.random(5)
+        best, pick = packing.price_configurations(lengths, price, 30)
+        want = np.zeros(31)
+        for room in range(31):
+            want[room] = max([0.0, *(price[i] + want[room - x] for i, x in enumerate(lengths) if x <= room)])
+        assert np.allclose(best, want)
+        held = packing._contents(pick, lengths, 30)
+        assert lengths[held].sum() <= 30 and price[held].sum() == pytest.approx(want[30])
 
 
 def test_packing_an_empty_table(docs):
