@@ -45,6 +45,8 @@ _QUAD = rf"{_NUM}\s+{_NUM}\s+{_NUM}\s+{_NUM}"
 _LOOSE = r"(?<![eE])\+|(?<!\d)\.|\.(?!\d)"
 # What no coordinate list holds: another character, or a number on its own.
 _SUSPECT = r"[^\d\s.,()eE+-]|[(,]\s*+[-+.\deE]++\s*+[,)]"
+# What makes a text worth these two looks; each alternative starts with a literal, so that one quick scan tells.
+_UNUSUAL = r"[^\d\s.,()-]|\.(?!\d)|\.(?<!\d\.)|[(,]\s*+[-.\d]++\s*+[,)]"
 # Tag and optional dimension; the body is "EMPTY" or a parenthesised list.
 _PREFIX = r"(?i)^\s*([a-z]+)\s*(?:(zm|z|m)(?![a-z])\s*)?"
 _TRAILING_WS = " \t\n\r\f\u000b"
@@ -89,7 +91,8 @@ def _numbers(body: Column) -> Column:
     """``body`` with its numbers as JSON writes them, null if it holds anything but coordinates."""
     plain = F.regexp_replace(body, r"(?<![\w.])\+(?=[\d.])", "")
     plain = F.regexp_replace(F.regexp_replace(plain, r"(?<!\d)\.(?=\d)", "0."), r"(?<=\d)\.(?!\d)", ".0")
-    return F.when(~body.rlike(_SUSPECT), F.when(body.rlike(_LOOSE), plain).otherwise(body))
+    return F.when(~body.rlike(_UNUSUAL), body).when(
+        ~body.rlike(_SUSPECT), F.when(body.rlike(_LOOSE), plain).otherwise(body))
 
 
 def _wrap(value: Column) -> Column:

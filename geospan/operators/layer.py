@@ -115,9 +115,8 @@ def layer_geometry(wkt: Column, mapped_type: str, target: int, srid: Column | in
 
 def in_domain(geom: Column) -> Column:
     """Whether degrees are degrees: longitudes within 180, latitudes within 90; other CRSs have no such limit."""
-    b = G.bounds(geom)
-    return ((geom["srid"] != C.WGS84) | ((b["minx"] >= -180) & (b["maxx"] <= 180) & (b["miny"] >= -90)
-                                         & (b["maxy"] <= 90)))
+    return (geom["srid"] != C.WGS84) | F.forall(
+        G.all_points(geom), lambda p: (F.abs(p[0]) <= 180) & (F.abs(p[1]) <= 90))
 
 
 def layer_from_decoded(decoded: Column, mapped_type: str, target: int) -> Column:
@@ -127,8 +126,8 @@ def layer_from_decoded(decoded: Column, mapped_type: str, target: int) -> Column
             reason = (F.when(d["reason"].isNotNull(), d["reason"]).when(moved.isNull(), F.lit("unsupported_crs"))
                       .when(C.moves(d["geometry"], target) & ~(in_domain(d["geometry"]) & G.all_finite(moved)),
                             F.lit("outside_crs")))
-            return F.struct(F.when(reason.isNull(), transform_geometry(moved, mapped_type)).alias("geometry"),
-                            reason.alias("reason"))
+            return let(reason, lambda r: F.struct(F.when(r.isNull(), transform_geometry(moved, mapped_type)).alias("geometry"),
+                                                  r.alias("reason")))
         return let(C.to_srid(d["geometry"], target), with_moved)
     return let(decoded, with_decoded)
 
