@@ -9,7 +9,7 @@ both, so that moved text does not count as shared.
 
 Exact copies (equal words) are folded into one representative first. In a
 bucket every member meets the least member. Members outside its class then
-become leaders, some at first and eight times as many in each further round,
+become leaders, some at first and many times as many in each further round,
 and meet all members of other classes; classes are merged after each round, so
 that a bucket is left as soon as it is one class, and what the links of a dense
 group would repeat is never formed. A pair of one class needs no link, every
@@ -38,7 +38,7 @@ BITS = 1024
 #: Longest texts, in shingles, whose candidates are found by keys of all but one shingle too.
 SHORT = 9
 #: Rows of a bucket that one task holds against its leaders; growth of the number of leaders by round.
-DEALT, GROWTH = 1024, 8
+DEALT, GROWTH = 1024, 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
