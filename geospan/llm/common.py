@@ -47,12 +47,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's 10,000: rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def map_rows(df: DataFrame, fn: Callable[[list], list], schema: str, rows_per_step: int = 512) -> DataFrame:
     """Applies ``fn`` to short lists of row tuples; ``fn`` returns tuples of ``schema``.
 
     Rows pass through in steps of ``rows_per_step``, so what a task holds does
     not depend on the size of its partition.
     """
+    short_batches(df.sparkSession)
     return df.mapInArrow(_stepper(lambda: fn, _arrow_schema(df, schema), rows_per_step), schema)
 
 
@@ -63,6 +71,7 @@ def map_rows_with(df: DataFrame, make: Callable[[], Callable[[list], list]], sch
     What it returns may have a ``finish``, which gives the task's last rows, or
     a ``drain``, which yields them batch by batch as tuples of columns.
     """
+    short_batches(df.sparkSession)
     return df.mapInArrow(_stepper(make, _arrow_schema(df, schema), rows_per_step), schema)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geospan.llm.boosting import Boosted, calibrated, isotonic
-from geospan.llm.common import as_bytes, map_rows_with, share, stored
+from geospan.llm.common import as_bytes, map_rows_with, share, short_batches, stored
 
 #: Words of the second person in the languages of the tables.
 SECOND_PERSON = frozenset((
@@ -173,6 +173,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     Null text counts as empty and has a score too. Only the text is looked at.
     """
     from pyspark.sql.functions import pandas_udf
+    short_batches(docs.sparkSession)
     shared = share(docs.sparkSession, model)
 
     def run(batches):
