@@ -10,7 +10,10 @@ Topology (polygonal types only), by the simple-features rules:
 * rings of one polygon, and polygons of one multipolygon, may touch at
   points but may not cross or share an edge;
 * every hole lies inside its shell, holes do not nest, and no polygon of a
-  multipolygon lies inside another (outside that one's holes).
+  multipolygon lies inside another (outside that one's holes);
+* the interior of a polygon is connected: rings and the points at which they
+  touch, taken as a graph, have no cycle (a hole that touches the shell at two
+  points, or a ring of holes that touch each other, cuts the interior).
 
 The per-row check here compares all edge pairs, with a bounding-box test
 first; a single convex ring (the common case) skips the pair test. The
@@ -27,6 +30,8 @@ from pyspark.sql import types as T
 from geospan.functions.geometry import POLYGONAL, all_finite, bind_geometry, let, seq
 
 _INF = float("inf")
+_TOUCHES = T.ArrayType(T.StructType([T.StructField("r", T.IntegerType()), T.StructField("x", T.DoubleType()),
+                                     T.StructField("y", T.DoubleType())]))
 
 
 def dedup_ring(ring: Column) -> Column:
@@ -151,6 +156,36 @@ def _strictly_inside(ring, p) -> Column:
     return ~_on_ring(ring, p[0], p[1]) & _inside_ring(ring, p[0], p[1])
 
 
+def _touches(rings: Column) -> Column:
+    """Where rings of one polygon touch: distinct ``struct<r, x, y>``, one for each ring at each point."""
+    def between(a, b):
+        at = F.filter(rings[a], lambda p: _on_ring(rings[b], p[0], p[1]))
+        return F.when(a != b, F.flatten(F.transform(at, lambda p: F.array(*[
+            F.struct(r.cast("int").alias("r"), p[0].alias("x"), p[1].alias("y")) for r in (a, b)]))))
+    last = F.size(rings) - 1
+    found = F.flatten(F.transform(seq(0, last), lambda a: F.flatten(F.transform(
+        seq(0, last), lambda b: F.coalesce(between(a, b), F.array().cast(_TOUCHES))))))
+    return F.array_distinct(found)
+
+
+def _cyclic(touches: Column) -> Column:
+    """Whether the graph of rings and touching points has a cycle: what is left when ends are taken off again and again."""
+    def cut(held, _):
+        return F.filter(held, lambda t: F.exists(held, lambda o: (o["r"] == t["r"]) & ((o["x"] != t["x"]) | (o["y"] != t["y"])))
+                        & F.exists(held, lambda o: (o["r"] != t["r"]) & (o["x"] == t["x"]) & (o["y"] == t["y"])))
+    return F.size(F.aggregate(seq(1, F.size(touches)), touches, cut)) > 0
+
+
+def interior_cut(geom: Column) -> Column:
+    """Whether touching rings cut the interior of a polygon of ``geom`` in two.
+
+    A rule of its own, applied to a decoded column: as a part of the expressions
+    below, Spark's analysis of their nested functions would take minutes.
+    """
+    return geom["gtype"].isin(*POLYGONAL) & F.exists(
+        geom["parts"], lambda rings: (F.size(rings) > 1) & let(_touches(rings), _cyclic))
+
+
 def _convex_simple(ring: Column) -> Column:
     """A ring that is convex and simple: every turn has the same strict sign
     and the edge directions go round once (the x and y components of the
@@ -251,5 +286,5 @@ def topology_valid_inrow(geom: Column) -> Column:
 
 @bind_geometry
 def is_valid(geom: Column) -> Column:
-    """Structure and topology; null geometry is not valid."""
+    """Structure and topology but for :func:`interior_cut`; null geometry is not valid."""
     return F.coalesce(structurally_valid(geom) & topology_valid_inrow(geom), F.lit(False))

@@ -74,9 +74,14 @@ def _decode_named(wkt_col: str, srid: int | str, topology: bool = True) -> Colum
     return decode_geometry(F.col(f"`{wkt_col}`"), _srid_col(srid), topology)
 
 
-@cached_expr
-def _layer_named(wkt_col: str, mapped_type: str, target: int, srid: int | str) -> Column:
-    return layer_from_decoded(_decode_named(wkt_col, srid, True), mapped_type, target)
+def _decoded_rows(df: DataFrame, decoded: Column, keep: list[Column]) -> DataFrame:
+    """``keep`` and ``_decoded``, in which polygons whose touching rings cut their interior are invalid too."""
+    staged = df.select(*keep, decoded.alias("_decoded"))
+    cols = [F.col(f"`{c}`") for c in staged.columns if c != "_decoded"]
+    d = F.col("_decoded")
+    cut = d["reason"].isNull() & F.coalesce(V.interior_cut(d["geometry"]), F.lit(False))
+    return staged.select(*cols, F.struct(F.when(~cut, d["geometry"]).alias("geometry"), F.when(cut, F.lit("invalid"))
+                                         .otherwise(d["reason"]).alias("reason")).alias("_decoded"))
 
 
 def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
@@ -87,7 +92,11 @@ def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
     ``topology=False`` leaves the edge/nesting rules to the shuffle-based
     check of :mod:`geospan.operators.validity` (for very large geometries).
     """
-    return _expand(df, _decode_named(wkt_col, srid, topology), wkt_col if drop_wkt else None)
+    drop = wkt_col if drop_wkt else None
+    if not topology:
+        return _expand(df, _decode_named(wkt_col, srid, False), drop)
+    keep = [F.col(f"`{c}`") for c in df.columns if c != drop and c not in ("geometry", "reject_reason")]
+    return _expand(_decoded_rows(df, _decode_named(wkt_col, srid, True), keep), F.col("_decoded"), "_decoded")
 
 
 def _expand(df: DataFrame, decoded: Column, drop: str | None) -> DataFrame:
@@ -132,6 +141,12 @@ def layer_from_decoded(decoded: Column, mapped_type: str, target: int) -> Column
     return let(decoded, with_decoded)
 
 
+def _layer_of(df: DataFrame, wkt_col: str, mapped_type: str, target: int, srid: int | str) -> DataFrame:
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in (wkt_col, "geometry", "reject_reason")]
+    decoded = _decoded_rows(df, _decode_named(wkt_col, srid, True), keep)
+    return _expand(decoded, layer_from_decoded(F.col("_decoded"), mapped_type, target), "_decoded")
+
+
 def to_layer(df: DataFrame, wkt_col: str, geometry_type: str = "footprint", crs: str = "wgs84",
              srid: int | str = C.WGS84, big_geometry_vertices: int | None = None) -> DataFrame:
     """The occurrence layer: attributes + ``geometry`` in the target CRS + ``reject_reason``.
@@ -145,14 +160,14 @@ def to_layer(df: DataFrame, wkt_col: str, geometry_type: str = "footprint", crs:
     """
     mapped_type, target = check_params(geometry_type, crs)
     if big_geometry_vertices is None:
-        return _expand(df, _layer_named(wkt_col, mapped_type, target, srid), wkt_col)
+        return _layer_of(df, wkt_col, mapped_type, target, srid)
     from geospan.operators.validity import invalid_geometries
 
     wkt = F.col(f"`{wkt_col}`")
     vertices = F.length(wkt) - F.length(F.regexp_replace(wkt, ",", "")) + 1
     small = df.filter(F.coalesce(vertices, F.lit(0)) <= big_geometry_vertices)
     big = df.filter(vertices > big_geometry_vertices)
-    out_small = _expand(small, _layer_named(wkt_col, mapped_type, target, srid), wkt_col)
+    out_small = _layer_of(small, wkt_col, mapped_type, target, srid)
     decoded = (big.select("*", _decode_named(wkt_col, srid, False).alias("_d"))
                .withColumn("_gid", F.monotonically_increasing_id()))
     checkpoint_dir(df.sparkSession)

@@ -12,7 +12,9 @@ that is quadratic work in one row, so this operator spreads it out:
    as the per-row check are applied;
 4. the vertices of geometries with several rings are tested against the other
    rings by a ray cast joined on ``(gid, y-band)``, with the per-row rules:
-   holes lie in their shell and not in each other, polygons not in each other.
+   holes lie in their shell and not in each other, polygons not in each other;
+5. vertices that lie on another ring of their polygon make a graph of rings and
+   touching points, whose cycles cut the interior.
 
 The result is the set of invalid geometry ids, which is small next to the
 input; the caller anti-joins it (AQE turns that into a broadcast join when
@@ -21,6 +23,7 @@ the runtime size allows, and keeps a shuffle join otherwise).
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +80,8 @@ def invalid_by_edges(edges: DataFrame) -> DataFrame:
     return pairs.filter(boxes_meet(sa, sb) & edge_conflict(sa, sb)).select(F.col("a.gid").alias("gid")).distinct()
 
 
-def invalid_nesting(edges: DataFrame) -> DataFrame:
-    """Geometry ids whose rings lie in each other in a way the per-row rules forbid.
-
-    Every vertex is tested against the edges of the other rings that share its
-    y-band, so a ring that passes through a touching point is seen as well.
-    """
+def _by_band(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and vertices of geometries with several rings, with the bands of y that they reach: ``lines, probes``."""
     rings = edges.groupBy("gid", "j", "r").agg(F.min("y1").alias("lo"), F.max("y1").alias("hi"), F.count(F.lit(1)).alias("n"),
                                                F.sum(F.abs(F.col("y2") - F.col("y1"))).alias("travel"))
     stats = rings.groupBy("gid").agg(F.min("lo").alias("y0"), F.max("hi").alias("top"), F.sum("n").alias("n"),
@@ -98,13 +97,27 @@ def invalid_nesting(edges: DataFrame) -> DataFrame:
     lines = cut.select("gid", F.col("j").alias("tj"), F.col("r").alias("tr"), "x1", "y1", "x2", "y2",
                        F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))).alias("band"))
     probes = cut.select("gid", "j", "r", "i", F.col("x1").alias("px"), F.col("y1").alias("py"), band(F.col("y1")).alias("band"))
+    return lines, probes
+
+
+def _on_line():
+    edge = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+    return (orient(*edge.values(), F.col("px"), F.col("py")) == 0) & within(edge, F.col("px"), F.col("py"))
+
+
+def invalid_nesting(edges: DataFrame) -> DataFrame:
+    """Geometry ids whose rings lie in each other in a way the per-row rules forbid.
+
+    Every vertex is tested against the edges of the other rings that share its
+    y-band, so a ring that passes through a touching point is seen as well.
+    """
+    lines, probes = _by_band(edges)
     # A hole is asked about the rings of its own polygon, a shell about all other polygons.
     asked = F.when(F.col("r") > 0, (F.col("tj") == F.col("j")) & (F.col("tr") != F.col("r"))).otherwise(F.col("tj") != F.col("j"))
     spans = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
     crosses = F.when(spans, F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1"))
                      / (F.col("y2") - F.col("y1")) + F.col("x1")).otherwise(False)
-    edge = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
-    on = ((orient(*edge.values(), F.col("px"), F.col("py")) == 0) & within(edge, F.col("px"), F.col("py")))
+    on = _on_line()
     met = (probes.join(lines, ["gid", "band"]).filter(asked).select("gid", "j", "r", "i", "tj", "tr", crosses.alias("crosses"),
                                                                     on.alias("on"))
            .filter("crosses or on").groupBy("gid", "j", "r", "i", "tj", "tr")
@@ -119,7 +132,37 @@ def invalid_nesting(edges: DataFrame) -> DataFrame:
     return nested.union(out_of_shell).distinct()
 
 
+def _has_cycle(table: pa.Table) -> pa.Table:
+    """Union-find over the rings and touching points of one polygon."""
+    root: dict = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+    cyclic = False
+    for r, x, y in set(zip(*(table[c].to_pylist() for c in ("r", "x", "y")))):
+        ring, point = find(r), find((x, y))
+        cyclic |= ring == point
+        root[ring] = point
+    return pa.table({"gid": table["gid"][:1], "cyclic": [cyclic]})
+
+
+def invalid_interior(edges: DataFrame) -> DataFrame:
+    """Geometry ids of which touching rings cut a polygon's interior in two.
+
+    Vertices that lie on another ring of their polygon come from the join on
+    y-bands; only these touches, few in sane data, are gathered by polygon.
+    """
+    lines, probes = _by_band(edges)
+    met = probes.join(lines, ["gid", "band"]).filter((F.col("tj") == F.col("j")) & (F.col("tr") != F.col("r")) & _on_line())
+    ends = met.select("gid", "j", F.explode(F.array("r", "tr")).alias("r"), F.col("px").alias("x"), F.col("py").alias("y")).distinct()
+    kind = edges.schema["gid"].dataType.simpleString()
+    return (ends.groupBy("gid", "j").applyInArrow(_has_cycle, f"gid {kind}, cyclic boolean").filter("cyclic").select("gid").distinct())
+
+
 def invalid_geometries(df: DataFrame, gid: str = "_gid", geom: str = "geometry") -> DataFrame:
-    """G04 (edges + nesting of rings) over a whole table: the ids of invalid polygonal rows."""
+    """G04 (edges, nesting of rings, connected interior) over a whole table: the ids of invalid polygonal rows."""
     edges = edges_of(df, gid, geom)
-    return invalid_by_edges(edges).union(invalid_nesting(edges)).distinct()
+    return invalid_by_edges(edges).union(invalid_nesting(edges)).union(invalid_interior(edges)).distinct()

@@ -291,6 +291,25 @@ group by 1
 """
 
 
+# ------------------------------------------------------------ G04: touching rings, by row and by join
+
+def touching_rings(spark: SparkSession, sf: str) -> DataFrame:
+    """Validity of polygons whose rings touch: each row's own check and the distributed one."""
+    checkpoint_dir(spark)
+    occ = view(spark, sf, "occ_touching")
+    rows = with_geometry(occ, "wkt", drop_wkt=False).select("kind", "wkt", F.col("reject_reason").alias("by_row"))
+    shapes = with_geometry(occ.select("wkt").distinct(), "wkt", drop_wkt=False, topology=False).select("wkt", "geometry")
+    bad = invalid_geometries(shapes.checkpoint(), "wkt").select(F.col("gid").alias("wkt"), F.lit("invalid").alias("by_join"))
+    return rows.join(bad, "wkt", "left").groupBy("kind", "by_row", "by_join").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+TOUCHING_RINGS = f"""
+select kind, case when kind in (3, 5, 6) then 'invalid' end as by_row, case when kind in (3, 5, 6) then 'invalid' end as by_join,
+  count(*) as n_rows
+from {view_sql('occ_touching')} v group by 1
+"""
+
+
 # ------------------------------------------------------------ S08 / S09 / S10 / S01 / S03 / K01: ZIP exports -> layers
 
 def zip_layers(spark: SparkSession, sf: str) -> DataFrame:
@@ -471,6 +490,7 @@ CATALOG = {
     "poly_centroid_tm35fin": (poly_centroid_tm35fin, _poly_centroid_tm35fin_sql()),
     "bowtie_validity": (bowtie_validity, BOWTIE_VALIDITY),
     "bowtie_validity_join": (bowtie_validity_join, BOWTIE_VALIDITY_JOIN),
+    "touching_rings": (touching_rings, TOUCHING_RINGS),
     "collections_normalize": (collections_normalize, COLLECTIONS_NORMALIZE),
     "rejected_rollup": (rejected_rollup, REJECTED_ROLLUP),
     "tsv_typed": (tsv_typed, TSV_TYPED),

@@ -112,6 +112,25 @@ select l_orderkey, l_linenumber,
 from {lineitem}
 """
 
+# lineitem -> squares with diamond holes: apart, touching the shell once or twice, touching each other, in a closed ring.
+OCC_TOUCHING = """
+select l_orderkey, l_linenumber, l_partkey % 7 as kind, concat('POLYGON ((', a, ' ', b, ', ', a + 12, ' ', b, ', ', a + 12, ' ', b + 12, ', ',
+    a, ' ', b + 12, ', ', a, ' ', b, ')', case l_partkey % 7
+  when 0 then ''
+  when 1 then concat(', (', a + 2, ' ', b + 4, ', ', a + 4, ' ', b + 2, ', ', a + 6, ' ', b + 4, ', ', a + 4, ' ', b + 6, ', ', a + 2, ' ', b + 4, ')')
+  when 2 then concat(', (', a, ' ', b + 4, ', ', a + 4, ' ', b + 2, ', ', a + 6, ' ', b + 4, ', ', a + 4, ' ', b + 6, ', ', a, ' ', b + 4, ')')
+  when 3 then concat(', (', a, ' ', b + 4, ', ', a + 6, ' ', b + 2, ', ', a + 12, ' ', b + 4, ', ', a + 6, ' ', b + 6, ', ', a, ' ', b + 4, ')')
+  when 4 then concat(', (', a + 2, ' ', b + 4, ', ', a + 4, ' ', b + 2, ', ', a + 6, ' ', b + 4, ', ', a + 4, ' ', b + 6, ', ', a + 2, ' ', b + 4, ')',
+                     ', (', a + 6, ' ', b + 4, ', ', a + 8, ' ', b + 2, ', ', a + 10, ' ', b + 4, ', ', a + 8, ' ', b + 6, ', ', a + 6, ' ', b + 4, ')')
+  when 5 then concat(', (', a, ' ', b + 4, ', ', a + 4, ' ', b + 2, ', ', a + 6, ' ', b + 4, ', ', a + 4, ' ', b + 6, ', ', a, ' ', b + 4, ')',
+                     ', (', a + 6, ' ', b + 4, ', ', a + 8, ' ', b + 2, ', ', a + 12, ' ', b + 4, ', ', a + 8, ' ', b + 6, ', ', a + 6, ' ', b + 4, ')')
+  else concat(', (', a + 2, ' ', b + 2, ', ', a + 6, ' ', b + 1, ', ', a + 10, ' ', b + 2, ', ', a + 6, ' ', b + 3, ', ', a + 2, ' ', b + 2, ')',
+              ', (', a + 10, ' ', b + 2, ', ', a + 11, ' ', b + 5, ', ', a + 6, ' ', b + 10, ', ', a + 9, ' ', b + 5, ', ', a + 10, ' ', b + 2, ')',
+              ', (', a + 6, ' ', b + 10, ', ', a + 1, ' ', b + 5, ', ', a + 2, ' ', b + 2, ', ', a + 3, ' ', b + 5, ', ', a + 6, ' ', b + 10, ')')
+  end, ')') as wkt
+from (select l_orderkey, l_linenumber, l_partkey, l_suppkey % 40 as a, l_orderkey % 50 as b from {lineitem}) s
+"""
+
 # orders -> archive members: archive = customer, ord = order key.
 MEMBERS = """
 select o_custkey as archive, o_orderkey as ord,
@@ -159,6 +178,7 @@ VIEWS = {
     "occ_bowtie": OCC_BOWTIE,
     "occ_collections": OCC_COLLECTIONS,
     "tsv_lines": TSV_LINES,
+    "occ_touching": OCC_TOUCHING,
     "members": MEMBERS,
     "conv_log": CONV_LOG,
     "layer_a": LAYER_A,
