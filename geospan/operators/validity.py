@@ -56,20 +56,25 @@ def _with_grid(edges: DataFrame) -> DataFrame:
     return edges.join(stats.withColumn("cell", cell), "gid")
 
 
-def invalid_by_edges(edges: DataFrame) -> DataFrame:
-    """Geometry ids with a forbidden edge contact (crossing, touching, overlap)."""
+def grid_cells(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the edges with ``cell_id``, one row for each grid cell of its geometry that an edge's box covers."""
     g = _with_grid(edges)
 
     def cell_of(v, v0):
         return F.floor((v - F.col(v0)) / F.col("cell")).cast("long")
 
-    cells = g.select(
-        "gid", "j", "r", "i", "m", "x1", "y1", "x2", "y2",
+    return g.select(
+        *columns,
         F.explode(F.flatten(F.transform(
             F.sequence(cell_of(F.least("x1", "x2"), "gx0"), cell_of(F.greatest("x1", "x2"), "gx0")),
             lambda cx: F.transform(
                 F.sequence(cell_of(F.least("y1", "y2"), "gy0"), cell_of(F.greatest("y1", "y2"), "gy0")),
                 lambda cy: cx * 4294967296 + cy)))).alias("cell_id"))
+
+
+def invalid_by_edges(edges: DataFrame) -> DataFrame:
+    """Geometry ids with a forbidden edge contact (crossing, touching, overlap)."""
+    cells = grid_cells(edges, ["gid", "j", "r", "i", "m", "x1", "y1", "x2", "y2"])
     a = cells.alias("a")
     b = cells.alias("b")
     key_a = F.struct(F.col("a.j"), F.col("a.r"), F.col("a.i"))

@@ -21,6 +21,7 @@ from geospan.functions.wkt import to_wkt
 from geospan.operators import archives as A
 from geospan.operators import convlog as L
 from geospan.operators.layer import good_rows, reject_rollup, to_layer, with_geometry
+from geospan.operators.overlay import dissolve_mixed
 from geospan.operators.union import to_table
 from geospan.operators.validity import invalid_geometries
 from geospan.session import checkpoint_dir
@@ -310,6 +311,28 @@ from {view_sql('occ_touching')} v group by 1
 """
 
 
+# ------------------------------------------------------------ G09: mixed collections whose members meet
+
+def mixed_dissolve(spark: SparkSession, sf: str) -> DataFrame:
+    """Mixed collections dissolved by the edge arrangement: parts, holes and area of the union."""
+    checkpoint_dir(spark)
+    rows = with_geometry(view(spark, sf, "occ_mixed"), "wkt", drop_wkt=False).withColumn("_gid", F.monotonically_increasing_id())
+    done = dissolve_mixed(rows.checkpoint(), "wkt", "_gid")
+    parts = F.col("geometry.parts")
+    holes = F.aggregate(parts, F.lit(0), lambda n, part: n + F.size(part) - 1)
+    return done.groupBy("kind", F.col("geometry.gtype").alias("gtype"), F.size(parts).alias("n_parts"), holes.alias("n_holes"),
+                        F.round(G.area(F.col("geometry")), 6).alias("area"), "reject_reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+MIXED_DISSOLVE = f"""
+select kind, 'MULTIPOLYGON' as gtype, case kind when 3 then 1 when 6 then 3 else 2 end as n_parts,
+  case kind when 5 then 1 else 0 end as n_holes,
+  case kind when 0 then 17e0 when 1 then 25e0 when 2 then 29e0 when 3 then 16e0 when 4 then 17e0 when 5 then 15e0 else 18e0 end as area,
+  cast(null as varchar) as reject_reason, count(*) as n_rows
+from {view_sql('occ_mixed')} v group by kind
+"""
+
+
 # ------------------------------------------------------------ S08 / S09 / S10 / S01 / S03 / K01: ZIP exports -> layers
 
 def zip_layers(spark: SparkSession, sf: str) -> DataFrame:
@@ -490,6 +513,7 @@ CATALOG = {
     "poly_centroid_tm35fin": (poly_centroid_tm35fin, _poly_centroid_tm35fin_sql()),
     "bowtie_validity": (bowtie_validity, BOWTIE_VALIDITY),
     "bowtie_validity_join": (bowtie_validity_join, BOWTIE_VALIDITY_JOIN),
+    "mixed_dissolve": (mixed_dissolve, MIXED_DISSOLVE),
     "touching_rings": (touching_rings, TOUCHING_RINGS),
     "collections_normalize": (collections_normalize, COLLECTIONS_NORMALIZE),
     "rejected_rollup": (rejected_rollup, REJECTED_ROLLUP),

@@ -131,6 +131,24 @@ select l_orderkey, l_linenumber, l_partkey % 7 as kind, concat('POLYGON ((', a,
 from (select l_orderkey, l_linenumber, l_partkey, l_suppkey % 40 as a, l_orderkey % 50 as b from {lineitem}) s
 """
 
+# lineitem -> mixed collections of members that are contained, share an edge, overlap, fill a hole (in part), touch.
+_SQUARE = "concat('(', {x0}, ' ', {y0}, ', ', {x1}, ' ', {y0}, ', ', {x1}, ' ', {y1}, ', ', {x0}, ' ', {y1}, ', ', {x0}, ' ', {y0}, ')')"
+
+
+def _square(x0: int, y0: int, x1: int, y1: int) -> str:
+    return _SQUARE.format(x0=f"a + {x0}", y0=f"b + {y0}", x1=f"a + {x1}", y1=f"b + {y1}")
+
+
+OCC_MIXED = f"""
+select l_orderkey, l_linenumber, kind, concat('GEOMETRYCOLLECTION (POLYGON (', {_square(0, 0, 4, 4)},
+    case kind when 4 then concat(', ', {_square(1, 1, 2, 2)}) when 5 then concat(', ', {_square(1, 1, 3, 3)}) else '' end, '), ',
+    case kind when 3 then concat('POINT (', a + 2, ' ', b + 2, ')') else concat('MULTIPOLYGON ((', case kind
+      when 0 then {_square(1, 1, 2, 2)} when 1 then {_square(4, 0, 6, 4)} when 2 then {_square(2, 2, 6, 6)}
+      when 4 then {_square(1, 1, 2, 2)} when 5 then {_square(1, 1, 2, 3)} else {_square(4, 4, 5, 5)} end,
+      '), (', {_square(20, 20, 21, 21)}, '))') end, ')') as wkt
+from (select l_orderkey, l_linenumber, l_partkey % 7 as kind, l_suppkey % 40 as a, l_orderkey % 50 as b from {{lineitem}}) s
+"""
+
 # orders -> archive members: archive = customer, ord = order key.
 MEMBERS = """
 select o_custkey as archive, o_orderkey as ord,
@@ -179,6 +197,7 @@ VIEWS = {
     "occ_collections": OCC_COLLECTIONS,
     "tsv_lines": TSV_LINES,
     "occ_touching": OCC_TOUCHING,
+    "occ_mixed": OCC_MIXED,
     "members": MEMBERS,
     "conv_log": CONV_LOG,
     "layer_a": LAYER_A,
