@@ -311,6 +311,32 @@ from {view_sql('occ_touching')} v group by 1
 """
 
 
+# ------------------------------------------------------------ G01 / G03 / G10 / G18: holes, multis, lines, spellings
+
+def shape_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Type, centroid and bounds of polygons with holes, multis, lines and odd spellings; the reason of unclosed or trailing text."""
+    d = with_geometry(view(spark, sf, "occ_shapes"), "wkt")
+    g = F.col("geometry")
+    c, b = G.centroid(g), G.bounds(g)
+    return d.select("l_orderkey", "l_linenumber", g["gtype"].alias("gtype"), F.round(G.x_of(c), 6).alias("cx"),
+                    F.round(G.y_of(c), 6).alias("cy"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy"), "reject_reason")
+
+
+SHAPE_MEASURES = f"""
+select l_orderkey, l_linenumber,
+  case kind when 0 then 'POLYGON' when 1 then 'MULTIPOLYGON' when 2 then 'LINESTRING' when 3 then 'MULTILINESTRING'
+    when 4 then 'MULTIPOINT' when 5 then 'POINT' end as gtype,
+  round(a + case kind when 0 then (80 * 4 - 2 * 2 - 10 * 6) / 68e0 when 1 then (80 * 4 - 2 * 2 + 4 * 11) / 82e0
+    when 2 then (8 * 4 + h * 8) / (8e0 + h) when 3 then (2 * 1 + 6 * 3) / 8e0 when 4 then 1e0 when 5 then 0.5e0 end, 6) as cx,
+  round(b + case kind when 0 then (80 * 5 - 2 * 1.5e0 - 10 * 6.5e0) / 68e0 when 1 then (80 * 5 - 2 * 1.5e0 + 4 * 1) / 82e0
+    when 2 then h * h / 2e0 / (8e0 + h) when 3 then 6 * h / 8e0 when 4 then h / 3e0 when 5 then 0e0 end, 6) as cy,
+  cast(a + case kind when 0 then 8 when 1 then 12 when 2 then 8 when 3 then 6 when 4 then 3 when 5 then 0.5e0 end as double) as maxx,
+  cast(b + case kind when 0 then 10 when 1 then 10 when 2 then h when 3 then h when 4 then h when 5 then 0 end as double) as maxy,
+  case when kind >= 6 then 'unparsable' end as reject_reason
+from {view_sql('occ_shapes')} v
+"""
+
+
 # ------------------------------------------------------------ G09: mixed collections whose members meet
 
 def mixed_dissolve(spark: SparkSession, sf: str) -> DataFrame:
@@ -513,6 +539,7 @@ CATALOG = {
     "poly_centroid_tm35fin": (poly_centroid_tm35fin, _poly_centroid_tm35fin_sql()),
     "bowtie_validity": (bowtie_validity, BOWTIE_VALIDITY),
     "bowtie_validity_join": (bowtie_validity_join, BOWTIE_VALIDITY_JOIN),
+    "shape_measures": (shape_measures, SHAPE_MEASURES),
     "mixed_dissolve": (mixed_dissolve, MIXED_DISSOLVE),
     "touching_rings": (touching_rings, TOUCHING_RINGS),
     "collections_normalize": (collections_normalize, COLLECTIONS_NORMALIZE),

@@ -149,6 +149,21 @@ select l_orderkey, l_linenumber, kind, concat('GEOMETRYCOLLECTION (POLYGON (', {
 from (select l_orderkey, l_linenumber, l_partkey % 7 as kind, l_suppkey % 40 as a, l_orderkey % 50 as b from {{lineitem}}) s
 """
 
+# lineitem -> holes, multis, lines, and spellings of numbers that WKT allows or not.
+OCC_SHAPES = f"""
+select l_orderkey, l_linenumber, kind, a, b, h, case kind
+  when 0 then concat('POLYGON (', {_square(0, 0, 8, 10)}, ', ', {_square(1, 1, 3, 2)}, ', ', {_square(5, 4, 7, 9)}, ')')
+  when 1 then concat('MULTIPOLYGON ((', {_square(0, 0, 8, 10)}, ', ', {_square(1, 1, 3, 2)}, '), (', {_square(10, 0, 12, 2)}, '))')
+  when 2 then concat('LINESTRING (', a, ' ', b, ', ', a + 8, ' ', b, ', ', a + 8, ' ', b + h, ')')
+  when 3 then concat('MultiLineString((', a, ' ', b, ', ', a + 2, ' ', b, '), (', a, ' ', b + h, ', ', a + 6, ' ', b + h, '))')
+  when 4 then concat('MULTIPOINT (', a, ' ', b, ', (', a + 3, ' ', b, '), ', a, ' ', b + h, ')')
+  when 5 then concat('point z ( +', a, '.5 ', b, '. -7e0 )')
+  when 6 then concat('POINT (', a, ' ', b, ') or so')
+  else concat('POLYGON ((', a, ' ', b, ', ', a + 8, ' ', b, ', ', a + 8, ' ', b + 8, ', ', a, ' ', b + 8, '))') end as wkt
+from (select l_orderkey, l_linenumber, l_partkey % 8 as kind, l_suppkey % 40 as a, l_orderkey % 50 as b, l_linenumber as h
+  from {{lineitem}}) s
+"""
+
 # orders -> archive members: archive = customer, ord = order key.
 MEMBERS = """
 select o_custkey as archive, o_orderkey as ord,
@@ -198,6 +213,7 @@ VIEWS = {
     "tsv_lines": TSV_LINES,
     "occ_touching": OCC_TOUCHING,
     "occ_mixed": OCC_MIXED,
+    "occ_shapes": OCC_SHAPES,
     "members": MEMBERS,
     "conv_log": CONV_LOG,
     "layer_a": LAYER_A,
