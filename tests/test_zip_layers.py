@@ -45,14 +45,14 @@ def name_of(path):
 @pytest.fixture
 def small_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     yield
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_chunks_are_the_file(spark, tmp_path, small_splits):
     rng = random.Random(1)
-    files = {"a.zip": rng.randbytes(150_000), "b.zip": b"\n\n", "c.zip": b"x", "d.zip": b"ends\n", "e.zip": b"\r\n\xff" * 9000,
+    files = {"a.zip": rng.randbytes(150_000), "b.zip": b"\n\n", "c.zip": b"x", "d.zip": b"ends\n", "e.zip": b"\r\n\xff" * 900,
              "f.zip": b"no line end " * 5000}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
@@ -67,7 +67,7 @@ def test_chunks_are_the_file(spark, tmp_path, small_splits):
 
 def test_members_and_lines(spark, tmp_path, small_splits):
     rng = random.Random(2)
-    long = [f"{i}\t{rng.random()}\t{'é' * (i % 7)}" for i in range(30_000)]
+    long = [f"{i}\t{rng.random()}\t{'é' * (i % 7)}" for i in range(6_000)]
     body = "\n".join(long).encode()
     descriptor = Unseekable()
     with zipfile.ZipFile(descriptor, "w", zipfile.ZIP_DEFLATED) as z:
@@ -122,16 +122,19 @@ def test_archives_to_layers(spark, tmp_path, lang):
              "rows.zip": [("d/rows_7.tsv", "Unit\tGathering.Conversions.WGS84_WKT\tGathering.Conversions.WGS84.LatMin(N)\nu1\tPOINT (25 62)\t62\n")],
              "nothing.zip": [("occurrences.txt", export([("o", "x", "")]))],
              "other.zip": [("data.csv", "a,b")]}
+    if lang != "tech":  # the other two differ in the header line only
+        files = {name: files[name] for name in ("plain.zip", "turned.zip", "latin.zip")}
     for name, members in files.items():
         (tmp_path / name).write_bytes(packed(members))
     (tmp_path / "torn.zip").write_bytes(packed(files["plain.zip"])[:200])
     out = tmp_path / "out"
     got = {name_of(r.archive): (r.payload_kind, r.rows, r.good, r.error)
            for r in convert_archives(spark, str(tmp_path), str(out), lang, "bbox", "wgs84").collect()}
-    assert got == {
+    want = {
         "plain.zip": ("occurrences", 3, 2, None), "turned.zip": ("occurrences", 2, 2, None), "latin.zip": ("occurrences", 1, 1, None),
         "rows.zip": ("rows", 1, 1, None), "nothing.zip": ("occurrences", 1, 0, NO_GEOMETRY_MESSAGE),
         "other.zip": ("rejected", 0, 0, NO_PAYLOAD_MESSAGE), "torn.zip": ("rejected", 0, 0, "not a ZIP archive")}
+    assert got == {name: row for name, row in want.items() if name in files or name == "torn.zip"}
     column = HEADERS[["tech", "fi", "en"].index(lang)].split("\t")
     seen = []
     for layer in sorted(out.glob("layer=*")):
