@@ -65,8 +65,8 @@ def _stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _join_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of a split -> chunks; ``seq`` counts them within the split."""
+def _join_records(batches: Iterator[pa.RecordBatch], sep: bytes) -> Iterator[pa.RecordBatch]:
+    """Records of a split -> chunks that end with ``sep``; ``seq`` counts them within the split."""
     key, seq, held, size = None, 0, [], 0
 
     def chunk():
@@ -88,7 +88,7 @@ def _join_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 key = now
             value = run.column("value")
             whole = pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
-            held += [pc.binary_join(whole, pa.scalar(b"\n", value.type))[0].as_py(), b"\n"]
+            held += [pc.binary_join(whole, pa.scalar(sep, value.type))[0].as_py(), sep]
             size += len(held[-2]) + 1
     if held:
         yield chunk()
@@ -99,13 +99,17 @@ def _path(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:/+", "file:/")
 
 
-def file_chunks(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
-    """Whole files as chunks ``archive, file_size, at, data``; ``at`` is the offset of ``data``'s first byte."""
-    records = (spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+def file_chunks(spark: SparkSession, path: str, glob: str = "*.zip", sep: str = "\n") -> DataFrame:
+    """Whole files as chunks ``archive, file_size, at, data``; ``at`` is the offset of ``data``'s first byte.
+
+    A chunk ends just after a ``sep`` (one ASCII character), or with its file.
+    """
+    end = sep.encode("ascii")
+    records = (spark.read.option("lineSep", sep).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
                .text(path).select(F.col("value").cast("binary").alias("value"), _path(F.col("_metadata.file_path")).alias("archive"),
                                   F.col("_metadata.file_size").alias("file_size"),
                                   F.col("_metadata.file_block_start").alias("block")))
-    chunks = _stored(records.mapInArrow(_join_records, _CHUNKS_SCHEMA))
+    chunks = _stored(records.mapInArrow(lambda batches: _join_records(batches, end), _CHUNKS_SCHEMA))
     place = ["archive", "block", "seq"]
     before = Window.partitionBy("archive").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.select(*place, F.length("data").alias("n")).select(

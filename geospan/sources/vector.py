@@ -1,30 +1,22 @@
-"""Vector layer files as tables.
+"""Vector layer files as tables (S11-S13, S15): each reader gives attributes, ``wkt`` and ``srid``.
 
-GeoJSON is read with Spark's JSON source (``multiLine``) and the feature
-array is exploded; KML and GML with Spark's XML source (``rowTag``). The
-geometry becomes WKT text plus an SRID column, ready for
-:func:`geospan.operators.union.to_table`. Schemas are given, never inferred
-for the geometry part (coordinates are kept as their JSON text); attribute
-properties keep their inferred types.
+The geometry is WKT text with its own SRID, ready for
+:func:`geospan.operators.union.to_table`.
 """
 
 from __future__ import annotations
 
-import uuid
+import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from geospan.session import checkpoint_dir
+from geospan.sources.geojson import geojson_wkt, read_geojson, srid_from_name
+from geospan.sources.markup import read_gml, read_kml
 
-_GEOJSON_GEOMETRY = "struct<type:string,coordinates:string>"
+__all__ = ["file_encoding", "geojson_wkt", "read_geojson", "read_gml", "read_kml", "read_layers", "read_vector", "srid_from_name"]
 
-
-def _pairs(c: Column) -> Column:
-    """'[[1,2],[3,4]]' -> '(1 2, 3 4)' for coordinate JSON of any depth."""
-    t = F.regexp_replace(c, r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)\s*\]", "$1 $2")
-    return F.translate(t, "[]", "()")
+READERS = {"geojson": read_geojson, "json": read_geojson, "kml": read_kml, "gml": read_gml, "parquet": None}
 
 
 def file_encoding(spark: SparkSession, path: str) -> str:
@@ -39,100 +31,36 @@ def file_encoding(spark: SparkSession, path: str) -> str:
     return "ISO-8859-1" if bad else "UTF-8"
 
 
-def readable(spark: SparkSession, path: str) -> tuple[str, str]:
-    """A path and the charset that reads every file under it: UTF-8 where a file is valid UTF-8, else Latin-1.
+def read_vector(spark: SparkSession, sources: list[str | tuple[str, dict]]) -> list[DataFrame]:
+    """S15 + U02: the layers of ``sources``, each a path or ``(path, options)``.
 
-    A folder of one charset is read where it is. Of a mixed one a UTF-8 copy
-    is written to the checkpoint folder, file by file, so that no file's
-    charset depends on its neighbours and all share one inferred schema.
+    The reader goes by the extension, or by the option ``format``; the other
+    options are the reader's. A source that cannot be read, and a damaged file
+    within one, is logged and left out; if none is left that is an error. A
+    source without features adds no rows to a union.
     """
-    files = spark.read.format("binaryFile").load(path).withColumn("ok", F.is_valid_utf8(F.col("content")))
-    kinds = {r["ok"] for r in files.select("ok").distinct().collect()}
-    if kinds != {True, False}:
-        return path, "ISO-8859-1" if kinds == {False} else "UTF-8"
-    copy = f"{checkpoint_dir(spark).rstrip('/')}/utf8-{uuid.uuid4().hex}"
-    text = F.when(F.col("ok"), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    files.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(copy)
-    return copy, "UTF-8"
-
-
-def geojson_wkt(gtype: Column, coords: Column) -> Column:
-    """GeoJSON geometry (type + coordinates JSON text) -> WKT."""
-    body = _pairs(coords)
-    up = F.upper(gtype)
-    return (F.when(up == "POINT", F.concat(F.lit("POINT ("), body, F.lit(")")))
-            .when(up.isin("LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON"),
-                  F.concat(up, F.lit(" "), body)))
-
-
-def read_geojson(spark: SparkSession, path: str, srid: int = 4326, encoding: str | None = None) -> DataFrame:
-    """One row per feature: its properties, ``wkt`` and ``srid``."""
-    path, enc = (path, encoding) if encoding else readable(spark, path)
-    inferred = spark.read.option("multiLine", True).option("encoding", enc).json(path).schema
-    feature_type = inferred["features"].dataType.elementType
-    fields = [T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()),
-                                                      T.StructField("coordinates", T.StringType())]))
-              if f.name == "geometry" else f for f in feature_type.fields]
-    schema = T.StructType([T.StructField("features", T.ArrayType(T.StructType(fields)))])
-    raw = spark.read.option("multiLine", True).option("encoding", enc).schema(schema).json(path)
-    feats = raw.select(F.explode("features").alias("f"))
-    props = feats.select("f.properties.*", F.col("f.geometry.coordinates").alias("_coords"),
-                         F.col("f.geometry.type").alias("_gtype"))
-    return (props.withColumn("wkt", geojson_wkt(F.col("_gtype"), F.col("_coords")))
-            .withColumn("srid", F.lit(srid)).drop("_coords", "_gtype"))
-
-
-def _kml_coords(c: Column) -> Column:
-    """KML 'lon,lat[,alt] lon,lat ...' -> 'lon lat, lon lat'."""
-    pts = F.split(F.trim(c), r"\s+")
-    return F.array_join(F.transform(pts, lambda p: F.concat_ws(" ", F.slice(F.split(p, ","), 1, 2))), ", ")
-
-
-def read_kml(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Placemarks with name/description and Point/LineString/Polygon geometry (WGS84)."""
-    path, enc = (path, encoding) if encoding else readable(spark, path)
-    pm = spark.read.format("xml").option("rowTag", "Placemark").option("charset", enc).load(path)
-    cols = set(pm.columns)
-    out = pm.select(
-        (F.col("name") if "name" in cols else F.lit(None).cast("string")).alias("name"),
-        (F.col("description") if "description" in cols else F.lit(None).cast("string")).alias("description"),
-        (F.col("Point.coordinates") if "Point" in cols else F.lit(None).cast("string")).alias("_pt"),
-        (F.col("LineString.coordinates") if "LineString" in cols else F.lit(None).cast("string")).alias("_ln"),
-        (F.col("Polygon.outerBoundaryIs.LinearRing.coordinates") if "Polygon" in cols
-         else F.lit(None).cast("string")).alias("_pg"),
-    )
-    wkt = (F.when(F.col("_pt").isNotNull(), F.concat(F.lit("POINT ("), _kml_coords(F.col("_pt")), F.lit(")")))
-           .when(F.col("_ln").isNotNull(), F.concat(F.lit("LINESTRING ("), _kml_coords(F.col("_ln")), F.lit(")")))
-           .when(F.col("_pg").isNotNull(), F.concat(F.lit("POLYGON (("), _kml_coords(F.col("_pg")), F.lit("))"))))
-    return out.withColumn("wkt", wkt).withColumn("srid", F.lit(4326)).drop("_pt", "_ln", "_pg")
-
-
-def srid_from_name(srs: Column) -> Column:
-    """'EPSG:3067', 'urn:ogc:def:crs:EPSG::3067', '.../EPSG/0/3067' -> 3067."""
-    return F.regexp_extract(srs, r"(?i)EPSG[:/A-Z0-9.]*?[:/](\d+)\s*$", 1).try_cast("int")
-
-
-def read_gml(spark: SparkSession, path: str, row_tag: str = "featureMember",
-             geometry_field: str = "geometry", encoding: str | None = None) -> DataFrame:
-    """Feature members; ``gml:pos`` / ``gml:posList`` text becomes WKT and
-    ``srsName`` gives the SRID (null when absent -> reason missing_crs)."""
-    path, enc = (path, encoding) if encoding else readable(spark, path)
-    df = (spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_")
-          .option("charset", enc).load(path))
-    feature = df.columns[0] if len(df.columns) == 1 else None
-    base = df.select(f"{feature}.*") if feature else df
-    g = F.col(geometry_field)
-    flat = base.select("*", F.to_json(g).alias("_gjson"))
-    srs = F.regexp_extract("_gjson", r'"_srsName":"([^"]*)"', 1)
-    pos = F.regexp_extract("_gjson", r'"(?:[A-Za-z0-9]+:)?pos(?:List)?":"([^"]*)"', 1)
-    nums = F.split(F.trim(pos), r"\s+")
-    coords = F.array_join(F.transform(F.sequence(F.lit(0), (F.size(nums) / 2 - 1).cast("int")),
-                                      lambda i: F.concat_ws(" ", nums[i * 2], nums[i * 2 + 1])), ", ")
-    kind = F.when(F.col("_gjson").contains("Polygon"), "POLYGON").when(F.col("_gjson").contains("LineString"),
-                                                                        "LINESTRING").otherwise("POINT")
-    wkt = (F.when(kind == "POLYGON", F.concat(F.lit("POLYGON (("), coords, F.lit("))")))
-           .otherwise(F.concat(kind, F.lit(" ("), coords, F.lit(")"))))
-    return flat.withColumn("wkt", wkt).withColumn("srid", srid_from_name(srs)).drop("_gjson", geometry_field)
+    layers = []
+    for source in sources:
+        path, options = (source, {}) if isinstance(source, str) else (source[0], dict(source[1]))
+        kind = options.pop("format", path.rstrip("/").rsplit(".", 1)[-1].lower())
+        try:
+            if kind not in READERS:
+                raise ValueError(f"unknown vector format {kind!r}")
+            if kind == "parquet":
+                layers.append(spark.read.parquet(path))
+            elif READERS[kind] is read_geojson:
+                issues: list = []
+                layer = read_geojson(spark, path, issues=issues, **options)
+                for file, error in issues:
+                    logging.warning("Failed to read %r: %s", file, error)
+                layers.append(layer)
+            else:
+                layers.append(READERS[kind](spark, path, **options))
+        except Exception as exc:  # one broken source must not stop the others
+            logging.warning("Failed to read layer %r: %s", path, exc)
+    if not layers:
+        raise RuntimeError("None of the layers could be read")
+    return layers
 
 
 def read_layers(paths: dict[str, DataFrame]) -> list[DataFrame]:
