@@ -99,13 +99,20 @@ def read_layers_safely(readers: dict) -> list[DataFrame]:
     return layers
 
 
+def table_problem(counts: dict) -> str | None:
+    """G15 + K05: why a table with these counts (``rows`` and one for each CRS problem) cannot be given; None if it can."""
+    if counts.get("missing_crs"):
+        return "The input states no coordinate reference system for some of its features"
+    if counts.get("unsupported_crs"):
+        return "The input has features in a coordinate reference system that cannot be converted"
+    return None if counts.get("rows", 1) else "The input holds no features"
+
+
 def require_crs(layers: list[DataFrame], srid_col: str = "srid") -> None:
     """G15 strict mode: fail when any feature has no coordinate reference system."""
-    issues = dict(table_issues(layers, srid_col).collect())
-    if issues.get("missing_crs"):
-        raise RuntimeError("The input states no coordinate reference system for some of its features")
-    if issues.get("unsupported_crs"):
-        raise RuntimeError("The input has features in a coordinate reference system that cannot be converted")
+    message = table_problem(dict(table_issues(layers, srid_col).collect()))
+    if message:
+        raise RuntimeError(message)
 
 
 def require_rows(df: DataFrame, message: str = "The input holds no features") -> DataFrame:

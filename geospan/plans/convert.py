@@ -7,25 +7,27 @@ quarantine, with status updates appended to the conversion log.
 ``convert_archives``: a folder of ZIP exports -> one layer for each set of header
 lines, with the outcome of every archive.
 
-``convert_layers``: vector layers -> one CSV table with ``footprintWKT``.
+``convert_layers``, ``convert_vector``: vector layers, or their files -> one CSV table with ``footprintWKT``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from geospan.operators.archives import classify_archives
 from geospan.operators.convlog import COMPLETE, FAILED, PROCESSING, conversion_key, latest_status
 from geospan.operators.layer import check_params, to_layer
-from geospan.operators.union import require_crs, require_rows, to_table
-from geospan.sinks.layers import NO_GEOMETRY_MESSAGE, NoGeometry, write_layer, write_table_csv
+from geospan.operators.union import table_problem, to_table
+from geospan.sinks.layers import NO_GEOMETRY_MESSAGE, NoGeometry, publish, write_layer, write_table_csv
 from geospan.sources.archives import open_archives, payload_lines
 from geospan.sources.dictionary import LANGUAGE_ROW, column_types
 from geospan.sources.tsv import (FLAT_WKT_COLUMN, ROWS_EXCLUDED_COLUMNS, ROWS_WKT_COLUMN, WKT_COLUMN, dedupe_names,
                                  read_flat, read_occurrences, read_rows, split_lines, type_columns)
+from geospan.sources.vector import read_vector
 from geospan.streaming.convlog import LOG_SCHEMA
 
 NO_PAYLOAD_MESSAGE = "The archive has neither an occurrence file nor a rows file."
@@ -146,8 +148,28 @@ def convert_archives(spark: SparkSession, path: str, out_dir: str, lang: str = "
                     F.coalesce("good", F.lit(0)).alias("good"), error.alias("error")))
 
 
-def convert_layers(layers: list[DataFrame], csv_path: str) -> None:
-    """The GIS-to-table job: union, WGS84, simplify, WKT last, CSV."""
-    require_crs(layers)
-    table = require_rows(to_table(layers)).drop("geometry_issue")
-    write_table_csv(table, csv_path)
+def convert_layers(layers: list[DataFrame], csv_path: str) -> dict:
+    """The GIS-to-table job: union, WGS84, simplify, WKT last, CSV; returns ``rows`` and ``unparsable`` (written with no WKT).
+
+    One scan: rows and CRS problems are counted during the write, beside
+    ``csv_path``; it is published only if there are rows and each has a CRS that
+    can be converted, so a failed job leaves an earlier table as it was.
+    """
+    counts = Observation("table_write")
+    issue = F.col("geometry_issue")
+    table = to_table(layers).observe(
+        counts, F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(issue == kind).alias(kind) for kind in ("missing_crs", "unsupported_crs", "unparsable")])
+    staging = f"{csv_path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    write_table_csv(table.drop("geometry_issue"), staging)
+    seen = counts.get
+    message = table_problem(seen)
+    publish(table.sparkSession, staging, None if message else csv_path)
+    if message:
+        raise RuntimeError(message)
+    return {"rows": seen["rows"], "unparsable": seen["unparsable"], "path": csv_path}
+
+
+def convert_vector(spark: SparkSession, sources: list[str | tuple[str, dict]], csv_path: str) -> dict:
+    """The path job: vector files (``read_vector``) -> one CSV table; broken sources are logged and left out."""
+    return convert_layers(read_vector(spark, sources), csv_path)

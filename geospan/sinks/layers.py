@@ -55,13 +55,13 @@ def write_layer(layer: DataFrame, path: str, mode: str = "overwrite") -> dict:
     out.write.mode(mode).partitionBy("status").parquet(staging)
     stats = obs.get
     if staging != path:
-        _publish(layer.sparkSession, staging, path if stats.get("good") else None)
+        publish(layer.sparkSession, staging, path if stats.get("good") else None)
     if not stats.get("good"):
         raise NoGeometry(NO_GEOMETRY_MESSAGE)
     return {"rows": stats["rows"], "good": stats["good"], "layer": LAYER_NAME, "path": path}
 
 
-def _publish(spark, staging: str, path: str | None) -> None:
+def publish(spark, staging: str, path: str | None) -> None:
     """Moves a written folder to its place, replacing what is there; without a place it is deleted."""
     jvm = spark._jvm
     source = jvm.org.apache.hadoop.fs.Path(staging)

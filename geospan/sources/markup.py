@@ -159,12 +159,16 @@ _AGGREGATES = {
     "MultiGeometry": ("geometryMember", "geometryMembers"),
 }
 _SHAPES = f"Point:array<{_POINT}>,LineString:array<{_LINE}>,Curve:array<{_CURVE}>,Polygon:array<{_POLYGON}>"
-_GML_GEOMETRY = "struct<" + _SHAPES + "," + ",".join(
-    f"{kind}:struct<{one}:array<struct<{_SHAPES}>>,{(many or 'no' + one)}:struct<{_SHAPES}>,{_SRS}>"
-    for kind, (one, many) in _AGGREGATES.items()) + ">"
 _GML_KINDS = ("Point", "LineString", "Curve", "Polygon", *_AGGREGATES)
 
 
+def _gml_geometry(kinds: list[str]) -> T.StructType:
+    """The schema of a geometry element: single shapes, and of the aggregates those of ``kinds``."""
+    return T.StructType.fromDDL(",".join([_SHAPES, *(
+        f"{kind}:struct<{one}:array<struct<{_SHAPES}>>,{(many or 'no' + one)}:struct<{_SHAPES}>,{_SRS}>"
+        for kind, (one, many) in _AGGREGATES.items() if kind in kinds)]))
+
+
 def latitude_first(srs: Column) -> Column:
     """Whether coordinates of this name stand in the order latitude, longitude.
 
@@ -229,26 +233,31 @@ def _gml_shapes(g: Column, dim: Column, swap: Column) -> Column:
                     _parts(g["Polygon"], "POLYGON", lambda m: _gml_polygon(m, dim, swap)))
 
 
-def _gml_srs(g: Column) -> Column:
+def _gml_srs(g: Column, kinds: list[str]) -> Column:
     """The name on the geometry, else on its first member."""
-    found = [g[k][0]["_srsName"] if k in _GML_KINDS[:4] else g[k]["_srsName"] for k in _GML_KINDS]
-    inner = [F.get(g[k][one], F.lit(0))[s][0]["_srsName"] for k, (one, _) in _AGGREGATES.items() for s in _GML_KINDS[:4]]
+    groups = [k for k in _AGGREGATES if k in kinds]
+    found = [F.get(g[k], F.lit(0))["_srsName"] for k in _GML_KINDS[:4]] + [g[k]["_srsName"] for k in groups]
+    inner = [F.get(F.get(g[k][_AGGREGATES[k][0]], F.lit(0))[s], F.lit(0))["_srsName"] for k in groups for s in _GML_KINDS[:4]]
     return F.coalesce(*found, *inner)
 
 
-def _gml_wkt(g: Column) -> Column:
+def _gml_wkt(g: Column, kinds: list[str]) -> Column:
+    """WKT of a geometry element; only the aggregates of ``kinds`` are looked at, which keeps the plan small."""
+    aggregates = {k: v for k, v in _AGGREGATES.items() if k in kinds}
+
     def with_order(o):
         dim, swap = o["dim"], o["swap"]
         groups, multi = [_gml_shapes(g, dim, swap)], F.lit(False)
-        for kind, (one, many) in _AGGREGATES.items():
+        for kind, (one, many) in aggregates.items():
             members = F.flatten(F.transform(g[kind][one], lambda m: _gml_shapes(m, dim, swap)))
             groups.append(F.coalesce(members, F.array().cast(_PARTS)))
             if many:
                 groups.append(F.when(g[kind][many].isNotNull(), _gml_shapes(g[kind][many], dim, swap)).otherwise(F.array().cast(_PARTS)))
             multi = multi | g[kind].isNotNull()
         return _joined(F.concat(*groups), ~multi)
-    dims = F.coalesce(*[g[k]["_srsDimension"] for k in _AGGREGATES])
-    return let(F.struct(dims.alias("dim"), latitude_first(_gml_srs(g)).alias("swap")), with_order)
+    dims = F.coalesce(F.lit(None).cast("int"), *[g[k]["_srsDimension"] for k in aggregates])
+    srs = _gml_srs(g, kinds)
+    return let(srs, lambda name: let(F.struct(dims.alias("dim"), latitude_first(name).alias("swap")), with_order))
 
 
 def _without_prefixes(kind: T.DataType) -> T.DataType:
@@ -284,7 +293,7 @@ def read_gml(spark: SparkSession, path: str, row_tag: str = "featureMember", geo
         # The elements are written once, so that all tasks infer and a file's name or charset plays no part.
         copy = f"{checkpoint_dir(spark).rstrip('/')}/gml-{uuid.uuid4().hex}"
         rows.select(F.translate("xml", "\r\n", "  ")).write.text(copy)
-        inferred = _without_prefixes(spark.read.format("xml").options(**options).option("rowTag", row_tag).load(copy).schema)
+        inferred = _without_prefixes(spark.read.format("xml").options(**options).option("rowTag", row_tag).option("multiLine", "false").load(copy).schema)
         rows = spark.read.text(copy).select(F.col("value").alias("xml"))
         kinds = {f.name: f.dataType for f in inferred.fields if isinstance(f.dataType, T.StructType)}
     out = None
@@ -294,12 +303,13 @@ def read_gml(spark: SparkSession, path: str, row_tag: str = "featureMember", geo
         if spot is None or spot not in fields.names:
             continue
         kept = [f for f in fields.fields if f.name not in (spot, "boundedBy")]
-        schema = T.StructType([T.StructField(name, T.StructType([*kept, T.StructField(spot, T.StructType.fromDDL(
-            _GML_GEOMETRY[len("struct<"):-1]))]))])
+        shape = fields[spot].dataType
+        present = shape.names if isinstance(shape, T.StructType) else list(_GML_KINDS)
+        schema = T.StructType([T.StructField(name, T.StructType([*kept, T.StructField(spot, _gml_geometry(present))]))])
         read = rows.select(F.from_xml("xml", schema.simpleString(), _OPTIONS)[name].alias("r")).filter("r is not null")
         g = F.col("r")[spot]
         layer = read.select(*[F.col("r")[f.name].alias(f"{f.name}_property" if f.name in ("wkt", "srid") else f.name) for f in kept],
-                            _gml_wkt(g).alias("wkt"), srid_from_name(_gml_srs(g)).alias("srid"))
+                            _gml_wkt(g, present).alias("wkt"), srid_from_name(_gml_srs(g, present)).alias("srid"))
         out = layer if out is None else out.unionByName(layer, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no feature with a geometry in <{row_tag}> elements")

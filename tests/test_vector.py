@@ -156,13 +156,14 @@ def test_gml_structure_and_axis_order(spark, tmp_path):
         ("", None, None),
     ]
     members = "".join(f'<gml:featureMember><s:site gml:id="s.{i}"><gml:boundedBy><gml:Envelope/></gml:boundedBy><s:label>l{i}</s:label>'
-                      f"<s:n>{i}</s:n><s:geom>{g}</s:geom></s:site></gml:featureMember>" for i, (g, _, _) in enumerate(shapes))
+                      f"<s:n>{i}</s:n>{'<s:last>x</s:last>' if i == 12 else ''}<s:geom>{g}</s:geom></s:site></gml:featureMember>" for i, (g, _, _) in enumerate(shapes))
     (tmp_path / "a.gml").write_text(f"<s:c {ns}>{members}</s:c>")
     want = [(f"l{i}", i, w, s) for i, (_, w, s) in enumerate(shapes)]
     inferred = read_gml(spark, str(tmp_path / "a.gml"), row_tag="gml:featureMember")
     declared = read_gml(spark, str(tmp_path / "a.gml"), row_tag="gml:featureMember", geometry_field="geom", feature="site",
                         properties="label string, n int")
-    for df in (inferred, declared):
+    assert inferred.filter("last = 'x'").first().n == 12
+    for df in (declared, inferred):
         assert sorted((r.label, r.n, r.wkt, r.srid) for r in df.collect()) == sorted(want)
 
 
@@ -174,3 +175,26 @@ def test_read_vector_leaves_broken_sources_out(spark, tmp_path):
     assert [df.first().wkt for df in layers] == ["POINT (1 2)", "POINT (3 4)"]
     with pytest.raises(RuntimeError, match="None of the layers"):
         read_vector(spark, [str(tmp_path / "gone.kml")])
+
+
+def test_path_job_scans_once_and_keeps_an_earlier_table(spark, tmp_path):
+    from geospan.plans.convert import convert_vector
+
+    out = str(tmp_path / "csv")
+    good = tmp_path / "a.geojson"
+    good.write_text(json.dumps(collection([feature({"n": 1}, {"type": "MultiPoint", "coordinates": [[1, 2]]}), feature({"n": 2}, None)])))
+    done = convert_vector(spark, [str(good)], out)
+    assert done == {"rows": 2, "unparsable": 0, "path": out}
+    read = spark.read.option("header", True).csv(out)
+    assert read.columns == ["n", "footprintWKT"] and sorted((r.n, r.footprintWKT) for r in read.collect()) == [("1", "POINT (1 2)"), ("2", None)]
+    none = tmp_path / "none.geojson"
+    none.write_text(json.dumps(collection([])))
+    odd = tmp_path / "odd.geojson"
+    odd.write_text(json.dumps(collection([feature({}, point(1, 2))], crs={"type": "name", "properties": {"name": "EPSG:2393"}})))
+    lost = tmp_path / "lost.geojson"
+    lost.write_text(json.dumps(collection([feature({}, point(1, 2))], crs={"type": "name", "properties": {"name": "urn:ogc:def:crs:x"}})))
+    for bad, words in ((none, "no features"), (odd, "cannot be converted"), (lost, "no coordinate reference system")):
+        with pytest.raises(RuntimeError, match=words):
+            convert_vector(spark, [str(bad)], out)
+        assert spark.read.option("header", True).csv(out).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["csv"]
