@@ -26,9 +26,10 @@ from geospan.operators.union import to_table
 from geospan.operators.validity import invalid_geometries
 from geospan.session import checkpoint_dir
 from geospan.plans.convert import NO_PAYLOAD_MESSAGE, convert_archives
-from geospan.plans.fixtures import EXPORT_NAMES, table, view, view_sql, write_export_archives
+from geospan.plans.fixtures import EXPORT_NAMES, table, view, view_sql, write_export_archives, write_vector_files
 from geospan.sources.dictionary import column_types
 from geospan.sources.tsv import occurrences_from_lines
+from geospan.sources.vector import read_vector
 
 # ------------------------------------------------------------ SQL helpers
 
@@ -530,6 +531,37 @@ from {view_sql('layer_b')} b
 """
 
 
+# ------------------------------------------------------------ S11 / S12 / S13 / S15 / U01 / U02: vector files -> one table
+
+def vector_table(spark: SparkSession, sf: str) -> DataFrame:
+    """GeoJSON, GML and KML files made from three tables, read by path and joined to one table."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/vector-{uuid.uuid4().hex}"
+    write_vector_files(spark, sf, folder)
+    layers = read_vector(spark, [
+        (f"{folder}/geojson", {"format": "geojson", "glob": "part-*", "properties": "id long, name string, segment string"}),
+        (f"{folder}/gml", {"format": "gml", "glob": "part-*", "row_tag": "gml:featureMember", "feature": "site", "geometry_field": "shape",
+                           "properties": "id long, name string"}),
+        (f"{folder}/kml", {"format": "kml", "glob": "part-*", "attributes": "id long, brand string, size int"}),
+        f"{folder}/gone.kml"])
+    return to_table(layers).drop("description")
+
+
+VECTOR_TABLE = f"""
+with a as (select id, name, segment, cast(regexp_extract(wkt, '\\(([0-9.]+) ', 1) as double) as e,
+             cast(regexp_extract(wkt, ' ([0-9.]+)\\)', 1) as double) as n from {view_sql('layer_a')} v),
+     b as (select s_suppkey, s_name, s_suppkey % 10 + 20 as x, s_nationkey + 40 as y from supplier),
+     c as (select *, p_partkey % 10 + 20 as x from part)
+select cast(id as bigint) as id, name || ' {{"x"}}' as name, segment, cast(null as varchar) as brand, cast(null as integer) as size,
+  cast(null as varchar) as geometry_issue, 'POINT (' || {_fmt(_LON)} || ' ' || {_fmt(_LAT)} || ')' as "footprintWKT" from a
+union all
+select cast(s_suppkey as bigint), s_name, null, null, null, null,
+  format('POLYGON (({{0}} {{1}}, {{2}} {{1}}, {{2}} {{3}}, {{0}} {{3}}, {{0}} {{1}}), ({{0}}.25 {{1}}.25, {{0}}.5 {{1}}.25, {{0}}.5 {{1}}.5, {{0}}.25 {{1}}.25))',
+    x, y, x + 1, y + 1) from b
+union all
+select cast(p_partkey as bigint), p_name, null, p_brand, cast(p_size as integer), null, format('MULTIPOINT (({{0}} 60.5), ({{0}}.75 61))', x) from c
+"""
+
+
 CATALOG = {
     "wkt_points_decode": (wkt_points_decode, WKT_POINTS_DECODE),
     "points_tm35fin": (points_tm35fin, POINTS_TM35FIN),
@@ -547,6 +579,7 @@ CATALOG = {
     "tsv_typed": (tsv_typed, TSV_TYPED),
     "export_layer_rollup": (export_layer_rollup, EXPORT_LAYER_ROLLUP),
     "zip_layers": (zip_layers, ZIP_LAYERS),
+    "vector_table": (vector_table, VECTOR_TABLE),
     "archive_classify": (archive_classify, ARCHIVE_CLASSIFY),
     "sidecar_missing": (sidecar_missing, SIDECAR_MISSING),
     "latest_status": (latest_status, LATEST_STATUS),

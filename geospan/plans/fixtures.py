@@ -281,3 +281,38 @@ def write_export_archives(spark: SparkSession, sf_dir: str, path: str, orders: i
     lines = view(spark, sf_dir, "tsv_lines").withColumn("number", F.floor(F.col("l_orderkey") / orders))
     zips = lines.groupBy("number").applyInArrow(_zip_exports, "archive long, zip binary")
     zips.select("archive", F.col("zip").cast("string")).write.partitionBy("archive").option("lineSep", "\n").text(path)
+
+
+def write_vector_files(spark: SparkSession, sf_dir: str, path: str, size: int = 500) -> None:
+    """Vector files of up to ``size`` features each, one row of text a file: customers as GeoJSON (ETRS-TM35FIN, with
+    heights and a ``crs`` member), suppliers as GML (latitude first, a hole in each polygon), parts as KML (two points
+    each, the brand and size as extended data)."""
+    def files(rows, key, item, head, tail, name):
+        one = rows.withColumn("_item", item).groupBy(F.floor(F.col(key) / size)).agg(
+            F.array_join(F.array_sort(F.collect_list("_item")), "," if name == "geojson" else "").alias("body"))
+        one.select(F.concat(F.lit(head), F.col("body"), F.lit(tail)).alias("value")).write.option(
+            "maxRecordsPerFile", 1).option("lineSep", "\n").text(f"{path}/{name}")
+
+    a = view(spark, sf_dir, "layer_a").withColumn("xy", F.regexp_extract("wkt", r"\((.*)\)", 1))
+    feature = F.format_string(
+        '{"type": "Feature", "properties": {"id": %d, "name": "%s {\\"x\\"}", "segment": "%s"}, "geometry": {"type": "Point", "coordinates": [%s, 7.5]}}',
+        "id", "name", "segment", F.replace("xy", F.lit(" "), F.lit(", ")))
+    files(a, "id", feature, '{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::3067"}}, '
+          '"features": [', "]}", "geojson")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", (F.col("s_suppkey") % 10 + 20).alias("x"),
+                                                       (F.col("s_nationkey") + 40).alias("y"))
+    ring = "<gml:%s><gml:LinearRing><gml:posList>%s</gml:posList></gml:LinearRing></gml:%s>"
+    shell = ring % ("exterior", "%2$d %1$d %2$d %3$d %4$d %3$d %4$d %1$d %2$d %1$d", "exterior")
+    hole = ring % ("interior", "%2$d.25 %1$d.25 %2$d.25 %1$d.5 %2$d.5 %1$d.5 %2$d.25 %1$d.25", "interior")
+    member = F.format_string(
+        '<gml:featureMember><f:site><f:id>%5$d</f:id><f:name>%6$s</f:name><f:shape><gml:Polygon srsName="urn:ogc:def:crs:EPSG::4326">'
+        + shell + hole + "</gml:Polygon></f:shape></f:site></gml:featureMember>",
+        "x", "y", F.col("x") + 1, F.col("y") + 1, "s_suppkey", "s_name")
+    files(supplier, "s_suppkey", member, '<f:c xmlns:f="f" xmlns:gml="http://www.opengis.net/gml/3.2">', "</f:c>", "gml")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", (F.col("p_partkey") % 10 + 20).alias("x"))
+    mark = F.format_string(
+        "<Placemark><name>%3$s</name><ExtendedData><Data name=\"id\"><value>%2$d</value></Data><SchemaData><SimpleData name=\"brand\">%4$s"
+        "</SimpleData><SimpleData name=\"size\">%5$d</SimpleData></SchemaData></ExtendedData><MultiGeometry><Point><coordinates>%1$d,60.5,3"
+        "</coordinates></Point><Point><coordinates>%1$d.75,61</coordinates></Point></MultiGeometry></Placemark>",
+        "x", "p_partkey", "p_name", "p_brand", "p_size")
+    files(part, "p_partkey", mark, "<kml><Document>", "</Document></kml>", "kml")
