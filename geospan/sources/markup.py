@@ -13,6 +13,7 @@ row of nulls.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,16 +246,17 @@ def _gml_wkt(g: Column, kinds: list[str]) -> Column:
     """WKT of a geometry element; only the aggregates of ``kinds`` are looked at, which keeps the plan small."""
     aggregates = {k: v for k, v in _AGGREGATES.items() if k in kinds}
 
+    holder = f"struct<{_SHAPES}>"
+    members = [F.array(F.struct(*[g[k].alias(k) for k in _GML_KINDS[:4]]).cast(holder))]
+    for kind, (one, many) in aggregates.items():
+        members.append(F.coalesce(g[kind][one], F.array().cast(f"array<{holder}>")))
+        if many:
+            members.append(F.array(g[kind][many]))
+    multi = reduce(lambda x, y: x | y, [g[k].isNotNull() for k in aggregates], F.lit(False))
+
     def with_order(o):
-        dim, swap = o["dim"], o["swap"]
-        groups, multi = [_gml_shapes(g, dim, swap)], F.lit(False)
-        for kind, (one, many) in aggregates.items():
-            members = F.flatten(F.transform(g[kind][one], lambda m: _gml_shapes(m, dim, swap)))
-            groups.append(F.coalesce(members, F.array().cast(_PARTS)))
-            if many:
-                groups.append(F.when(g[kind][many].isNotNull(), _gml_shapes(g[kind][many], dim, swap)).otherwise(F.array().cast(_PARTS)))
-            multi = multi | g[kind].isNotNull()
-        return _joined(F.concat(*groups), ~multi)
+        shapes = F.transform(F.concat(*members), lambda m: _gml_shapes(m, o["dim"], o["swap"]))
+        return _joined(F.flatten(F.filter(shapes, lambda x: x.isNotNull())), ~multi)
     dims = F.coalesce(F.lit(None).cast("int"), *[g[k]["_srsDimension"] for k in aggregates])
     srs = _gml_srs(g, kinds)
     return let(srs, lambda name: let(F.struct(dims.alias("dim"), latitude_first(name).alias("swap")), with_order))
