@@ -13,6 +13,8 @@ lines, with the outcome of every archive.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import os
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -36,12 +38,78 @@ NO_PAYLOAD_MESSAGE = "The archive has neither an occurrence file nor a rows file
 def _log(spark: SparkSession, log_dir: str | None, cid: str, status: str, **fields) -> None:
     if not log_dir:
         return
-    row = {"conversion_id": cid, "event_id": int(dt.datetime.now().timestamp() * 1e6),
-           "ts": dt.datetime.now(), "status": status, "progress_percent": fields.get("progress_percent"),
+    now = dt.datetime.now(dt.timezone.utc)
+    row = {"conversion_id": cid, "event_id": int(now.timestamp() * 1e6),
+           "ts": now, "status": status, "progress_percent": fields.get("progress_percent"),
            "output": fields.get("output"), "error": fields.get("error")}
     spark.createDataFrame([row], LOG_SCHEMA).write.mode("append").parquet(log_dir)
 
 
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _create(fs, where) -> bool:
+    """Creates an empty file unless it exists, in one step of the file system."""
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.close(os.open(where.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        else:
+            fs.create(where, False).close()
+    except FileExistsError:
+        return False
+    except Exception:
+        if fs.exists(where):
+            return False
+        raise
+    return True
+
+
+def claim(spark: SparkSession, path: str, hours: float = 24) -> bool:
+    """Whether this run, and no other, now holds the claim file ``path``.
+
+    The file is created only if it is absent (on local disks by exclusive open;
+    elsewhere by Hadoop's ``create`` without overwriting, which is atomic on HDFS
+    and on stores with conditional writes). A claim older than ``hours`` belongs
+    to a run that died. Who may clear it away is settled in the same manner, by a
+    file named after its time, which stays, so that nobody who saw the dead claim
+    late can clear a new one.
+    """
+    where, fs = _file(spark, path)
+    fs.mkdirs(where.getParent())
+    if _create(fs, where):
+        return True
+    try:
+        made = fs.getFileStatus(where).getModificationTime()
+    except Exception:
+        if fs.exists(where):
+            raise
+        return _create(fs, where)  # just released
+    if dt.datetime.now().timestamp() - made / 1000 < hours * 3600:
+        return False
+    taken = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".taken-{where.getName()}-{made}")
+    if not _create(fs, taken):
+        return False
+    fs.delete(where, False)
+    return _create(fs, where)
+
+
+def release(spark: SparkSession, path: str) -> None:
+    where, fs = _file(spark, path)
+    fs.delete(where, False)
+
+
+def _known(spark: SparkSession, log_dir: str, cid: str, hours: float) -> bool:
+    """Done already, or in work by a run whose last word is younger than ``hours``."""
+    where, fs = _file(spark, log_dir)
+    if not fs.exists(where):
+        return False
+    state = latest_status(spark.read.schema(LOG_SCHEMA).parquet(log_dir)).filter(F.col("conversion_id") == cid)
+    young = F.col("updated_at") > F.lit(dt.datetime.now(dt.timezone.utc) - dt.timedelta(hours=hours))
+    return not state.filter((F.col("status") == COMPLETE) | ((F.col("status") == PROCESSING) & young)).isEmpty()
+
+
 def read_export(spark: SparkSession, path: str, kind: str, lang: str) -> tuple[DataFrame, str]:
     """The reader and WKT column for an export kind."""
     if kind == "occurrences":
@@ -55,25 +123,35 @@ def read_export(spark: SparkSession, path: str, kind: str, lang: str) -> tuple[D
 
 def convert_export(spark: SparkSession, path: str, out_dir: str, kind: str = "occurrences", lang: str = "tech",
                    geometry_type: str = "footprint", crs: str = "wgs84", filename: str = "export",
-                   log_dir: str | None = None, skip_if_known: bool = True) -> dict:
+                   log_dir: str | None = None, skip_if_known: bool = True, claim_hours: float = 24) -> dict:
+    """One export -> a layer, once: with a log, a conversion that is done or in work is skipped.
+
+    A run first claims its conversion id (a file in ``<log_dir>-claims``), then looks
+    at the log, so of concurrent runs of one id exactly one converts.
+    """
     check_params(geometry_type, crs)
     cid = spark.range(1).select(conversion_key(F.lit(filename), F.lit(lang), F.lit(geometry_type),
                                                F.lit(crs))).first()[0]
+    held = None
     if skip_if_known and log_dir:
-        where = spark._jvm.org.apache.hadoop.fs.Path(log_dir)
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            state = latest_status(spark.read.schema(LOG_SCHEMA).parquet(log_dir))
-            known = state.filter((F.col("conversion_id") == cid) & F.col("status").isin(PROCESSING, COMPLETE))
-            if not known.isEmpty():
-                return {"conversion_id": cid, "skipped": True}
-    _log(spark, log_dir, cid, PROCESSING, progress_percent=0)
+        name = hashlib.sha256(cid.encode()).hexdigest()
+        held = f"{log_dir.rstrip('/')}-claims/{name}"
+        if not claim(spark, held, claim_hours):
+            return {"conversion_id": cid, "skipped": True}
     try:
-        df, wkt_col = read_export(spark, path, kind, lang)
-        stats = write_layer(to_layer(df, wkt_col, geometry_type, crs), out_dir)
-    except Exception as exc:
-        _log(spark, log_dir, cid, FAILED, error=str(exc))
-        raise
-    _log(spark, log_dir, cid, COMPLETE, progress_percent=100, output=out_dir)
+        if held and _known(spark, log_dir, cid, claim_hours):
+            return {"conversion_id": cid, "skipped": True}
+        _log(spark, log_dir, cid, PROCESSING, progress_percent=0)
+        try:
+            df, wkt_col = read_export(spark, path, kind, lang)
+            stats = write_layer(to_layer(df, wkt_col, geometry_type, crs), out_dir)
+        except Exception as exc:
+            _log(spark, log_dir, cid, FAILED, error=str(exc))
+            raise
+        _log(spark, log_dir, cid, COMPLETE, progress_percent=100, output=out_dir)
+    finally:
+        if held:
+            release(spark, held)
     return {"conversion_id": cid, **stats}
 
 
