@@ -156,7 +156,7 @@ def convert_export(spark: SparkSession, path: str, out_dir: str, kind: str = "oc
 
 
 def _header(lines: DataFrame) -> DataFrame:
-    """``archive, payload_kind, header``: the first three lines of an occurrence file, the first of a rows file."""
+    """``archive, payload_kind, header``: the first three lines of an occurrence file, the first of a rows or flat file."""
     n = F.when(F.col("payload_kind") == "occurrences", 3).otherwise(1)
     return (lines.filter((F.col("line_no") >= 0) & (F.col("line_no") < n)).groupBy("archive", "payload_kind")
             .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"]).alias("header")))
@@ -183,6 +183,8 @@ def archive_layers(lines: DataFrame, lang: str = "tech", geometry_type: str = "f
         fields = split_lines(body.withColumnRenamed("archive", "_in"), names, keep={"_in": hidden})
         if kind == "occurrences":
             df, wkt = type_columns(fields, column_types(lang), keep_raw=(hidden,)), WKT_COLUMN[lang]
+        elif kind == "flat":
+            df, wkt = type_columns(fields, {}, keep_raw=(hidden,)), FLAT_WKT_COLUMN
         else:
             df, wkt = type_columns(fields.drop(*ROWS_EXCLUDED_COLUMNS), {}, keep_raw=(hidden,)), ROWS_WKT_COLUMN
         if wkt in names:
