@@ -94,23 +94,16 @@ def all_finite(geom: Column) -> Column:
 @bind_geometry
 def envelope(geom: Column) -> Column:
     """Bounding box as a geometry; a point stays a point, a flat box a line."""
-    b = bounds(geom)
-    lo = F.array(b["minx"], b["miny"])
-    hi = F.array(b["maxx"], b["maxy"])
-    box = F.array(F.array(F.array(
-        lo, F.array(b["maxx"], b["miny"]), hi, F.array(b["minx"], b["maxy"]), lo)))
-    gtype = (
-        F.when((b["minx"] == b["maxx"]) & (b["miny"] == b["maxy"]), F.lit("POINT"))
-        .when((b["minx"] == b["maxx"]) | (b["miny"] == b["maxy"]), F.lit("LINESTRING"))
-        .otherwise(F.lit("POLYGON"))
-    )
-    parts = (
-        F.when(gtype == "POINT", F.array(F.array(F.array(lo))))
-        .when(gtype == "LINESTRING", F.array(F.array(F.array(lo, hi))))
-        .otherwise(box)
-    )
-    return F.when(geom.isNotNull() & (F.size(geom["parts"]) > 0),
-                  make_geom(gtype, parts, geom["srid"])).when(geom.isNotNull(), geom)
+    def of_bounds(b):
+        lo = F.array(b["minx"], b["miny"])
+        hi = F.array(b["maxx"], b["maxy"])
+        flat_x, flat_y = b["minx"] == b["maxx"], b["miny"] == b["maxy"]
+        box = F.array(lo, F.array(b["maxx"], b["miny"]), hi, F.array(b["minx"], b["maxy"]), lo)
+        gtype = F.when(flat_x & flat_y, F.lit("POINT")).when(flat_x | flat_y, F.lit("LINESTRING")).otherwise(F.lit("POLYGON"))
+        ring = F.when(flat_x & flat_y, F.array(lo)).when(flat_x | flat_y, F.array(lo, hi)).otherwise(box)
+        return make_geom(gtype, F.array(F.array(ring)), geom["srid"])
+
+    return F.when(geom.isNotNull() & (F.size(geom["parts"]) > 0), let(bounds(geom), of_bounds)).when(geom.isNotNull(), geom)
 
 
 def _ring_moments(ring: Column) -> Column:

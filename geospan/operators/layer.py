@@ -28,6 +28,7 @@ from geospan.functions import geometry as G
 from geospan.functions import validity as V
 from geospan.functions.cache import cached_expr
 from geospan.functions.collections import normalize
+from geospan.functions.plain import plain_geometry
 from geospan.functions.wkt import let, parse_wkt
 from geospan.session import checkpoint_dir
 
@@ -70,18 +71,31 @@ def _srid_col(srid: Column | int | str) -> Column | int:
 
 
 @cached_expr
-def _decode_named(wkt_col: str, srid: int | str, topology: bool = True) -> Column:
-    return decode_geometry(F.col(f"`{wkt_col}`"), _srid_col(srid), topology)
+def _decode_left(wkt_col: str, srid: int | str, topology: bool = True) -> Column:
+    """The expressions' answer for a text that ``_plain`` left open, else null.
 
+    The text is the one item of an array or there is none, so that nothing is
+    evaluated for the others; a condition around expressions of this size would
+    cost Spark's analysis minutes.
+    """
+    left = F.when(F.col("_plain").isNull(), F.array(F.col(f"`{wkt_col}`")))
+    return F.get(F.transform(left, lambda w: decode_geometry(w, _srid_col(srid), topology)), F.lit(0))
 
-def _decoded_rows(df: DataFrame, decoded: Column, keep: list[Column]) -> DataFrame:
-    """``keep`` and ``_decoded``, in which polygons whose touching rings cut their interior are invalid too."""
-    staged = df.select(*keep, decoded.alias("_decoded"))
-    cols = [F.col(f"`{c}`") for c in staged.columns if c != "_decoded"]
-    d = F.col("_decoded")
-    cut = d["reason"].isNull() & F.coalesce(V.interior_cut(d["geometry"]), F.lit(False))
-    return staged.select(*cols, F.struct(F.when(~cut, d["geometry"]).alias("geometry"), F.when(cut, F.lit("invalid"))
-                                         .otherwise(d["reason"]).alias("reason")).alias("_decoded"))
+
+def _decoded_rows(df: DataFrame, wkt_col: str, srid: int | str, keep: list[str], topology: bool = True) -> DataFrame:
+    """``keep`` and ``_decoded`` (``struct<geometry, reason>``): plain texts by the batch, others by expressions.
+
+    For the others, polygons whose touching rings cut their interior are found on the decoded column.
+    """
+    tried = df.withColumn("_plain", plain_geometry(F.col(f"`{wkt_col}`"), topology))
+    staged = tried.select(*(F.col(f"`{c}`") for c in keep), F.col("_plain"), _decode_left(wkt_col, srid, topology).alias("_slow"),
+                          (_srid_col(srid) if isinstance(srid, str) else F.lit(srid)).alias("_srid"))
+    p, d = F.col("_plain"), F.col("_slow")
+    geom = F.when(p["reason"].isNull(), G.make_geom(p["gtype"], p["parts"], F.col("_srid")))
+    cut = F.coalesce(V.interior_cut(d["geometry"]), F.lit(False)) if topology else F.lit(False)
+    return staged.select(*(F.col(f"`{c}`") for c in keep), F.struct(
+        F.when(p.isNotNull(), geom).when(~cut, d["geometry"]).alias("geometry"),
+        F.when(p.isNotNull(), p["reason"]).when(cut, F.lit("invalid")).otherwise(d["reason"]).alias("reason")).alias("_decoded"))
 
 
 def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
@@ -93,10 +107,8 @@ def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
     check of :mod:`geospan.operators.validity` (for very large geometries).
     """
     drop = wkt_col if drop_wkt else None
-    if not topology:
-        return _expand(df, _decode_named(wkt_col, srid, False), drop)
-    keep = [F.col(f"`{c}`") for c in df.columns if c != drop and c not in ("geometry", "reject_reason")]
-    return _expand(_decoded_rows(df, _decode_named(wkt_col, srid, True), keep), F.col("_decoded"), "_decoded")
+    keep = [c for c in df.columns if c != drop and c not in ("geometry", "reject_reason")]
+    return _expand(_decoded_rows(df, wkt_col, srid, keep, topology), F.col("_decoded"), "_decoded")
 
 
 def _expand(df: DataFrame, decoded: Column, drop: str | None) -> DataFrame:
@@ -142,8 +154,8 @@ def layer_from_decoded(decoded: Column, mapped_type: str, target: int) -> Column
 
 
 def _layer_of(df: DataFrame, wkt_col: str, mapped_type: str, target: int, srid: int | str) -> DataFrame:
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in (wkt_col, "geometry", "reject_reason")]
-    decoded = _decoded_rows(df, _decode_named(wkt_col, srid, True), keep)
+    keep = [c for c in df.columns if c not in (wkt_col, "geometry", "reject_reason")]
+    decoded = _decoded_rows(df, wkt_col, srid, keep)
     return _expand(decoded, layer_from_decoded(F.col("_decoded"), mapped_type, target), "_decoded")
 
 
@@ -168,7 +180,7 @@ def to_layer(df: DataFrame, wkt_col: str, geometry_type: str = "footprint", crs:
     small = df.filter(F.coalesce(vertices, F.lit(0)) <= big_geometry_vertices)
     big = df.filter(vertices > big_geometry_vertices)
     out_small = _layer_of(small, wkt_col, mapped_type, target, srid)
-    decoded = (big.select("*", _decode_named(wkt_col, srid, False).alias("_d"))
+    decoded = (_decoded_rows(big, wkt_col, srid, big.columns, topology=False).withColumnRenamed("_decoded", "_d")
                .withColumn("_gid", F.monotonically_increasing_id()))
     checkpoint_dir(df.sparkSession)
     decoded = decoded.checkpoint()  # keys stay fixed: the branch is read twice below

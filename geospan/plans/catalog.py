@@ -104,8 +104,9 @@ from {view_sql('occ_polys')} v
 
 def poly_bbox(spark: SparkSession, sf: str) -> DataFrame:
     lay = to_layer(view(spark, sf, "occ_polys"), "wkt", geometry_type="bbox", crs="wgs84")
-    b = G.bounds(F.col("geometry"))
-    return lay.select("l_orderkey", "l_linenumber", F.col("geometry.gtype").alias("gtype"),
+    b = F.col("b")
+    return lay.select("l_orderkey", "l_linenumber", F.col("geometry.gtype").alias("gtype"), G.bounds(F.col("geometry")).alias("b")).select(
+                      "l_orderkey", "l_linenumber", "gtype",
                       F.round(b["minx"], 6).alias("minx"), F.round(b["miny"], 6).alias("miny"),
                       F.round(b["maxx"], 6).alias("maxx"), F.round(b["maxy"], 6).alias("maxy"))
 
@@ -210,9 +211,10 @@ select l_orderkey, l_linenumber, kind, kind in (1, 2) as valid from {view_sql('o
 def collections_normalize(spark: SparkSession, sf: str) -> DataFrame:
     d = with_geometry(view(spark, sf, "occ_collections"), "wkt")
     g = F.col("geometry")
-    b = G.bounds(g)
+    b = F.col("b")
     return d.select("l_orderkey", "l_linenumber", "kind", g["gtype"].alias("gtype"),
-                    F.size(g["parts"]).alias("n_parts"),
+                    F.size(g["parts"]).alias("n_parts"), G.bounds(g).alias("b")).select(
+                    "l_orderkey", "l_linenumber", "kind", "gtype", "n_parts",
                     F.round(b["minx"], 6).alias("minx"), F.round(b["miny"], 6).alias("miny"),
                     F.round(b["maxx"], 6).alias("maxx"), F.round(b["maxy"], 6).alias("maxy"))
 
@@ -318,8 +320,9 @@ def shape_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Type, centroid and bounds of polygons with holes, multis, lines and odd spellings; the reason of unclosed or trailing text."""
     d = with_geometry(view(spark, sf, "occ_shapes"), "wkt")
     g = F.col("geometry")
-    c, b = G.centroid(g), G.bounds(g)
-    return d.select("l_orderkey", "l_linenumber", g["gtype"].alias("gtype"), F.round(G.x_of(c), 6).alias("cx"),
+    c, b = F.col("c"), F.col("b")
+    d = d.select("l_orderkey", "l_linenumber", g["gtype"].alias("gtype"), G.centroid(g).alias("c"), G.bounds(g).alias("b"), "reject_reason")
+    return d.select("l_orderkey", "l_linenumber", "gtype", F.round(G.x_of(c), 6).alias("cx"),
                     F.round(G.y_of(c), 6).alias("cy"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy"), "reject_reason")
 
 
