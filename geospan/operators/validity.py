@@ -34,6 +34,8 @@ from geospan.functions.wkt import let
 
 #: Copies of an edge in the grid: at most about this many on average, and two more.
 COPIES = 8
+#: A geometry of up to so many edges is one cell: its few pairs cost less than copies of its edges.
+FEW = 24
 #: A cell with more edges than this is dealt to several tasks.
 DENSE = 512
 
@@ -42,7 +44,7 @@ def _cell_size(width, height, n, travel, reach):
     """About one edge a cell, but no smaller than keeps the copies of edges at ``COPIES`` or than doubles can tell apart."""
     span = F.greatest(width, height)
     size = F.greatest(span / F.ceil(F.sqrt(F.greatest(n, F.lit(1)))), travel / (n * COPIES), reach * 1e-11)
-    return F.when(span > 0, size).otherwise(F.lit(1.0))
+    return F.when(span <= 0, F.lit(1.0)).when(n <= FEW, span * 2).otherwise(size)
 
 
 def _axis(k: int):

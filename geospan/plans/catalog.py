@@ -24,7 +24,7 @@ from geospan.operators.layer import good_rows, reject_rollup, to_layer, with_geo
 from geospan.operators.overlay import dissolve_mixed
 from geospan.operators.union import to_table
 from geospan.operators.validity import invalid_geometries
-from geospan.session import checkpoint_dir
+from geospan.session import checkpoint_dir, stored
 from geospan.plans.convert import NO_PAYLOAD_MESSAGE, convert_archives
 from geospan.plans.fixtures import EXPORT_NAMES, table, view, view_sql, write_export_archives, write_vector_files
 from geospan.sources.dictionary import column_types
@@ -193,8 +193,7 @@ def bowtie_validity_join(spark: SparkSession, sf: str) -> DataFrame:
     """G04 by the distributed edge grid join (the path for very large rings)."""
     d = with_geometry(view(spark, sf, "occ_bowtie"), "wkt", topology=False) \
         .withColumn("_gid", F.monotonically_increasing_id())
-    checkpoint_dir(spark)
-    d = d.checkpoint()          # ids stay fixed: the table is read twice below
+    d = stored(d)               # ids stay fixed: the table is read twice below
     bad = invalid_geometries(d, "_gid")
     flagged = d.join(bad.withColumnRenamed("gid", "_gid").withColumn("_bad", F.lit(True)), "_gid", "left")
     valid = F.col("reject_reason").isNull() & F.col("_bad").isNull()
