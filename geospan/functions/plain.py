@@ -141,6 +141,13 @@ def parse(text: pa.Array):
     return values[np.flatnonzero(numbers[numbers])[lead]], values[lead + 1], row, ring, part, tag, of_member, members, odd
 
 
+def shapes_of(x, y, row, ring, part, n):
+    """The shapes of parsed points, and the first point of each ring."""
+    ring_at, part_at = np.flatnonzero(ring), np.flatnonzero(part)
+    rings = np.diff(np.append(np.searchsorted(ring_at, part_at), len(ring_at)))
+    return Shapes(x, y, np.diff(np.append(ring_at, len(x))), rings, np.bincount(row[part_at], minlength=n)), ring_at
+
+
 def _edges(s: Shapes):
     """Edges without length left out: ``ring, i, m, x1, y1, x2, y2`` with their number in the ring."""
     first = _starts(s.points)
@@ -335,11 +342,8 @@ def decode_plain(text: pa.Array, topology: bool):
     """Plain texts -> ``types, shapes, reason, decided`` by row (type number, reason text or None)."""
     n = len(text)
     x, y, row, ring, part, tag, of_member, members, odd = parse(text)
-    points = np.diff(np.append(np.flatnonzero(ring), len(x)))
-    ring_at = np.flatnonzero(ring)
-    rings = np.diff(np.append(np.searchsorted(ring_at, np.flatnonzero(part)), len(ring_at)))
-    part_at = np.flatnonzero(part)
-    s = Shapes(x, y, points, rings, np.bincount(row[part_at], minlength=n))
+    s, ring_at = shapes_of(x, y, row, ring, part, n)
+    points = s.points
     kind_of_ring, row_of_ring = tag[ring_at], row[ring_at]
     area, line = kind_of_ring % 3 == _POLYGON, kind_of_ring % 3 == _LINE
     end = ring_at + points - 1

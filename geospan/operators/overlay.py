@@ -15,21 +15,24 @@ dissolved here, many geometries at a time:
 
 Where the boundary does not close (edges that meet at angles too small for
 doubles) the geometry keeps ``needs_overlay``.
+
+Small collections of points and polygons take the same steps within a batch of
+rows (:mod:`geospan.functions.union`); only the others are shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geospan.functions.collections import capsule_ring, circle_ring
 from geospan.functions.geometry import seq
+from geospan.functions.union import trace_rings, union_plain
 from geospan.functions.validity import boxes_meet, dedup_ring, orient, within
 from geospan.functions.wkt import GEOM_TYPE, PARTS_DDL, parse_wkt
 from geospan.operators.validity import grid_cells
+from geospan.session import stored
 
 RINGS_DDL = "array<array<array<array<double>>>>"
 
@@ -128,59 +131,6 @@ def _boundary(subs: DataFrame, edges: DataFrame) -> DataFrame:
     return subs.join(inside, place, "left_anti").select(*place)
 
 
-def _area(ring) -> float:
-    x0, y0 = ring[0]
-    return sum((a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0) for a, b in zip(ring, ring[1:])) / 2
-
-
-def _inside(point, ring) -> bool:
-    x, y = point
-    return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:])) % 2 == 1
-
-
-def trace_rings(edges: list[tuple]) -> list | None:
-    """Polygons (shell, then holes) bounded by directed edges with the interior on their left; None if they do not close."""
-    out: dict = {}
-    for x1, y1, x2, y2 in edges:
-        out.setdefault((x1, y1), []).append((x2, y2))
-    rings = []
-    while out:
-        start = min(out)
-        path, here, seen = [start], start, {start: 0}
-        while True:
-            ways = out.get(here)
-            if not ways:
-                return None
-            if len(ways) > 1 and len(path) > 1:  # of several ways the first clockwise from where it came
-                back = math.atan2(path[-2][1] - here[1], path[-2][0] - here[0])
-                ways.sort(key=lambda w: (back - math.atan2(w[1] - here[1], w[0] - here[0])) % (2 * math.pi) or 2 * math.pi, reverse=True)
-            there = ways.pop()
-            if not ways:
-                del out[here]
-            if there in seen:  # a loop closes, be it at the start or where the ring touches itself
-                at = seen[there]
-                rings.append(path[at:] + [there])
-                for p in path[at + 1:]:
-                    del seen[p]
-                del path[at + 1:]
-                here = there
-                if at == 0:
-                    break
-            else:
-                seen[there] = len(path)
-                path.append(there)
-                here = there
-    shells = sorted((r for r in rings if _area(r) > 0), key=_area)
-    polygons = [[r] for r in shells]
-    for hole in (r for r in rings if _area(r) < 0):
-        middle = ((hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2)
-        home = next((p for p in polygons if _inside(middle, p[0])), None)
-        if home is None:
-            return None
-        home.append(hole)
-    return [[[list(p) for p in ring] for ring in polygon] for polygon in sorted(polygons)] or None
-
-
 def dissolve(pieces: DataFrame) -> DataFrame:
     """``gid, parts`` of the union of each row's ``pieces`` (``gid, pieces``); parts are null where it does not close."""
     edges = _turned_edges(pieces).checkpoint()
@@ -198,12 +148,18 @@ def dissolve_mixed(df: DataFrame, wkt_col: str, gid: str) -> DataFrame:
     """Rows that :func:`with_geometry` left as ``needs_overlay``, with their ``geometry`` where the union closes.
 
     ``df`` holds the unique key ``gid``, ``wkt_col``, ``geometry`` and
-    ``reject_reason``; other rows come through as they are.
+    ``reject_reason``, and is read twice: store it or cut it with a checkpoint.
+    Other rows come through as they are. Rows that the batch decides are
+    shuffled nowhere; only those left are dissolved by the joins.
     """
-    open_ = df.filter("reject_reason = 'needs_overlay'").select(F.col(gid).alias("gid"), parse_wkt(F.col(wkt_col)).alias("w"))
-    done = dissolve(open_.select("gid", pieces_of(F.col("w.members")).alias("pieces"))).filter("parts is not null")
-    made = F.struct(F.lit("MULTIPOLYGON").alias("gtype"), F.lit(4326).alias("srid"), F.col("_parts").cast(PARTS_DDL).alias("parts")).cast(GEOM_TYPE)
+    open_ = F.coalesce(F.col("reject_reason") == "needs_overlay", F.lit(False))
+    tried = stored(df.filter(open_).withColumn("_parts", union_plain(F.col(f"`{wkt_col}`"))))
+    left = tried.filter("_parts is null").drop("_parts")
+    pieces = left.select(F.col(gid).alias("gid"), parse_wkt(F.col(wkt_col)).alias("w")).select("gid", pieces_of(F.col("w.members")).alias("pieces"))
+    done = dissolve(pieces).filter("parts is not null").select(F.col("gid").alias(gid), F.col("parts").cast(PARTS_DDL).alias("_parts"))
+    both = tried.filter("_parts is not null").unionByName(left.join(done, gid, "left"))
+    made = F.struct(F.lit("MULTIPOLYGON").alias("gtype"), F.lit(4326).alias("srid"), F.col("_parts").alias("parts")).cast(GEOM_TYPE)
     others = [F.col(f"`{c}`") for c in df.columns if c not in ("geometry", "reject_reason")]
-    joined = df.join(done.select(F.col("gid").alias(gid), F.col("parts").alias("_parts")), gid, "left")
-    return joined.select(*others, F.when(F.col("_parts").isNotNull(), made).otherwise(F.col("geometry")).alias("geometry"),
+    closed = both.select(*others, F.when(F.col("_parts").isNotNull(), made).otherwise(F.col("geometry")).alias("geometry"),
                          F.when(F.col("_parts").isNull(), F.col("reject_reason")).alias("reject_reason"))
+    return df.filter(~open_).select(*others, "geometry", "reject_reason").unionByName(closed)

@@ -346,7 +346,7 @@ def mixed_dissolve(spark: SparkSession, sf: str) -> DataFrame:
     """Mixed collections dissolved by the edge arrangement: parts, holes and area of the union."""
     checkpoint_dir(spark)
     rows = with_geometry(view(spark, sf, "occ_mixed"), "wkt", drop_wkt=False).withColumn("_gid", F.monotonically_increasing_id())
-    done = dissolve_mixed(rows.checkpoint(), "wkt", "_gid")
+    done = dissolve_mixed(stored(rows), "wkt", "_gid")
     parts = F.col("geometry.parts")
     holes = F.aggregate(parts, F.lit(0), lambda n, part: n + F.size(part) - 1)
     return done.groupBy("kind", F.col("geometry.gtype").alias("gtype"), F.size(parts).alias("n_parts"), holes.alias("n_holes"),

@@ -4,12 +4,16 @@ import math
 import random
 
 import numpy as np
+from frames import rows_of
 from pyspark.sql import functions as F
 
 from geospan.functions import geometry as G
 from geospan.functions.validity import is_valid
 from geospan.operators.layer import with_geometry
-from geospan.operators.overlay import dissolve, dissolve_mixed, trace_rings
+from geospan.functions.union import EDGES, union_plain
+from geospan.functions.wkt import parse_wkt
+from geospan.operators.overlay import dissolve, dissolve_mixed, pieces_of, trace_rings
+from geospan.session import stored
 
 PIECES = "gid long, pieces array<array<array<array<double>>>>"
 
@@ -95,3 +99,43 @@ def test_boundaries_that_do_not_close_are_named():
 
 def test_no_pieces(spark):
     assert dissolve(spark.createDataFrame([], PIECES)).count() == 0
+
+
+def _polygon(rng):
+    x, y, w, h = rng.randint(0, 8), rng.randint(0, 8), rng.randint(1, 5), rng.randint(1, 5)
+    ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)] if rng.random() < 0.6 else [(x, y), (x + w, y + 1), (x + 1, y + h + 1)]
+    rings = [ring] + ([[(x + 0.25, y + 0.25), (x + 0.5, y + 0.25), (x + 0.5, y + 0.5)]] if rng.random() < 0.3 and len(ring) == 4 else [])
+    turned = [r[::-1] if rng.random() < 0.5 else r for r in rings]
+    return "(" + ", ".join("(" + ", ".join(f"{a} {b}" for a, b in [*r, r[0]]) + ")" for r in turned) + ")"
+
+
+def test_batch_makes_the_union_that_the_joins_make(spark):
+    """Before, the edges of every row went through some ten shuffles, small geometries too."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(120):
+        points = [f"POINT ({rng.randint(0, 9)} {rng.randint(0, 9)})" for _ in range(rng.randint(0, 2))]
+        texts.append(f"GEOMETRYCOLLECTION ({', '.join([*points, 'POLYGON ' + _polygon(rng)])}, MULTIPOLYGON ("
+                     + ", ".join(_polygon(rng) for _ in range(rng.randint(1, 3))) + "))")
+    df = rows_of(spark, texts).withColumn("gid", F.monotonically_increasing_id()).checkpoint()
+    pieces = df.select("gid", pieces_of(parse_wkt(F.col("wkt"))["members"]).alias("pieces"))
+    want = {r.gid: r.parts for r in dissolve(pieces).collect()}
+    got = {r.gid: r.parts for r in df.select("gid", union_plain(F.col("wkt")).alias("parts")).collect()}
+    assert len(got) == 120 and all(p is not None for p in want.values())
+
+    def rings(parts):  # where rings touch, the joins may begin and link them in another order of edges
+        return sorted(round(ring_area(r), 9) for part in parts for r in part), sorted({tuple(p) for part in parts for r in part for p in r})
+    assert {g: rings(p) for g, p in got.items()} == {g: rings(p) for g, p in want.items()}
+    assert sum(got[g] == want[g] for g in got) > 60
+
+
+def test_large_and_odd_collections_are_left_to_the_joins(spark):
+    square = "POLYGON ((3 3, 5 3, 5 5, 3 5, 3 3))"
+    many = ", ".join(f"POINT ({k} 4)" for k in range(EDGES // 64 + 1))
+    texts = [f"GEOMETRYCOLLECTION ({square}, {many})", f"GEOMETRYCOLLECTION ({square}, LINESTRING (2 2, 4 4))", None, "junk",
+             f"GEOMETRYCOLLECTION ({square}, POINT (4 4))"]
+    rows = rows_of(spark, texts).coalesce(1).select("wkt", union_plain(F.col("wkt")).isNull().alias("left")).collect()
+    assert [r.left for r in rows] == [True, True, True, True, False]
+    decoded = with_geometry(rows_of(spark, texts), "wkt", drop_wkt=False).withColumn("key", F.monotonically_increasing_id())
+    done = dissolve_mixed(stored(decoded), "wkt", "key")
+    assert {r.wkt: r.reject_reason for r in done.collect()} == dict(zip(texts, [None, None, "null_wkt", "unparsable", None]))
