@@ -338,8 +338,11 @@ def _apart(s: Shapes):
     return ~_any_by(np.repeat(np.arange(len(s.parts)), s.parts)[a], meet, len(s.parts))
 
 
-def decode_plain(text: pa.Array, topology: bool):
-    """Plain texts -> ``types, shapes, reason, decided`` by row (type number, reason text or None)."""
+def decode_plain(text: pa.Array, topology: bool, rules: bool = True):
+    """Plain texts -> ``types, shapes, reason, decided`` by row (type number, reason text or None).
+
+    Without ``rules`` a geometry is whatever can be read: no rule of validity applies.
+    """
     n = len(text)
     x, y, row, ring, part, tag, of_member, members, odd = parse(text)
     s, ring_at = shapes_of(x, y, row, ring, part, n)
@@ -369,6 +372,8 @@ def decode_plain(text: pa.Array, topology: bool):
     # Rings keep four points without repeats; lines two distinct ones.
     thin = np.where(np.repeat(np.repeat(kinds, s.parts), s.rings) % 3 == _POLYGON, edges[2] < 3, (edges[2] < 1) & line)
     invalid = _any_by(row_of_ring, thin, n) & going
+    if not rules:  # but collections refuse lines of one place
+        return kinds, s, reason, decided & ~(collection & invalid)
     polygons = going & ~invalid & (kinds % 3 == _POLYGON)
     if topology and polygons.any():
         invalid[polygons] = invalid_rows(s.take(polygons))
@@ -376,7 +381,7 @@ def decode_plain(text: pa.Array, topology: bool):
     return kinds, s, reason, decided
 
 
-def _result(text: pa.Array, topology: bool) -> pa.Array:
+def _result(text: pa.Array, topology: bool, rules: bool) -> pa.Array:
     n = len(text)
     plain = pc.fill_null(pc.match_substring_regex(text, _PLAIN), False)
     unended = pc.fill_null(pc.match_substring_regex(text, _UNENDED), False).to_numpy(zero_copy_only=False)
@@ -386,7 +391,7 @@ def _result(text: pa.Array, topology: bool) -> pa.Array:
     parts = np.zeros(n, np.int64)
     s = Shapes(np.zeros(0), np.zeros(0), *(np.zeros(0, np.int64) for _ in range(3)))
     if len(at):
-        k, s, reason, known = decode_plain(text.filter(plain).cast(pa.string()), topology)
+        k, s, reason, known = decode_plain(text.filter(plain).cast(pa.string()), topology, rules)
         kinds[at], reasons[at], decided[at] = k, reason, known
         good = known & (reason == None)  # noqa: E711
         s = s.take(good)
@@ -403,10 +408,10 @@ def _result(text: pa.Array, topology: bool) -> pa.Array:
     return pa.StructArray.from_arrays([names, nested, reason], ["gtype", "parts", "reason"], mask=pa.array(~decided))
 
 
-def plain_geometry(wkt: Column, topology: bool = True) -> Column:
-    """``struct<gtype, parts, reason>`` of plain texts, all rules of validity included; null where the row is not decided here."""
+def plain_geometry(wkt: Column, topology: bool = True, rules: bool = True) -> Column:
+    """``struct<gtype, parts, reason>`` of plain texts, the rules of validity included if asked; null where the row is not decided here."""
     def decode(text: pa.Array) -> pa.Array:
-        return _result(text, topology)
+        return _result(text, topology, rules)
     # Annotations are text in this module, which Spark would take for another kind of function.
     decode.__annotations__ = {"text": pa.Array, "return": pa.Array}
     return F.arrow_udf(decode, RESULT_DDL)(F.when(F.length(wkt) <= LONGEST, wkt))

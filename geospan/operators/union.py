@@ -17,7 +17,8 @@ from geospan.functions import crs as C
 from geospan.functions import geometry as G
 from geospan.functions.collections import normalize
 from geospan.functions.cache import cached_expr
-from geospan.functions.wkt import let, parse_wkt, to_wkt
+from geospan.functions.plain import plain_geometry
+from geospan.functions.wkt import parse_wkt, to_wkt
 
 WKT_OUT = "footprintWKT"
 
@@ -30,12 +31,31 @@ def union_layers(layers: list[DataFrame]) -> DataFrame:
 
 
 @cached_expr
-def _table_wkt(wkt_col: str, srid_col: str | None) -> Column:
-    srid = F.col(f"`{srid_col}`") if srid_col else F.lit(None).cast("int")
-    geom = geometry_from_wkt(F.col(f"`{wkt_col}`"), srid)
-    return let(geom, lambda g: F.struct(
-        to_wkt(G.simplify_single_part(C.to_srid(g, C.WGS84))).alias("wkt"),
-        crs_issue(g, F.col(f"`{wkt_col}`")).alias("issue")))
+def _geometry_left(wkt_col: str, srid_col: str | None) -> Column:
+    """The expressions' geometry of a text that ``_plain`` left open, else null; see ``operators/layer.py: _decode_left``."""
+    left = F.when(F.col("_plain").isNull(), F.array(F.col(f"`{wkt_col}`")))
+    return F.get(F.transform(left, lambda w: geometry_from_wkt(w, _srid(srid_col))), F.lit(0))
+
+
+def _srid(srid_col: str | None) -> Column:
+    return F.col(f"`{srid_col}`") if srid_col else F.lit(None).cast("int")
+
+
+def _decoded(df: DataFrame, wkt_col: str, srid_col: str | None, attrs: list[Column]) -> DataFrame:
+    """``attrs``, the text and ``_geometry`` (no validity filter): plain texts by the batch, others by expressions."""
+    tried = df.withColumn("_plain", plain_geometry(F.col(f"`{wkt_col}`"), rules=False))
+    staged = tried.select(*attrs, F.col(f"`{wkt_col}`").alias("_wkt"), F.col("_plain"), _srid(srid_col).alias("_srid"),
+                          _geometry_left(wkt_col, srid_col).alias("_slow"))
+    p = F.col("_plain")
+    made = F.when(p["reason"].isNull(), G.make_geom(p["gtype"], p["parts"], F.col("_srid")))
+    return staged.select(*attrs, F.col("_wkt"), F.when(p.isNotNull(), made).otherwise(F.col("_slow")).alias("_geometry"))
+
+
+@cached_expr
+def _out(geometry_col: str, wkt_col: str | None) -> Column:
+    g = F.col(f"`{geometry_col}`")
+    return F.struct(to_wkt(G.simplify_single_part(C.to_srid(g, C.WGS84))).alias("wkt"),
+                    crs_issue(g, F.col(wkt_col) if wkt_col else F.lit(None)).alias("issue"))
 
 
 def crs_issue(geom: Column, wkt: Column) -> Column:
@@ -61,16 +81,13 @@ def to_table(layers: list[DataFrame], wkt_col: str = "wkt", srid_col: str | None
     (``missing_crs`` / ``unsupported_crs``) instead of failing the job.
     """
     df = union_layers(layers)
+    drop = [geometry_col] if geometry_col else [c for c in (wkt_col, srid_col) if c]
+    attrs = [F.col(f"`{c}`") for c in df.columns if c not in drop]
     if geometry_col is None:
-        conv = _table_wkt(wkt_col, srid_col)
-        drop = [c for c in (wkt_col, srid_col) if c]
+        df, conv = _decoded(df, wkt_col, srid_col, attrs), _out("_geometry", "_wkt")
     else:
-        g = F.col(f"`{geometry_col}`")
-        conv = F.struct(to_wkt(G.simplify_single_part(C.to_srid(g, C.WGS84))).alias("wkt"),
-                        crs_issue(g, F.lit(None)).alias("issue"))
-        drop = [geometry_col]
-    attrs = [c for c in df.columns if c not in drop]
-    return df.select(*[F.col(f"`{c}`") for c in attrs], conv["issue"].alias("geometry_issue"), conv["wkt"].alias(WKT_OUT))
+        conv = _out(geometry_col, None)
+    return df.select(*attrs, conv["issue"].alias("geometry_issue"), conv["wkt"].alias(WKT_OUT))
 
 
 def table_issues(layers: list[DataFrame], srid_col: str = "srid") -> DataFrame:
