@@ -27,13 +27,13 @@ class NoGeometry(ValueError):
 def layer_columns(layer: DataFrame) -> DataFrame:
     """Promote to Multi*, add WKT, SRID and bounds columns (bounds give
     parquet min/max statistics usable as a coarse spatial filter)."""
-    geom = G.promote_to_multi(F.col("geometry"))
-    b = G.bounds(F.col("geometry"))
     attrs = [F.col(f"`{c}`") for c in layer.columns if c not in ("geometry", "reject_reason")]
-    return layer.select(
-        *attrs, F.col("reject_reason"),
-        geom.alias("geometry"), to_wkt(geom).alias("geometry_wkt"),
-        F.col("geometry.srid").alias("srid"),
+    # Both are columns of their own first, so that they are computed once for all that is made of them.
+    staged = layer.select(*attrs, F.col("reject_reason"), G.promote_to_multi(F.col("geometry")).alias("geometry"),
+                          G.bounds(F.col("geometry")).alias("_bounds"))
+    g, b = F.col("geometry"), F.col("_bounds")
+    return staged.select(
+        *attrs, F.col("reject_reason"), g, to_wkt(g).alias("geometry_wkt"), g["srid"].alias("srid"),
         b["minx"].alias("minx"), b["miny"].alias("miny"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy"),
     )
 

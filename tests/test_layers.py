@@ -144,3 +144,20 @@ def test_both_validity_paths_give_equal_answers(spark):
     joined = {r.id: r.reject_reason for r in to_layer(df, "wkt", big_geometry_vertices=3).collect()}
     assert [joined[i] for i in range(len(fixed))] == list(fixed.values())
     assert inrow == joined and 20 < sum(v is None for v in joined.values()) < len(made) - 20
+
+
+def test_bounds_are_planned_once_and_points_are_their_own_centroids(spark):
+    """Before, each of the four bounds columns held the whole expression, and a point's centroid all moments of its rings."""
+    from geospan.functions import geometry as G
+    from geospan.operators.layer import with_geometry
+    from geospan.sinks.layers import layer_columns
+    texts = ["POINT (1 2)", "MULTIPOINT (1 2, 3 6)", "POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))", "POINT EMPTY", None]
+    layer = with_geometry(spark.createDataFrame([(t,) for t in texts], "wkt string"), "wkt", drop_wkt=False).checkpoint()
+    out = layer_columns(layer)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min") == 2 and plan.count("array_max") == 2
+    got = {r.wkt: (r.geometry_wkt, r.srid, r.minx, r.miny, r.maxx, r.maxy) for r in out.collect()}
+    assert got["MULTIPOINT (1 2, 3 6)"] == ("MULTIPOINT ((1 2), (3 6))", 4326, 1, 2, 3, 6)
+    assert got["POINT (1 2)"] == ("MULTIPOINT ((1 2))", 4326, 1, 2, 1, 2) and got[None] == got["POINT EMPTY"] == (None,) * 6
+    centres = {r.wkt: r.c and (r.c.gtype, r.c.srid, r.c.parts) for r in layer.select("wkt", G.centroid(layer["geometry"]).alias("c")).collect()}
+    assert [centres[t] for t in texts] == [("POINT", 4326, [[[[1, 2]]]]), ("POINT", 4326, [[[[2, 4]]]]), ("POINT", 4326, [[[[1, 1]]]]), None, None]
