@@ -29,7 +29,7 @@ from geospan.functions.collections import _FULL, _STEP, BUFFER_DISTANCE
 #: Longer texts are left to the expressions (and the distributed check), so that a batch stays small.
 LONGEST = 4096
 #: Pairs of edges that are held against each other at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 RESULT_DDL = "struct<gtype:string,parts:array<array<array<array<double>>>>,reason:string>"
 
 TYPES = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
@@ -84,6 +84,14 @@ class Shapes:
         point = np.repeat(ring, self.points)
         return Shapes(self.x[point], self.y[point], self.points[ring], self.rings[part], self.parts[rows])
 
+    def between(self, first, last):
+        """The shapes of the rows from ``first`` up to ``last``, which is left out."""
+        part, ring, point = (_starts(c) for c in (self.parts, self.rings, self.points))
+        p, q = part[first], part[last]
+        r, t = ring[p], ring[q]
+        v, w = point[r], point[t]
+        return Shapes(self.x[v:w], self.y[v:w], self.points[r:t], self.rings[p:q], self.parts[first:last])
+
 
 def parse(text: pa.Array):
     """``x, y, row, ring start, part start, member start, type of the member`` by point, ``members`` by row, ``odd`` rows; of plain texts."""
@@ -213,9 +221,7 @@ def invalid_rows(s: Shapes):
         few = s.take(open_)
         counts = np.bincount(few.row_of_ring(), few.points, len(whole)).astype(np.int64)
         for block in _pair_blocks(counts):
-            chosen = np.zeros(len(whole), bool)
-            chosen[block] = True
-            bad[whole[block]] = _broken(few.take(chosen))
+            bad[whole[block]] = _broken(few.between(block[0], block[-1] + 1))
     return bad
 
 
@@ -226,37 +232,41 @@ def _broken(s: Shapes):
     ring, i, m, x1, y1, x2, y2 = _edges(s)
     per_row = np.bincount(row[ring], minlength=n)
     bad = np.zeros(n, bool)
+    left, right, low, high = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
     # Every pair of edges of a row.
     mine = row[ring]
     later = per_row[mine] - 1 - _within_run(per_row)
     a = np.repeat(np.arange(len(ring)), later)
     b = a + 1 + _within_run(later)
-    near = ((np.minimum(x1[a], x2[a]) <= np.maximum(x1[b], x2[b])) & (np.minimum(x1[b], x2[b]) <= np.maximum(x1[a], x2[a]))
-            & (np.minimum(y1[a], y2[a]) <= np.maximum(y1[b], y2[b])) & (np.minimum(y1[b], y2[b]) <= np.maximum(y1[a], y2[a])))
-    a, b = a[near], b[near]
+    for least, most in ((left, right), (low, high)):
+        near = (least[a] <= most[b]) & (least[b] <= most[a])
+        a, b = a[near], b[near]
     bad |= _any_by(mine[a], _conflict(ring, i, m, x1, y1, x2, y2, a, b), n)
     # Every vertex against the edges of the other rings of its row.
-    many = np.bincount(row, minlength=n) > 1
-    if not many.any():
-        return bad
+    rings = np.bincount(row, minlength=n)
     of_point = np.repeat(np.arange(len(s.points)), s.points)
-    probes = np.flatnonzero(many[row[of_point]])
-    first_edge = _starts(per_row)[:-1]
-    k = per_row[row[of_point[probes]]]
+    probes = np.flatnonzero(rings[row[of_point]] > 1)
+    if not len(probes):
+        return bad
+    # One entry for each vertex and other ring; edges count only where they reach the vertex's y.
+    k = rings[row[of_point[probes]]]
     v = np.repeat(probes, k)
-    e = np.repeat(first_edge[row[of_point[probes]]], k) + _within_run(k)
-    other = ring[e] != of_point[v]
-    v, e = v[other], e[other]
-    px, py = s.x[v], s.y[v]
-    on = (_orient(x1[e], y1[e], x2[e], y2[e], px, py) == 0) & _between(px, x1[e], x2[e]) & _between(py, y1[e], y2[e])
+    t = np.repeat(_starts(rings)[row[of_point[probes]]], k) + _within_run(k)
+    other = t != of_point[v]
+    v, t = v[other], t[other]
+    first = _starts(s.points)[:-1]
+    reached = np.flatnonzero((np.minimum.reduceat(s.y, first)[t] <= s.y[v]) & (s.y[v] <= np.maximum.reduceat(s.y, first)[t]))
+    k = m[t[reached]]
+    entry = np.repeat(reached, k)
+    e = np.repeat(_starts(m)[t[reached]], k) + _within_run(k)
+    py = s.y[v[entry]]
+    near = (low[e] <= py) & (py <= high[e])
+    entry, e, py = entry[near], e[near], py[near]
+    px = s.x[v[entry]]
+    on = (_orient(x1[e], y1[e], x2[e], y2[e], px, py) == 0) & (left[e] <= px) & (px <= right[e])
     with np.errstate(divide="ignore", invalid="ignore"):
         cross = ((y1[e] > py) != (y2[e] > py)) & (px < (x2[e] - x1[e]) * (py - y1[e]) / (y2[e] - y1[e]) + x1[e])
-    # One entry for each vertex and other ring: edges lie in the order of rings.
-    new = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (ring[e][1:] != ring[e][:-1])))) if len(v) else np.zeros(0, int)
-    if not len(new):
-        return bad
-    v, t = v[new], ring[e][new]
-    on, inside = np.logical_or.reduceat(on, new), np.add.reduceat(cross.astype(np.int64), new) % 2 == 1
+    on, inside = _any_by(entry, on, len(v)), np.bincount(entry[cross], minlength=len(v)) % 2 == 1
     mine, r = of_point[v], row[of_point[v]]
     same = part[mine] == part[t]
     hole, of_shell = number[mine] > 0, number[t] == 0
@@ -271,7 +281,8 @@ def _broken(s: Shapes):
         bad[row[of_point[np.setdiff1d(well, spared) // len(s.rings)]]] = True
     touch = np.flatnonzero(same & on & ~bad[r])
     if len(touch):
-        bad |= _cut(touch, part[mine], mine, t, s.x[v], s.y[v], r, n)
+        point = _places(part[mine[touch]], s.x[v[touch]], s.y[v[touch]])
+        bad[row[_in_cycles(np.concatenate((mine[touch], t[touch])), np.tile(point, 2))]] = True
     return bad
 
 
@@ -296,23 +307,30 @@ def _conflict(ring, i, m, x1, y1, x2, y2, a, b):
     return np.where(adjacent, overlap, np.where(same, proper | touch | overlap, proper | overlap))
 
 
-def _cut(touch, part, mine, other, x, y, row, n):
-    """Rows in which rings and touching points of a polygon make a cycle (union-find over the touches)."""
-    bad = np.zeros(n, bool)
-    ties = {(p, r, px, py, w) for p, a, b, px, py, w in zip(*(c[touch].tolist() for c in (part, mine, other, x, y, row))) for r in (a, b)}
-    root: dict = {}
-
-    def find(v):
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-    for p, r, px, py, w in ties:
-        ring, point = find((p, r)), find((p, px, py))
-        if ring == point:
-            bad[w] = True
-        root[ring] = point
-    return bad
+def _places(part, x, y):
+    """Numbers from 0 for the distinct points of each part."""
+    order = np.lexsort((y, x, part))
+    new = np.concatenate(([False], np.any([np.diff(c[order]) != 0 for c in (part, x, y)], axis=0)))
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new)
+    return place
+
+
+def _in_cycles(ring, point):
+    """The rings that hang together, by the points at which they touch, with a cycle: as many ties as rings and points, or more."""
+    n = point.max() + 1
+    ties = np.unique(ring * n + point)
+    a, b = ties % n, n + ties // n
+    root = np.arange(b.max() + 1)
+    while True:
+        p, q = root[a], root[b]
+        if (p == q).all():
+            break
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root != root[root]).any():
+            root = root[root]
+    held = np.bincount(p, minlength=len(root)) >= np.bincount(root[np.unique(np.concatenate((a, b)))], minlength=len(root))
+    return b[held[p]] - n
 
 
 def _buffered(s: Shapes, buffer):
@@ -381,7 +399,7 @@ def decode_plain(text: pa.Array, topology: bool, rules: bool = True):
     return kinds, s, reason, decided
 
 
-def _result(text: pa.Array, topology: bool, rules: bool) -> pa.Array:
+def _result(text: pa.Array, topology: bool, rules: bool, geometry: bool = True) -> pa.Array:
     n = len(text)
     plain = pc.fill_null(pc.match_substring_regex(text, _PLAIN), False)
     unended = pc.fill_null(pc.match_substring_regex(text, _UNENDED), False).to_numpy(zero_copy_only=False)
@@ -393,10 +411,13 @@ def _result(text: pa.Array, topology: bool, rules: bool) -> pa.Array:
     if len(at):
         k, s, reason, known = decode_plain(text.filter(plain).cast(pa.string()), topology, rules)
         kinds[at], reasons[at], decided[at] = k, reason, known
-        good = known & (reason == None)  # noqa: E711
-        s = s.take(good)
-        parts[at[good]] = s.parts
+        if geometry:
+            good = known & (reason == None)  # noqa: E711
+            s = s.take(good)
+            parts[at[good]] = s.parts
     reason = pa.array(reasons, pa.string())
+    if not geometry:
+        return pa.StructArray.from_arrays([reason], ["reason"], mask=pa.array(~decided))
     empty = ~(decided & (reasons == None))  # noqa: E711
 
     def lists(counts, values, mask=None):
@@ -408,13 +429,30 @@ def _result(text: pa.Array, topology: bool, rules: bool) -> pa.Array:
     return pa.StructArray.from_arrays([names, nested, reason], ["gtype", "parts", "reason"], mask=pa.array(~decided))
 
 
-def plain_geometry(wkt: Column, topology: bool = True, rules: bool = True) -> Column:
-    """``struct<gtype, parts, reason>`` of plain texts, the rules of validity included if asked; null where the row is not decided here."""
+def plain_geometry(wkt: Column, topology: bool = True, rules: bool = True, geometry: bool = True) -> Column:
+    """``struct<gtype, parts, reason>`` of plain texts, the rules of validity included if asked; null where the row is not decided here.
+
+    Without ``geometry`` it is ``struct<reason>``: the same decode and rules, but no shape leaves the batch.
+    """
     def decode(text: pa.Array) -> pa.Array:
-        return _result(text, topology, rules)
+        return _result(text, topology, rules, geometry)
     # Annotations are text in this module, which Spark would take for another kind of function.
     decode.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return F.arrow_udf(decode, RESULT_DDL)(F.when(F.length(wkt) <= LONGEST, wkt))
+    return F.arrow_udf(decode, RESULT_DDL if geometry else "struct<reason:string>")(F.when(F.length(wkt) <= LONGEST, wkt))
+
+
+def cyclic_touches(touches: Column) -> Column:
+    """Whether the rings of a polygon and the points at which they touch, an array of ``struct<r, x, y>``, make a cycle."""
+    def decide(held: pa.Array) -> pa.Array:
+        cyclic = np.zeros(len(held), bool)
+        r, x, y = (c.to_numpy(zero_copy_only=False) for c in held.flatten().flatten())
+        if len(r):
+            part = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False))
+            rings, ring = np.unique(part * (int(r.max()) + 1) + r, return_inverse=True)
+            cyclic[rings[_in_cycles(ring, _places(part, x, y))] // (int(r.max()) + 1)] = True
+        return pa.array(cyclic)
+    decide.__annotations__ = {"held": pa.Array, "return": pa.Array}
+    return F.arrow_udf(decide, "boolean")(touches)
 
 
 # Workers need no copy of the package: the functions travel with the plan.

@@ -82,33 +82,41 @@ def _decode_left(wkt_col: str, srid: int | str, topology: bool = True) -> Column
     return F.get(F.transform(left, lambda w: decode_geometry(w, _srid_col(srid), topology)), F.lit(0))
 
 
-def _decoded_rows(df: DataFrame, wkt_col: str, srid: int | str, keep: list[str], topology: bool = True) -> DataFrame:
-    """``keep`` and ``_decoded`` (``struct<geometry, reason>``): plain texts by the batch, others by expressions.
+def _decoded_rows(df: DataFrame, wkt_col: str, srid: int | str, keep: list[str], topology: bool = True,
+                  geometry: bool = True) -> DataFrame:
+    """``keep`` and ``_decoded`` (``struct<geometry, reason>``, or the reason alone): plain texts by the batch, others by expressions.
 
     For the others, polygons whose touching rings cut their interior are found on the decoded column.
     """
-    tried = df.withColumn("_plain", plain_geometry(F.col(f"`{wkt_col}`"), topology))
+    tried = df.withColumn("_plain", plain_geometry(F.col(f"`{wkt_col}`"), topology, geometry=geometry))
     staged = tried.select(*(F.col(f"`{c}`") for c in keep), F.col("_plain"), _decode_left(wkt_col, srid, topology).alias("_slow"),
                           (_srid_col(srid) if isinstance(srid, str) else F.lit(srid)).alias("_srid"))
     p, d = F.col("_plain"), F.col("_slow")
-    geom = F.when(p["reason"].isNull(), G.make_geom(p["gtype"], p["parts"], F.col("_srid")))
     cut = F.coalesce(V.interior_cut(d["geometry"]), F.lit(False)) if topology else F.lit(False)
-    return staged.select(*(F.col(f"`{c}`") for c in keep), F.struct(
-        F.when(p.isNotNull(), geom).when(~cut, d["geometry"]).alias("geometry"),
-        F.when(p.isNotNull(), p["reason"]).when(cut, F.lit("invalid")).otherwise(d["reason"]).alias("reason")).alias("_decoded"))
+    reason = F.when(p.isNotNull(), p["reason"]).when(cut, F.lit("invalid")).otherwise(d["reason"]).alias("reason")
+    fields = [reason]
+    if geometry:
+        geom = F.when(p["reason"].isNull(), G.make_geom(p["gtype"], p["parts"], F.col("_srid")))
+        fields.insert(0, F.when(p.isNotNull(), geom).when(~cut, d["geometry"]).alias("geometry"))
+    return staged.select(*(F.col(f"`{c}`") for c in keep), F.struct(*fields).alias("_decoded"))
 
 
 def with_geometry(df: DataFrame, wkt_col: str, srid: int | str = C.WGS84,
-                  drop_wkt: bool = True, topology: bool = True) -> DataFrame:
+                  drop_wkt: bool = True, topology: bool = True, geometry: bool = True) -> DataFrame:
     """Add ``geometry`` and ``reject_reason``; P04 drops the WKT column.
 
     ``srid`` is an EPSG code or the name of a column holding one per row.
     ``topology=False`` leaves the edge/nesting rules to the shuffle-based
     check of :mod:`geospan.operators.validity` (for very large geometries).
+    ``geometry=False`` adds the reason alone, by the same decode and checks: for
+    a caller that reads no geometry, none is carried from the batch to the rows.
     """
     drop = wkt_col if drop_wkt else None
     keep = [c for c in df.columns if c != drop and c not in ("geometry", "reject_reason")]
-    return _expand(_decoded_rows(df, wkt_col, srid, keep, topology), F.col("_decoded"), "_decoded")
+    decoded = _decoded_rows(df, wkt_col, srid, keep, topology, geometry)
+    if not geometry:
+        return decoded.select(*(F.col(f"`{c}`") for c in keep), F.col("_decoded.reason").alias("reject_reason"))
+    return _expand(decoded, F.col("_decoded"), "_decoded")
 
 
 def _expand(df: DataFrame, decoded: Column, drop: str | None) -> DataFrame:

@@ -23,11 +23,11 @@ the runtime size allows, and keeps a shuffle join otherwise).
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geospan.functions.geometry import POLYGONAL, seq
+from geospan.functions.plain import cyclic_touches
 from geospan.functions.validity import boxes_meet, dedup_ring, edge_conflict, orient, within
 from geospan.functions.wkt import let
 
@@ -207,34 +207,18 @@ def invalid_nesting(edges: DataFrame) -> DataFrame:
     return nested.union(out_of_shell).distinct()
 
 
-def _has_cycle(table: pa.Table) -> pa.Table:
-    """Union-find over the rings and touching points of one polygon."""
-    root: dict = {}
-
-    def find(v):
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-    cyclic = False
-    for r, x, y in set(zip(*(table[c].to_pylist() for c in ("r", "x", "y")))):
-        ring, point = find(r), find((x, y))
-        cyclic |= ring == point
-        root[ring] = point
-    return pa.table({"gid": table["gid"][:1], "cyclic": [cyclic]})
-
-
 def invalid_interior(edges: DataFrame) -> DataFrame:
     """Geometry ids of which touching rings cut a polygon's interior in two.
 
     Vertices that lie on another ring of their polygon come from the join on
-    y-bands; only these touches, few in sane data, are gathered by polygon.
+    y-bands; only these touches, few in sane data, are gathered by polygon,
+    and many polygons are decided in one batch.
     """
     lines, probes = _by_band(edges)
     met = probes.join(lines, ["gid", "band"]).filter((F.col("tj") == F.col("j")) & (F.col("tr") != F.col("r")) & _on_line())
     ends = met.select("gid", "j", F.explode(F.array("r", "tr")).alias("r"), F.col("px").alias("x"), F.col("py").alias("y")).distinct()
-    kind = edges.schema["gid"].dataType.simpleString()
-    return (ends.groupBy("gid", "j").applyInArrow(_has_cycle, f"gid {kind}, cyclic boolean").filter("cyclic").select("gid").distinct())
+    held = ends.groupBy("gid", "j").agg(F.collect_list(F.struct("r", "x", "y")).alias("touches"))
+    return held.filter(cyclic_touches(F.col("touches"))).select("gid").distinct()
 
 
 def invalid_geometries(df: DataFrame, gid: str = "_gid", geom: str = "geometry") -> DataFrame:

@@ -299,11 +299,15 @@ group by 1
 def touching_rings(spark: SparkSession, sf: str) -> DataFrame:
     """Validity of polygons whose rings touch: each row's own check and the distributed one."""
     checkpoint_dir(spark)
-    occ = view(spark, sf, "occ_touching")
-    rows = with_geometry(occ, "wkt", drop_wkt=False).select("kind", "wkt", F.col("reject_reason").alias("by_row"))
-    shapes = with_geometry(occ.select("wkt").distinct(), "wkt", drop_wkt=False, topology=False).select("wkt", "geometry")
-    bad = invalid_geometries(shapes.checkpoint(), "wkt").select(F.col("gid").alias("wkt"), F.lit("invalid").alias("by_join"))
-    return rows.join(bad, "wkt", "left").groupBy("kind", "by_row", "by_join").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = with_geometry(view(spark, sf, "occ_touching"), "wkt", drop_wkt=False, geometry=False)
+    # Counted before the join and kept: the second check takes its texts from here and does not make them again.
+    counts = stored(rows.groupBy("kind", "wkt", F.col("reject_reason").alias("by_row")).agg(F.count(F.lit(1)).alias("n")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))     # named, so that few bytes of text do not become one task of edges
+    shapes = with_geometry(counts.select("wkt").repartition(tasks, "wkt").distinct(), "wkt", drop_wkt=False, topology=False).select("wkt", "geometry")
+    shapes = stored(shapes.withColumn("_gid", F.monotonically_increasing_id()))     # edges carry an id, not the text
+    bad = invalid_geometries(shapes, "_gid").withColumnRenamed("gid", "_gid")
+    texts = shapes.select("wkt", "_gid").join(bad, "_gid").select("wkt", F.lit("invalid").alias("by_join"))
+    return counts.join(texts, "wkt", "left").groupBy("kind", "by_row", "by_join").agg(F.sum("n").alias("n_rows"))
 
 
 TOUCHING_RINGS = f"""
