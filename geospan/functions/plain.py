@@ -225,19 +225,28 @@ def invalid_rows(s: Shapes):
     return bad
 
 
-def _broken(s: Shapes):
+def _pairs_of(counts):
+    """Every pair of items of the same run, of runs of these lengths."""
+    later = np.repeat(counts, counts) - 1 - _within_run(counts)
+    a = np.repeat(np.arange(len(later)), later)
+    return a, a + 1 + _within_run(later)
+
+
+def _row_pairs(mine, n, *_):
+    """Every pair of edges of a row."""
+    return _pairs_of(np.bincount(mine, minlength=n))
+
+
+def _broken(s: Shapes, pairs=_row_pairs):
+    """Rows that break a rule; ``pairs`` names the edges that are held against each other."""
     n, row = len(s.parts), s.row_of_ring()
     part = np.repeat(np.arange(len(s.rings)), s.rings)
     number = _within_run(s.rings)
     ring, i, m, x1, y1, x2, y2 = _edges(s)
-    per_row = np.bincount(row[ring], minlength=n)
     bad = np.zeros(n, bool)
     left, right, low, high = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
-    # Every pair of edges of a row.
     mine = row[ring]
-    later = per_row[mine] - 1 - _within_run(per_row)
-    a = np.repeat(np.arange(len(ring)), later)
-    b = a + 1 + _within_run(later)
+    a, b = pairs(mine, n, x1, y1, x2, y2)
     for least, most in ((left, right), (low, high)):
         near = (least[a] <= most[b]) & (least[b] <= most[a])
         a, b = a[near], b[near]

@@ -16,6 +16,10 @@ that is quadratic work in one row, so this operator spreads it out:
 5. vertices that lie on another ring of their polygon make a graph of rings and
    touching points, whose cycles cut the interior.
 
+Small geometries take the same steps within a batch of rows
+(:mod:`geospan.functions.grid`): all their edges come out of one row, so no edge
+of theirs is shuffled. Only the others are exploded into rows.
+
 The result is the set of invalid geometry ids, which is small next to the
 input; the caller anti-joins it (AQE turns that into a broadcast join when
 the runtime size allows, and keeps a shuffle join otherwise).
@@ -27,15 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geospan.functions.geometry import POLYGONAL, seq
+from geospan.functions.grid import COPIES, EDGES, FEW, invalid_small, points_in
 from geospan.functions.plain import cyclic_touches
 from geospan.functions.validity import boxes_meet, dedup_ring, edge_conflict, orient, within
-from geospan.functions.wkt import let
-
+from geospan.functions.wkt import GEOM_TYPE, PARTS_DDL, let
+from geospan.session import stored
 
-#: Copies of an edge in the grid: at most about this many on average, and two more.
-COPIES = 8
-#: A geometry of up to so many edges is one cell: its few pairs cost less than copies of its edges.
-FEW = 24
 #: A cell with more edges than this is dealt to several tasks.
 DENSE = 512
 
@@ -222,6 +223,18 @@ def invalid_interior(edges: DataFrame) -> DataFrame:
 
 
 def invalid_geometries(df: DataFrame, gid: str = "_gid", geom: str = "geometry") -> DataFrame:
-    """G04 (edges, nesting of rings, connected interior) over a whole table: the ids of invalid polygonal rows."""
-    edges = edges_of(df, gid, geom)
-    return invalid_by_edges(edges).union(invalid_nesting(edges)).union(invalid_interior(edges)).distinct()
+    """G04 (edges, nesting of rings, connected interior) over a whole table: the ids of invalid polygonal rows.
+
+    ``df`` is read twice, small geometries and large: store it or cut it with a
+    checkpoint. The joins of the small ones are made at once, in one pass over
+    the rows; what it finds, and the geometries left to the shuffled joins, are
+    kept in the checkpoint folder.
+    """
+    poly = df.filter(F.col(f"{geom}.gtype").isin(*POLYGONAL)).select(F.col(gid).alias("gid"), F.col(f"{geom}.parts").alias("parts"))
+    large = poly.filter(points_in(F.col("parts")) > EDGES).select("gid", F.lit(None).cast("boolean").alias("bad"), "parts")
+    held = stored(invalid_small(poly).union(large))
+    left = held.filter("bad is null").select("gid", F.struct(F.lit("MULTIPOLYGON").alias("gtype"), F.lit(4326).alias("srid"),
+                                                             F.col("parts").cast(PARTS_DDL).alias("parts")).cast(GEOM_TYPE).alias("geometry"))
+    edges = edges_of(left, "gid")
+    small = held.filter("bad").select("gid")
+    return small.union(invalid_by_edges(edges)).union(invalid_nesting(edges)).union(invalid_interior(edges)).distinct()

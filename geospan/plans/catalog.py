@@ -191,7 +191,7 @@ from {view_sql('occ_bowtie')} v
 
 def bowtie_validity_join(spark: SparkSession, sf: str) -> DataFrame:
     """G04 by the distributed edge grid join (the path for very large rings)."""
-    d = with_geometry(view(spark, sf, "occ_bowtie"), "wkt", topology=False) \
+    d = with_geometry(view(spark, sf, "occ_bowtie").select("l_orderkey", "l_linenumber", "kind", "wkt"), "wkt", topology=False) \
         .withColumn("_gid", F.monotonically_increasing_id())
     d = stored(d)               # ids stay fixed: the table is read twice below
     bad = invalid_geometries(d, "_gid")

@@ -53,5 +53,5 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the checkpoint folder and read back: fixed like a checkpoint, but smaller, and read by column."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
