@@ -217,8 +217,17 @@ def y_of(point_geom: Column) -> Column:
 @bind_geometry
 def area(geom: Column) -> Column:
     """Planar area (shells minus holes) in the units of the geometry's CRS."""
+    def ring_area(ring):
+        def of_first(o):
+            def step(acc, p):
+                return F.struct((acc["c2"] + (acc["x"] * (p[1] - o[1]) - (p[0] - o[0]) * acc["y"])).alias("c2"),
+                                (p[0] - o[0]).alias("x"), (p[1] - o[1]).alias("y"))
+            zero = F.struct(*(F.lit(0.0).alias(c) for c in ("c2", "x", "y")))
+            return F.abs(F.aggregate(ring, zero, step, lambda acc: acc["c2"])) / 2
+        return let(F.get(ring, F.lit(0)), of_first)
+
     rings = F.flatten(F.transform(geom["parts"], lambda pa: F.transform(
-        pa, lambda r, k: F.when(k == 0, 1.0).otherwise(-1.0) * F.abs(_ring_moments(r)["c2"]) / 2)))
+        pa, lambda r, k: F.when(k == 0, 1.0).otherwise(-1.0) * ring_area(r))))
     return F.when(geom["gtype"].isin(*POLYGONAL), F.aggregate(rings, F.lit(0.0), lambda a, v: a + v)) \
         .otherwise(F.lit(0.0))
 

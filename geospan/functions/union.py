@@ -169,14 +169,14 @@ def _boundary(e: Edges):
     row, forth, lx, ly, hx, hy = (c[one] for c in (row[at], forth, lx[at], ly[at], hx[at], hy[at]))
     number = np.cumsum(one) - 1
     owned = one[place]
-    owners = np.unique(number[place[owned]] * e.pieces + piece[owned])
+    owners = np.sort(number[place[owned]] * e.pieces + piece[owned])
     mx, my = (np.where(forth, lx, hx) + np.where(forth, hx, lx)) / 2, (np.where(forth, ly, hy) + np.where(forth, hy, ly)) / 2
     keep = ~_inside_others(e, row, mx, my, owners)
     return tuple(c[keep] for c in (row, np.where(forth, lx, hx), np.where(forth, ly, hy), np.where(forth, hx, lx), np.where(forth, hy, ly)))
 
 
 def _inside_others(e: Edges, row, mx, my, owners):
-    """Whether points lie inside a piece of their row; ``owners`` (point * pieces + piece) are not asked."""
+    """Whether points lie inside a piece of their row; ``owners`` (point * pieces + piece, sorted) are not asked."""
     held, first = np.unique(e.piece, return_index=True)
     x0, x1, y0, y1 = (f.reduceat(c, first) for f, c in zip((np.minimum, np.maximum) * 2, e.boxes()))
     n_edges = np.diff(np.append(first, len(e.piece)))
@@ -187,7 +187,8 @@ def _inside_others(e: Edges, row, mx, my, owners):
     px, py = mx[point], my[point]
     near = (px >= x0[box]) & (px <= x1[box]) & (py >= y0[box]) & (py <= y1[box])
     point, box = point[near], box[near]
-    asked = ~np.isin(point * e.pieces + held[box], owners)
+    key = point * e.pieces + held[box]
+    asked = np.searchsorted(owners, key, side="right") == np.searchsorted(owners, key)
     point, box = point[asked], box[asked]
     inside = np.zeros(len(row), bool)
     if len(point):
@@ -200,24 +201,76 @@ def _inside_others(e: Edges, row, mx, my, owners):
     return inside
 
 
-def _simple_rings(row, x1, y1, x2, y2, rows):
-    """Rings of rows whose boundary passes each vertex once and has shells only: ``shapes, known`` rows.
+def _linked(row, order, x1, y1, x2, y2, rows):
+    """``follow`` (the edge after each), ``vertex`` of its start, rows that are not linked one to one.
 
-    The edges come in the order of their starts; an edge's ring is the least
-    edge of its cycle, its place the steps left to it, found by doubling.
+    The edges come in the order of their starts, ``order`` is that of their ends. Where
+    several edges leave a vertex, it is the first clockwise from where an edge came.
     """
     n = len(row)
-    first = np.ones(n, bool)
-    first[1:] = (row[1:] != row[:-1]) | (x1[1:] != x1[:-1]) | (y1[1:] != y1[:-1])
+    follow = np.empty(n, np.int64)
+    follow[order] = np.arange(n)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (x1[1:] != x1[:-1]) | (y1[1:] != y1[:-1])
+    vertex = np.cumsum(fresh) - 1
+    size = np.bincount(vertex)[vertex] if n else np.zeros(0, np.int64)
+    at = np.flatnonzero(size > 1)
+    if not len(at):
+        return follow, vertex, np.zeros(rows, bool)
+    came = np.repeat(order[at], size[at])
+    way = np.repeat(np.flatnonzero(fresh)[vertex[at]], size[at]) + P._within_run(size[at])
+    turn = (np.arctan2(y1[came] - y2[came], x1[came] - x2[came]) - np.arctan2(y2[way] - y1[way], x2[way] - x1[way])) % (2 * np.pi)
+    turn[turn == 0] = 2 * np.pi
+    best = np.lexsort((turn, came))
+    best = best[np.concatenate(([True], came[best][1:] != came[best][:-1]))]
+    odd = P._any_by(row[at], np.bincount(way[best], minlength=n)[at] != 1, rows)
+    best = best[~odd[row[came[best]]]]
+    follow[came[best]] = way[best]
+    return follow, vertex, odd
+
+
+def _homes(x, y, after, start, size, area, ring_row):
+    """The shell of each hole: the least of its row around the middle of the hole's first edge, or -1; shells are their own."""
+    home = np.arange(len(start))
+    holes, shells = np.flatnonzero(area < 0), np.flatnonzero(area > 0)
+    low, high = (np.searchsorted(ring_row[shells], ring_row[holes], side=s) for s in ("left", "right"))
+    hole = np.repeat(holes, high - low)
+    shell = shells[np.repeat(low, high - low) + P._within_run(high - low)]
+    ask = np.repeat(np.arange(len(hole)), size[shell])
+    a = np.repeat(start[shell], size[shell]) + P._within_run(size[shell])
+    b = after[a]
+    first = start[hole]
+    px, py = ((c[first] + c[after[first]]) / 2 for c in (x, y))
+    px, py = px[ask], py[ask]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crossed = ((y[a] > py) != (y[b] > py)) & (px < (x[b] - x[a]) * (py - y[a]) / (y[b] - y[a]) + x[a])
+    inside = np.bincount(ask[crossed], minlength=len(hole)) % 2 == 1
+    hole, shell = hole[inside], shell[inside]
+    order = np.lexsort((shell, area[shell], hole))
+    hole, shell = hole[order], shell[order]
+    one = np.ones(len(hole), bool)
+    one[1:] = hole[1:] != hole[:-1]
+    home[holes] = -1
+    home[hole[one]] = shell[one]
+    return home
+
+
+def _simple_rings(row, x1, y1, x2, y2, rows):
+    """Rings of rows whose rings pass none of their vertices twice, as :func:`trace_rings` finds them: ``shapes, known`` rows.
+
+    The edges come in the order of their starts and ends; an edge's ring is the
+    least edge of its cycle, its place the steps left to it, found by doubling.
+    """
     order = np.lexsort((y2, x2, row))
-    paired = first & (row == row[order]) & (x1 == x2[order]) & (y1 == y2[order])
+    paired = (row == row[order]) & (x1 == x2[order]) & (y1 == y2[order])
     known = (np.bincount(row, minlength=rows) > 0) & ~P._any_by(row, ~paired, rows)
     kept = known[row]
-    follow = np.arange(n)
-    follow[order] = np.arange(n)
     number = np.cumsum(kept) - 1
-    follow, row, x1, y1 = number[follow[kept]], row[kept], x1[kept], y1[kept]
+    order = number[order[kept]]
+    row, x1, y1, x2, y2 = (c[kept] for c in (row, x1, y1, x2, y2))
     n = len(row)
+    follow, vertex, odd = _linked(row, order, x1, y1, x2, y2, rows)
+    known &= ~odd
     longest = int(np.bincount(row, minlength=1).max())
     lead, to = np.arange(n), follow.copy()
     for _ in range(longest.bit_length()):
@@ -226,6 +279,9 @@ def _simple_rings(row, x1, y1, x2, y2, rows):
     left = (follow != lead).astype(np.int64)
     for _ in range(longest.bit_length()):
         left, to = left + left[to], to[to]
+    if n and vertex[-1] + 1 < n:    # a ring that comes to a vertex again is taken apart by trace_rings
+        key = np.sort(lead * n + vertex)
+        known &= ~P._any_by(row[key[1:] // n], key[1:] == key[:-1], rows)
     order = np.lexsort((-left, lead))
     row, x1, y1 = row[order], x1[order], y1[order]
     start = np.flatnonzero(lead[order] == order)
@@ -234,13 +290,16 @@ def _simple_rings(row, x1, y1, x2, y2, rows):
     after = np.arange(n) + 1
     after[start + size - 1] = start
     area = np.bincount(np.repeat(np.arange(len(start)), size), (x1 - x0) * (y1[after] - y0) - (x1[after] - x0) * (y1 - y0), len(start))
-    hollow = P._any_by(row[start], area <= 0, rows)
-    known &= ~hollow
-    good = ~hollow[row[start]]
-    start, size = start[good], size[good]
+    ring_row = row[start]
+    home = _homes(x1, y1, after, start, size, area, ring_row)
+    known &= ~P._any_by(ring_row, (area == 0) | (home < 0), rows)
+    good = np.flatnonzero(known[ring_row])
+    good = good[np.lexsort((good, area[good] < 0, home[good]))]     # each shell, then its holes
+    start, size, shell, ring_row = start[good], size[good], area[good] > 0, ring_row[good]
     closed = np.repeat(start, size + 1) + P._within_run(size + 1)
     closed[np.cumsum(size + 1) - 1] = start
-    return P.Shapes(x1[closed], y1[closed], size + 1, np.ones(len(start), np.int64), np.bincount(row[start], minlength=rows)), known
+    rings = np.diff(np.append(np.flatnonzero(shell), len(good)))
+    return P.Shapes(x1[closed], y1[closed], size + 1, rings, np.bincount(ring_row[shell], minlength=rows)), known
 
 
 def _lists(s: P.Shapes) -> pa.Array:
@@ -258,7 +317,7 @@ def union_of(s: P.Shapes) -> pa.Array:
     if not len(e.row):
         return pa.nulls(e.rows, _DEEP)
     row, x1, y1, x2, y2 = _boundary(e)
-    order = np.lexsort((y1, x1, row))
+    order = np.lexsort((y2, x2, y1, x1, row))
     row, x1, y1, x2, y2 = (c[order] for c in (row, x1, y1, x2, y2))
     shapes, known = _simple_rings(row, x1, y1, x2, y2, e.rows)
     others = np.flatnonzero(~known)

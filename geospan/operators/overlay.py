@@ -153,11 +153,12 @@ def dissolve_mixed(df: DataFrame, wkt_col: str, gid: str) -> DataFrame:
     shuffled nowhere; only those left are dissolved by the joins.
     """
     open_ = F.coalesce(F.col("reject_reason") == "needs_overlay", F.lit(False))
-    tried = stored(df.filter(open_).withColumn("_parts", union_plain(F.col(f"`{wkt_col}`"))))
-    left = tried.filter("_parts is null").drop("_parts")
+    tried = stored(df.filter(open_).withColumn("_parts", union_plain(F.col(f"`{wkt_col}`"))).withColumn("_left", F.col("_parts").isNull()))
+    # Kept apart: a filter that Spark derives from the explode of the pieces would parse the text of every row.
+    left = stored(tried.filter("_left").drop("_parts", "_left"))
     pieces = left.select(F.col(gid).alias("gid"), parse_wkt(F.col(wkt_col)).alias("w")).select("gid", pieces_of(F.col("w.members")).alias("pieces"))
     done = dissolve(pieces).filter("parts is not null").select(F.col("gid").alias(gid), F.col("parts").cast(PARTS_DDL).alias("_parts"))
-    both = tried.filter("_parts is not null").unionByName(left.join(done, gid, "left"))
+    both = tried.filter("not _left").drop("_left").unionByName(left.join(done, gid, "left"))
     made = F.struct(F.lit("MULTIPOLYGON").alias("gtype"), F.lit(4326).alias("srid"), F.col("_parts").alias("parts")).cast(GEOM_TYPE)
     others = [F.col(f"`{c}`") for c in df.columns if c not in ("geometry", "reject_reason")]
     closed = both.select(*others, F.when(F.col("_parts").isNotNull(), made).otherwise(F.col("geometry")).alias("geometry"),
